@@ -55,17 +55,18 @@ def word_tokens(text: Column, stop_words: list[str] | None = None) -> Column:
 
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:
-    """All n-grams with low <= n <= high as one array; blanks between words."""
+    """All n-grams with low <= n <= high as one array; blanks between words.
 
-    def of_size(n: int) -> Column:
-        if n == 1:
-            return tokens
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-        return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-    sizes = [of_size(n) for n in range(low, high + 1)]
-    return sizes[0] if len(sizes) == 1 else F.concat(*sizes)
+    Size n is size n-1 zipped with the tokens shifted by n-1. Pass a materialised column: the tokens
+    are read once per size.
+    """
+    sizes = {1: tokens}
+    for n in range(2, high + 1):
+        shifted = F.slice(tokens, n, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+        # the longer side is padded with null, and so is its concatenation
+        sizes[n] = F.array_compact(F.zip_with(sizes[n - 1], shifted, lambda a, b: F.concat(a, F.lit(" "), b)))
+    wanted = [sizes[n] for n in range(low, high + 1)]
+    return wanted[0] if len(wanted) == 1 else F.concat(*wanted)
 
 
 def word_rate(text: Column, divisor: float = 300.0) -> Column:
@@ -128,8 +129,18 @@ def remove_punctuation(text: Column) -> Column:
     return delete(delete(text, MENTION), PUNCT_CLASS)
 
 
-def contraction_pattern(contractions: dict[str, str]) -> str:
-    return "|".join(re.escape(k) for k in contractions)
+def contraction_pattern(contractions: dict[str, str], guarded: bool = False) -> str:
+    """Alternation of the keys in map order.
+
+    The guard is a lookahead that every key satisfies: letters up to an apostrophe, or a key
+    without one. It rejects most positions before the long alternation is tried.
+    """
+    keys = "|".join(re.escape(k) for k in contractions)
+    if not guarded:
+        return keys
+    lead = max((len(k.split("'")[0]) for k in contractions if "'" in k), default=0)
+    plain = [re.escape(k) for k in contractions if "'" not in k]
+    return f"(?={'|'.join([f"[A-Za-z]{{0,{lead}}}'", *plain])})(?:{keys})"
 
 
 def string_map(entries: dict[str, str]) -> Column:
@@ -150,7 +161,7 @@ def replace_matches(text: Column, pattern: str, mapping: Column) -> Column:
 
 
 def expand_contractions(text: Column, contractions: dict[str, str] = lex.CONTRACTIONS) -> Column:
-    return replace_matches(text, contraction_pattern(contractions), string_map(contractions))
+    return replace_matches(text, contraction_pattern(contractions, guarded=True), string_map(contractions))
 
 
 def _drop_substrings(text: Column, whole_word: bool) -> Column:

@@ -76,13 +76,20 @@ def sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame, entries=le
 # ---- TF-IDF ---------------------------------------------------------------------------------
 
 
-def vocabulary(df: DataFrame, grams: Column, min_df: float = 0.01, max_df: float = 0.90, k: int = 1000) -> DataFrame:
+def with_grams(df: DataFrame, text: str, low: int, high: int, stop_words: list[str] | None, out: str = "_grams"):
+    """Adds the n-grams of a text column; tokens get a projection of their own so they are cut once."""
+    tokens = df.withColumn("_tokens", tx.word_tokens(F.col(text), stop_words))
+    return tokens.withColumn(out, tx.ngrams(F.col("_tokens"), low, high)).drop("_tokens")
+
+
+def vocabulary(df: DataFrame, text: str, low: int = 1, high: int = 3, stop_words: list[str] | None = None,
+               min_df: float = 0.01, max_df: float = 0.90, k: int = 1000) -> DataFrame:
     """The k terms with the largest corpus frequency among those inside the document-frequency range.
 
     Occurrences and distinct terms of a text are counted by one aggregate on the term, so a hot term
     is reduced to one row per task before the shuffle.
     """
-    texts = df.select(grams.alias("_grams"))
+    texts = with_grams(df.select(text), text, low, high, stop_words).select("_grams")
     counted = texts.select(F.inline(F.concat(
         F.transform("_grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(F.array_distinct("_grams"),
@@ -106,13 +113,10 @@ class TfIdf:
     high: int
     stop_words: list[str]
 
-    def grams(self, text: Column) -> Column:
-        return tx.ngrams(tx.word_tokens(text, self.stop_words), self.low, self.high)
-
     def counts(self, df: DataFrame, text: str, out: str) -> DataFrame:
         """Raw term counts as a sparse vector, counted inside the row."""
         counter = CountVectorizerModel.from_vocabulary(self.terms, "_grams", out)
-        return counter.transform(df.withColumn("_grams", self.grams(F.col(text)))).drop("_grams")
+        return counter.transform(with_grams(df, text, self.low, self.high, self.stop_words)).drop("_grams")
 
     def transform(self, df: DataFrame, text: str, out: str = "tfidf") -> DataFrame:
         """L2-normalised tf-idf as a sparse vector; unknown terms are dropped. No join, no shuffle."""
@@ -139,8 +143,7 @@ def fit_tfidf(df: DataFrame, text: str, low: int = 1, high: int = 3, stop_words:
               min_df: float = 0.01, max_df: float = 0.90, max_features: int = 1000) -> TfIdf:
     """Fit on a text column. Only the chosen vocabulary, max_features rows, reaches the driver."""
     stop_words = stop_words or []
-    grams = tx.ngrams(tx.word_tokens(F.col(text), stop_words), low, high)
-    chosen = vocabulary(df, grams, min_df, max_df, max_features)
+    chosen = vocabulary(df, text, low, high, stop_words, min_df, max_df, max_features)
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     rows = chosen.select("term", idf.alias("idf")).orderBy("term").collect()
     return TfIdf([r["term"] for r in rows], [r["idf"] for r in rows], low, high, stop_words)
@@ -168,12 +171,14 @@ def range_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def min_max_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """Two passes over the input and no join: the ranges are a scalar subquery."""
-    return scale_with(df, range_table(df, columns).scalar(), columns)
+    tagged = df.withColumn("_ranges", range_table(df, columns).scalar())
+    return scale_with(tagged, F.col("_ranges"), columns).drop("_ranges")
 
 
 def equal_width_bins(df: DataFrame, columns: list[str], bins: int = 3) -> DataFrame:
     """Right-closed bins of equal width, numbered from 0; the minimum belongs to the first."""
-    ranges = range_table(df, columns).scalar()
+    tagged = df.withColumn("_ranges", range_table(df, columns).scalar())
+    ranges = F.col("_ranges")
 
     def binned(name: str) -> Column:
         low, high, x = ranges[f"min_{name}"], ranges[f"max_{name}"], F.col(name)
@@ -185,4 +190,4 @@ def equal_width_bins(df: DataFrame, columns: list[str], bins: int = 3) -> DataFr
         return F.when(x.isNotNull() & (high == low), F.lit((bins - 1) // 2)).otherwise(
             result.otherwise(F.lit(bins - 1))).alias(name)
 
-    return df.select(*[c for c in df.columns if c not in columns], *[binned(c) for c in columns])
+    return tagged.select(*[c for c in df.columns if c not in columns], *[binned(c) for c in columns])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threadlens import lexicons as lex
 from threadlens.functions import text as tx
+from threadlens.sources.readers import spread
 
 OPENINGS = [
     "RT #USER# look #URL# #HASHTAG# ARTICLE via amp",
@@ -43,7 +44,7 @@ def sql_map(entries: dict[str, str]) -> str:
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     openings = F.array(*[F.lit(o) for o in OPENINGS])
     opening = F.element_at(openings, (F.col("doc_id") % len(OPENINGS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "lang", F.concat(opening, F.lit(" "), F.col("text")).alias("text")
     )
 
@@ -56,7 +57,7 @@ POSTS_SQL = f"""posts AS (
 
 def thread_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form of the threads: turn 0 is the root. The label needs no model."""
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations")).select(
         F.col("conv_id").alias("thread_id"), F.col("turn").alias("pos"), "role", "text",
         (F.length("text") % 2).cast("int").alias("label"),
     )
