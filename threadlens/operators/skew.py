@@ -52,11 +52,14 @@ def hash_order(df: DataFrame, strata: list[str], token: Column, unique: list[str
     )
 
 
-def range_bucket(df: DataFrame, order: str, buckets: int = 256) -> Column:
-    """Bucket number from approximate quantiles of ``order``; the bounds come from one aggregate row."""
+def with_range_bucket(df: DataFrame, order: str, buckets: int = 256, out: str = "_bucket") -> DataFrame:
+    """Adds a bucket number from approximate quantiles of ``order``; the bounds come from one aggregate row."""
     steps = [i / buckets for i in range(1, buckets)]
     bounds = df.agg(F.percentile_approx(order, steps, F.lit(20 * buckets)).alias("b")).scalar()
-    return F.size(F.filter(bounds, lambda b: b < F.col(order)))
+    return (
+        df.withColumn("_bounds", bounds)
+        .withColumn(out, F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
+    )
 
 
 def running_totals(df: DataFrame, order: str, values: list[str], descending: bool = False,
@@ -66,7 +69,7 @@ def running_totals(df: DataFrame, order: str, values: list[str], descending: boo
     Bucket totals (at most ``buckets`` rows) carry the sums across buckets; the windows run inside
     one bucket each.
     """
-    ranged = df.withColumn("_bucket", range_bucket(df, order, buckets))
+    ranged = with_range_bucket(df, order, buckets)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     before = Window.partitionBy(F.lit(0)).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_bucket").agg(*[F.sum(v).alias(f"_total_{v}") for v in values])

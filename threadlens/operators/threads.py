@@ -62,3 +62,9 @@ def top_words(contributions: DataFrame, k: int = 20) -> DataFrame:
     """The k non-zero contributions of each thread with the largest absolute value; ties go to the word."""
     return top_k(contributions.where(F.col("contribution") != 0), ["thread_id"],
                  [F.desc(F.abs("contribution")), F.col("word")], k, ["word"])
+
+
+def fidelity(threads: DataFrame, surrogate: str, black_box: str) -> DataFrame:
+    """Share of threads on which the surrogate's label equals the black box's."""
+    return threads.agg(
+        F.avg((F.col(surrogate) == F.col(black_box)).cast("double")).alias("fidelity"), F.count("*").alias("n_threads"))

@@ -212,7 +212,7 @@ _MATRIX = rel.group_columns(["readability", "sentiment"])
 r AS ({READABILITY_SQL}), s AS ({SENTIMENT_SQL}),
 m AS (SELECT * EXCLUDE (source) FROM r JOIN s USING (doc_id))
 SELECT doc_id, CAST(quality AS DOUBLE) AS ground_truth, """ + ", ".join(
-    f"round(coalesce(({c} - min({c}) OVER ())::DOUBLE / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0), 5) + 0.0 AS {c}"
+    f"round(coalesce(({c} - min({c}) OVER ())::DOUBLE / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0), 6) + 0.0 AS {c}"
     for c in _MATRIX) + " FROM m LEFT JOIN labels USING (doc_id)")
 def feat_matrix_assemble(spark, sf_dir):
     """Scalar groups of every post with its label, scaled; the label and the key are not scaled."""
@@ -223,7 +223,7 @@ def feat_matrix_assemble(spark, sf_dir):
     labels = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("ground_truth"))
     matrix = rel.full_outer_features([base, scores, labels], "doc_id")
     scaled = ft.min_max_scale(matrix, _MATRIX)
-    return scaled.select("doc_id", "ground_truth", *[(F.round(c, 5) + 0.0).alias(c) for c in _MATRIX])
+    return scaled.select("doc_id", "ground_truth", *[(F.round(c, 6) + 0.0).alias(c) for c in _MATRIX])
 
 
 @query("feature_group_select", f"""WITH {fx.POSTS_SQL}, {WORD_SCORE_SQL}, r AS ({READABILITY_SQL}), s AS ({SENTIMENT_SQL})
