@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.operators.skew import running_totals
+from threadlens.session import materialize
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -74,10 +75,11 @@ def cv_summary(df: DataFrame, fold: str, label: str = "label", prediction: str =
 def score_totals(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 256) -> DataFrame:
     """Per distinct score, from the highest: positives and negatives here and up to here.
 
-    Rows are folded per score first; the running sums then go bucket by bucket.
+    Rows are folded per score and written once, so the scoring behind ``df`` runs a single time; the
+    running sums then go bucket by bucket over the folded table.
     """
-    folded = df.groupBy(score).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    folded = materialize(df.groupBy(score).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")), "score-totals")
     totals = folded.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
     running = running_totals(folded, score, ["pos", "neg"], descending=True, buckets=buckets)
     return running.withColumn("_t", totals).select(
