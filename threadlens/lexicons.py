@@ -7,7 +7,13 @@ Lists marked "fixed values" define results and are stated as they are used. Lexi
 
 from __future__ import annotations
 
+import glob
+import os
 import re
+import zipfile
+from functools import lru_cache
+
+import pyspark
 
 # Contraction expansions. Order matters, the first listed alternative wins.
 CONTRACTIONS = {
@@ -80,8 +86,14 @@ RELICS = ["RT", "#USER#", "#HASHTAG#", "#URL#"]
 CLEAN_SUBSTRINGS = ["rt", "via", "user", "hashtag", "url", "amp"]
 
 
+@lru_cache(maxsize=1)
 def english_stop_words() -> list[str]:
-    """English stop words as shipped with Spark."""
+    """English stop words as shipped with Spark, read from its jar so that no session is needed."""
+    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
+    for jar in glob.glob(os.path.join(home, "jars", "spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as archive:
+            text = archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
+        return text.split()
     from pyspark.ml.feature import StopWordsRemover
 
     return list(StopWordsRemover.loadDefaultStopWords("english"))

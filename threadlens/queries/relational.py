@@ -13,7 +13,6 @@ from threadlens.operators.skew import position_in_group
 from threadlens.queries import fixtures as fx
 from threadlens.queries.registry import query
 
-IS_REPLY = F.col("pos") > 0
 LOW, HIGH = 3, 7
 TOKEN_SQL = fx.arithmetic_sql("doc_id")
 SIZES_SQL = f"""{fx.THREADS_SQL},
@@ -39,7 +38,7 @@ def project_rename_drop(spark, sf_dir):
 SELECT thread_id, pos, n_replies FROM threads JOIN sizes USING (thread_id) WHERE n_replies BETWEEN {LOW} AND {HIGH}""")
 def filter_thread_size(spark, sf_dir):
     posts = fx.thread_posts(spark, sf_dir).select("thread_id", "pos")
-    return rel.filter_thread_size(posts, "thread_id", IS_REPLY, LOW, HIGH).select("thread_id", "pos", "n_replies")
+    return rel.filter_thread_size(posts, "thread_id", F.col("pos") > 0, LOW, HIGH).select("thread_id", "pos", "n_replies")
 
 
 @query("filter_min_followers", "SELECT event_id, user_id, round(value, 6) AS followers FROM events WHERE value >= 25")
@@ -88,7 +87,7 @@ def slice_offset_limit(spark, sf_dir):
 SELECT thread_id, pos, CASE WHEN pos = 0 THEN 'root' ELSE 'reply' END AS part FROM threads""")
 def split_root_replies(spark, sf_dir):
     return fx.thread_posts(spark, sf_dir).select(
-        "thread_id", "pos", F.when(IS_REPLY, "reply").otherwise("root").alias("part"))
+        "thread_id", "pos", F.when(F.col("pos") > 0, "reply").otherwise("root").alias("part"))
 
 
 @query("recode_category", """SELECT l_orderkey, l_linenumber,
@@ -239,7 +238,7 @@ def agg_post_count(spark, sf_dir):
 @query("agg_reply_stats", f"""WITH {SIZES_SQL} SELECT count(*) AS n_threads, CAST(sum(n_replies) AS BIGINT) AS n_replies,
   round(avg(n_replies), 6) AS mean_replies FROM sizes""")
 def agg_reply_stats(spark, sf_dir):
-    sizes = rel.thread_sizes(fx.thread_posts(spark, sf_dir), "thread_id", IS_REPLY)
+    sizes = rel.thread_sizes(fx.thread_posts(spark, sf_dir), "thread_id", F.col("pos") > 0)
     return rel.reply_stats(sizes).withColumn("mean_replies", F.round("mean_replies", 6))
 
 

@@ -12,51 +12,51 @@ from threadlens.functions import text as tx
 from threadlens.queries import fixtures as fx
 from threadlens.queries.registry import query
 
-T = F.col("text")
-
-
 def _select(sql_columns: str) -> str:
     return f"WITH {fx.POSTS_SQL} SELECT doc_id, {sql_columns} FROM posts"
 
 
-def _row_query(name: str, columns: dict, sql_columns: str):
+def _row_query(name: str, columns, sql_columns: str):
+    """Register a projection of the posts; ``columns`` maps the text column to named columns."""
+
     @query(name, _select(sql_columns))
     def run(spark, sf_dir):
-        return fx.posts(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in columns.items()])
+        named = columns(F.col("text"))
+        return fx.posts(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in named.items()])
 
     return run
 
 
-_row_query("txt_word_rate", {"avg_word_count": F.round(tx.word_rate(T), 6)},
+_row_query("txt_word_rate", lambda t: {"avg_word_count": F.round(tx.word_rate(t), 6)},
            f"round(len({fx.sql_whitespace_tokens('text')}) / 300.0::DOUBLE, 6) AS avg_word_count")
 
-_row_query("txt_emoji_count", {"emoji_count": tx.emoji_count(T)},
+_row_query("txt_emoji_count", lambda t: {"emoji_count": tx.emoji_count(t)},
            f"{fx.sql_count('text', tx.EMOJI)} AS emoji_count")
 
 SLANG_SQL = (
     f"CAST(len(list_filter({fx.sql_whitespace_tokens('lower(text)')}, "
     f"lambda w: list_contains({fx.sql_list(lex.SEED_SLANG)}, w))) AS BIGINT)"
 )
-_row_query("txt_slang_count", {"slang_count": tx.slang_count(T)}, f"{SLANG_SQL} AS slang_count")
+_row_query("txt_slang_count", lambda t: {"slang_count": tx.slang_count(t)}, f"{SLANG_SQL} AS slang_count")
 
 CAPITALIZED_SQL = fx.sql_count(fx.sql_relics_gone("text"), tx.CAPITALIZED)
 FULL_CAPITALIZED_SQL = fx.sql_count(fx.sql_relics_gone("text"), tx.FULL_CAPITALIZED)
-_row_query("txt_capitalized_count", {"capitalized_count": tx.capitalized_count(T)},
+_row_query("txt_capitalized_count", lambda t: {"capitalized_count": tx.capitalized_count(t)},
            f"{CAPITALIZED_SQL} AS capitalized_count")
-_row_query("txt_full_capitalized_count", {"full_capitalized_count": tx.full_capitalized_count(T)},
+_row_query("txt_full_capitalized_count", lambda t: {"full_capitalized_count": tx.full_capitalized_count(t)},
            f"{FULL_CAPITALIZED_SQL} AS full_capitalized_count")
 
 RELICS_SQL = ", ".join(
     f"CAST((length(text) - length(replace(text, {fx.sql_string(relic)}, ''))) / {len(relic)} AS BIGINT) AS {name}"
     for name, relic in zip(["retweets_count", "user_mentions_count", "hashtags_count", "url_count"], lex.RELICS)
 )
-_row_query("txt_relic_counts", tx.relic_counts(T), RELICS_SQL)
+_row_query("txt_relic_counts", tx.relic_counts, RELICS_SQL)
 
 NEGATION_SQL = f"CAST(list_has_any({fx.sql_whitespace_tokens('text')}, {fx.sql_list(lex.NEGATIONS)}) AS INTEGER)"
-_row_query("txt_negation_flag", {"negation": tx.negation_flag(tx.whitespace_tokens(T))},
+_row_query("txt_negation_flag", lambda t: {"negation": tx.negation_flag(tx.whitespace_tokens(t))},
            f"{NEGATION_SQL} AS negation")
 
-_row_query("txt_clean_relics", {"cleaned": tx.clean_relics(T)}, f"{fx.sql_relics_gone('text')} AS cleaned")
+_row_query("txt_clean_relics", lambda t: {"cleaned": tx.clean_relics(t)}, f"{fx.sql_relics_gone('text')} AS cleaned")
 
 
 def _strip_sql(expr: str) -> str:
@@ -64,12 +64,12 @@ def _strip_sql(expr: str) -> str:
 
 
 _spaced = f"regexp_replace({fx.sql_delete('text', tx.DROPPED_MARKS)}, {fx.sql_string(tx.SPACED_MARKS)}, ' ', 'g')"
-_row_query("txt_clean_punc", {"cleaned": tx.clean_punctuation(T)},
+_row_query("txt_clean_punc", lambda t: {"cleaned": tx.clean_punctuation(t)},
            f"replace({_strip_sql(_spaced)}, chr(10), ' ') AS cleaned")
 
-_row_query("txt_strip_links", {"stripped": tx.strip_links(T)}, f"{fx.sql_delete('text', tx.LINK)} AS stripped")
+_row_query("txt_strip_links", lambda t: {"stripped": tx.strip_links(t)}, f"{fx.sql_delete('text', tx.LINK)} AS stripped")
 
-_row_query("txt_remove_punct", {"bare": tx.remove_punctuation(T)},
+_row_query("txt_remove_punct", lambda t: {"bare": tx.remove_punctuation(t)},
            f"{fx.sql_delete(fx.sql_delete('text', tx.MENTION), tx.PUNCT_CLASS)} AS bare")
 
 
@@ -77,7 +77,7 @@ def _contractions_sql(expr: str, contractions: dict[str, str]) -> str:
     return fx.sql_replace_matches(expr, tx.contraction_pattern(contractions), fx.sql_map(contractions))
 
 
-_row_query("txt_expand_contractions", {"expanded": tx.expand_contractions(F.lower(T))},
+_row_query("txt_expand_contractions", lambda t: {"expanded": tx.expand_contractions(F.lower(t))},
            f"{_contractions_sql('lower(text)', lex.CONTRACTIONS)} AS expanded")
 
 
@@ -100,25 +100,24 @@ tokens AS (SELECT doc_id, {fx.sql_whitespace_tokens('a')} AS raw_tokens,
 
 @query("txt_clean_text", CLEAN_STEPS_SQL + "SELECT doc_id, array_to_string(tokens, ' ') AS cleaned FROM tokens")
 def txt_clean_text(spark, sf_dir):
-    return fx.posts(spark, sf_dir).select("doc_id", tx.clean_text(T).alias("cleaned"))
+    return fx.posts(spark, sf_dir).select("doc_id", tx.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query("txt_clean_for_linear",
        CLEAN_STEPS_SQL + "SELECT doc_id, array_to_string(raw_tokens, ' ') AS cleaned FROM tokens")
 def txt_clean_for_linear(spark, sf_dir):
-    return fx.posts(spark, sf_dir).select("doc_id", tx.clean_text_for_linear(T).alias("cleaned"))
+    return fx.posts(spark, sf_dir).select("doc_id", tx.clean_text_for_linear(F.col("text")).alias("cleaned"))
 
 
-_row_query("txt_only_alpha", {"letters": F.array_join(tx.only_alpha(tx.whitespace_tokens(T)), "|")},
+_row_query("txt_only_alpha", lambda t: {"letters": F.array_join(tx.only_alpha(tx.whitespace_tokens(t)), "|")},
            f"array_to_string(list_transform({fx.sql_whitespace_tokens('text')}, "
            f"lambda w: {fx.sql_delete('w', tx.NON_ALPHA)}), '|') AS letters")
 
-_STOP = lex.english_stop_words
 _PUNCT_SQL = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
 
 
 def _filter_sql() -> str:
-    dropped = _STOP() + lex.EXTRA_STOP_WORDS + tx.emoticon_list()
+    dropped = lex.english_stop_words() + lex.EXTRA_STOP_WORDS + tx.emoticon_list()
     return f"""WITH {fx.POSTS_SQL}
 SELECT doc_id, array_to_string(list_filter({fx.sql_whitespace_tokens('lower(text)')}, lambda w:
   (NOT list_contains({fx.sql_list(dropped)}, w) AND NOT contains({_PUNCT_SQL}, w)
@@ -130,7 +129,7 @@ FROM posts"""
 @query("txt_join_tokens",
        f"WITH {fx.POSTS_SQL} SELECT doc_id, array_to_string({fx.sql_whitespace_tokens('text')}, ',') AS joined FROM posts")
 def txt_join_tokens(spark, sf_dir):
-    return fx.posts(spark, sf_dir).select("doc_id", tx.join_tokens(tx.whitespace_tokens(T)).alias("joined"))
+    return fx.posts(spark, sf_dir).select("doc_id", tx.join_tokens(tx.whitespace_tokens(F.col("text"))).alias("joined"))
 
 
 def _demoji_sql() -> str:
@@ -140,7 +139,7 @@ def _demoji_sql() -> str:
     return expr
 
 
-_row_query("txt_demoji", {"described": em.demojize(T), "names": F.array_join(em.emoji_names(T), " ")},
+_row_query("txt_demoji", lambda t: {"described": em.demojize(t), "names": F.array_join(em.emoji_names(t), " ")},
            f"{_demoji_sql()} AS described, array_to_string(list_transform(regexp_extract_all(text, "
            + fx.sql_string("[" + "".join(e[0] for e in lex.gated_emoji(lex.SEED_EMOJI)) + "]")
            + f"), lambda c: ({fx.sql_map({e[0]: e[1] for e in lex.SEED_EMOJI})})[c]), ' ') AS names")
@@ -168,5 +167,5 @@ def json_field_extract(spark, sf_dir):
 
 @query("txt_filter_tokens", _filter_sql())
 def txt_filter_tokens(spark, sf_dir):
-    tokens = tx.filter_tokens(tx.whitespace_tokens(F.lower(T)), _STOP())
+    tokens = tx.filter_tokens(tx.whitespace_tokens(F.lower(F.col("text"))), lex.english_stop_words())
     return fx.posts(spark, sf_dir).select("doc_id", F.array_join(tokens, " ").alias("kept"))
