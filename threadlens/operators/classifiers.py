@@ -342,18 +342,21 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, block:
     """
     q_blocks = max(1, -(-queries.count() // block))
     t_blocks = max(1, -(-train.count() // block))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
-    t = train.withColumn("tb", F.pmod(F.xxhash64("train_id"), F.lit(t_blocks)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    q = queries.select(
+        "query_id", F.col("x").alias("qx"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).alias("tb"))
+    # aliases give the right side attributes of its own when both inputs share a lineage
+    t = train.select(
+        F.col("train_id").alias("near_id"), F.col("label").alias("near_label"), F.col("x").alias("tx"),
+        F.pmod(F.xxhash64("train_id"), F.lit(t_blocks)).cast("int").alias("tb2"),
+        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb2"))
 
     def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "train_id", "label", "distance"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        right = right.sort_values("train_id")
-        a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
-        ids, labels = right["train_id"].to_numpy(), right["label"].to_numpy()
+        a, b = np.stack(left["qx"].to_numpy()), np.stack(right["tx"].to_numpy())
+        ids, labels = right["near_id"].to_numpy(), right["near_label"].to_numpy()
         parts = []
         for query_id, row in zip(left["query_id"], a):
             distance = np.sqrt(((b - row) ** 2).sum(axis=1))
@@ -363,7 +366,7 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, block:
         return pd.concat(parts, ignore_index=True)[columns]
 
     schema = "query_id long, train_id long, label int, distance double"
-    candidates = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(closest, schema)
+    candidates = q.groupBy("qb", "tb").cogroup(t.groupBy("qb2", "tb2")).applyInPandas(closest, schema)
     return top_k(candidates, ["query_id"], [F.col("distance"), F.col("train_id")], k, ["train_id"])
 
 

@@ -104,7 +104,7 @@ def surrogate_row_key(spark, sf_dir):
     return position_in_group(events, ["thread_id"], "event_id", 4096, "row_key")
 
 
-@query("txt_single_line", f"""WITH {fx.POSTS_SQL}
+@query("single_line_text", f"""WITH {fx.POSTS_SQL}
 SELECT doc_id, replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), ' ') AS line FROM posts""")
 def single_line_text(spark, sf_dir):
     broken = F.replace("text", F.lit("\n"), F.lit("\r\n"))

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+    """CSV with a header; values are kept as they are, outer blanks included."""
+    (
+        df.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    )
 
 
 def append_results(results: DataFrame, path: str) -> None:
