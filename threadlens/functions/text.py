@@ -57,16 +57,15 @@ def word_tokens(text: Column, stop_words: list[str] | None = None) -> Column:
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All n-grams with low <= n <= high as one array; blanks between words.
 
-    Size n is size n-1 zipped with the tokens shifted by n-1. Pass a materialised column: the tokens
-    are read once per size.
+    Size n is size n-1 zipped with the tokens shifted by n-1; a null token, or the padding of the
+    shorter side, makes the n-gram null, and nulls are dropped at the end. Pass a materialised
+    column: the tokens are read once per size.
     """
     sizes = {1: tokens}
     for n in range(2, high + 1):
         shifted = F.slice(tokens, n, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-        # the longer side is padded with null, and so is its concatenation
-        sizes[n] = F.array_compact(F.zip_with(sizes[n - 1], shifted, lambda a, b: F.concat(a, F.lit(" "), b)))
-    wanted = [sizes[n] for n in range(low, high + 1)]
-    return wanted[0] if len(wanted) == 1 else F.concat(*wanted)
+        sizes[n] = F.zip_with(sizes[n - 1], shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_compact(F.concat(*[sizes[n] for n in range(low, high + 1)]))
 
 
 def word_rate(text: Column, divisor: float = 300.0) -> Column:

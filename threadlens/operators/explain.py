@@ -6,6 +6,7 @@ A scorer takes a DataFrame with an array column ``x`` and adds a double column `
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import factorial
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.functions.vectors import as_vector, dot
+from threadlens.functions.vectors import as_vector
 from threadlens.operators import splits as sp
 from threadlens.operators.skew import hash_order
 from threadlens.session import scratch_path
@@ -23,8 +24,13 @@ MAX_TREE_NODES = 2_000_000
 
 
 def linear_scorer(weights: list[float], intercept: float = 0.0):
-    w = F.array(*[F.lit(float(v)) for v in weights])
-    return lambda df: df.withColumn("score", dot(F.col("x"), w) + F.lit(intercept))
+    """Weighted sum of the components; zero weights cost nothing and the rest is generated code."""
+
+    def score(df: DataFrame) -> DataFrame:
+        terms = [F.get("x", F.lit(j)) * F.lit(float(w)) for j, w in enumerate(weights) if w]
+        return df.withColumn("score", reduce(lambda a, b: a + b, terms, F.lit(float(intercept))))
+
+    return score
 
 
 def model_scorer(model, output: str = "rawPrediction"):
@@ -39,7 +45,8 @@ def model_scorer(model, output: str = "rawPrediction"):
 
 
 def replaced(x: Column, position: Column, value: Column) -> Column:
-    return F.transform(x, lambda v, i: F.when(i == position, value).otherwise(v))
+    """The array with one component exchanged; positions start at 0."""
+    return F.concat(F.slice(x, F.lit(1), position), F.array(value), F.slice(x, position + 2, F.size(x)))
 
 
 # ---- permutation importance and partial dependence -------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -15,6 +16,9 @@ from threadlens.functions.emoji import emotion_means
 from threadlens.functions.vectors import sparse_entries
 
 
+MAX_FREQUENT = 20_000
+
+
 def readability_columns(text: Column, slang: list[str] = lex.SEED_SLANG) -> dict[str, Column]:
     return {
         "avg_word_count": tx.word_rate(text),
@@ -38,17 +42,15 @@ def word_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame, damping:
     A valence is multiplied by ``damping`` when one of the ``reach`` tokens before it negates. Each
     text's tokens are summed in the task that read it; the shuffle carries about one row per text.
     """
-    tokens = tx.word_tokens(F.col(text))
-    marked = F.transform(
-        F.col("_tokens"),
-        lambda t, i: F.struct(t.alias("word"), F.arrays_overlap(
-            F.slice(F.col("_tokens"), F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach))),
-            F.array(*[F.lit(n) for n in lex.NEGATIONS]),
-        ).alias("negated")),
-    )
+    tokens = df.select(key, tx.word_tokens(F.col(text)).alias("_tokens"))
+    flags = tokens.withColumn("_neg", F.transform("_tokens", lambda t: t.isin(lex.NEGATIONS)))
+
+    def entry(t: Column, i: Column) -> Column:
+        before = [F.coalesce(F.get("_neg", i - d), F.lit(False)) for d in range(1, reach + 1)]
+        return F.struct(t.alias("word"), reduce(lambda a, b: a | b, before).alias("negated"))
+
     found = (
-        df.select(key, tokens.alias("_tokens"))
-        .select(key, F.explode_outer(marked).alias("_t")).select(key, "_t.word", "_t.negated")
+        flags.select(key, F.inline_outer(F.transform("_tokens", entry)))
         .join(lexicon, "word", "left")
     )
     sums = found.groupBy(key).agg(
@@ -82,20 +84,35 @@ def with_grams(df: DataFrame, text: str, low: int, high: int, stop_words: list[s
     return tokens.withColumn(out, tx.ngrams(F.col("_tokens"), low, high)).drop("_tokens")
 
 
+def frequent_tokens(tokens: DataFrame, min_count: Column) -> list[str] | None:
+    """Tokens of at least ``min_count`` texts, or None when there are more than MAX_FREQUENT of them."""
+    frequent = (
+        tokens.select(F.explode(F.array_distinct("_tokens")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+        .where(F.col("df") >= min_count).select("t").limit(MAX_FREQUENT + 1).collect()
+    )
+    return [r["t"] for r in frequent] if len(frequent) <= MAX_FREQUENT else None
+
+
 def vocabulary(df: DataFrame, text: str, low: int = 1, high: int = 3, stop_words: list[str] | None = None,
                min_df: float = 0.01, max_df: float = 0.90, k: int = 1000) -> DataFrame:
     """The k terms with the largest corpus frequency among those inside the document-frequency range.
 
-    Occurrences and distinct terms of a text are counted by one aggregate on the term, so a hot term
-    is reduced to one row per task before the shuffle.
+    An n-gram is in no more texts than each of its words, so words below the lower bound are blanked
+    first and no n-gram with one of them is ever built or shuffled. Occurrences and distinct terms of
+    a text are counted by one aggregate on the term, which reduces a hot term to one row per task.
     """
-    texts = with_grams(df.select(text), text, low, high, stop_words).select("_grams")
+    n_docs = df.agg(F.count("*").alias("n")).scalar()
+    tokens = df.select(tx.word_tokens(F.col(text), stop_words).alias("_tokens"))
+    frequent = frequent_tokens(tokens, n_docs * min_df) if high > 1 and min_df > 0 else None
+    if frequent is not None:
+        listed = ", ".join(f"'{t}'" for t in frequent) or "''"  # tokens hold letters, digits and '_' only
+        tokens = tokens.select(F.expr(f"transform(_tokens, t -> IF(t IN ({listed}), t, NULL))").alias("_tokens"))
+    texts = tokens.select(tx.ngrams(F.col("_tokens"), low, high).alias("_grams"))
     counted = texts.select(F.inline(F.concat(
         F.transform("_grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(F.array_distinct("_grams"),
                     lambda g: F.struct(g.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
     ))).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    n_docs = df.agg(F.count("*").alias("n")).scalar()
     return (
         counted.withColumn("n_docs", n_docs)
         .where((F.col("df") >= F.col("n_docs") * min_df) & (F.col("df") <= F.col("n_docs") * max_df))

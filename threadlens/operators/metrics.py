@@ -72,7 +72,7 @@ def cv_summary(df: DataFrame, fold: str, label: str = "label", prediction: str =
     return folds.agg(*[f(n).alias(f"{prefix}_{n}") for n in names for prefix, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
-def score_totals(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 256) -> DataFrame:
+def score_totals(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 1024) -> DataFrame:
     """Per distinct score, from the highest: positives and negatives here and up to here.
 
     Rows are folded per score and written once, so the scoring behind ``df`` runs a single time; the

@@ -96,7 +96,7 @@ def thread_surrogates(posts: DataFrame, weights: DataFrame) -> DataFrame:
             T.StructField("word", T.StringType()), T.StructField("contribution", T.DoubleType())]))),
     ])
 
-    def run(keys, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"thread_id": keys[0], **_explain_thread(frame)}])[schema.names]
 
     return rows.groupBy("thread_id").applyInPandas(run, schema)

@@ -25,7 +25,8 @@ def scored_threads(spark, sf_dir):
     posts = rel.filter_thread_size(fx.thread_posts(spark, sf_dir), "thread_id", F.col("pos") > 0, 1, MAX_REPLIES)
     posts = posts.withColumn("clean", tx.clean_text_for_linear(F.col("text")))
     tfidf = ft.fit_tfidf(posts, "clean", 1, 1, lex.english_stop_words(), max_features=300)
-    features = tfidf.transform(posts, "clean", "features").withColumn("role_label", (F.col("role") == "user").cast("double"))
+    features = materialize(tfidf.transform(posts, "clean", "features"), "thread-features").withColumn(
+        "role_label", (F.col("role") == "user").cast("double"))
     model = LogisticRegression(labelCol="role_label", regParam=0.05, maxIter=20).fit(features)
     scored = model.transform(features)
     return materialize(scored.select(

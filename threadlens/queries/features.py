@@ -12,6 +12,7 @@ from threadlens.operators import relational as rel
 from threadlens.operators import threads as th
 from threadlens.queries import fixtures as fx
 from threadlens.queries.registry import query
+from threadlens.session import materialize
 from threadlens.queries.text import (
     CAPITALIZED_SQL, FULL_CAPITALIZED_SQL, NEGATION_SQL, RELICS_SQL, SLANG_SQL,
 )
@@ -167,7 +168,7 @@ scored AS (SELECT doc_id, valence, polarity,
 sums AS (SELECT doc_id, sum(CASE WHEN negated THEN -0.74 * valence ELSE valence END) AS s, avg(polarity) AS p,
   count(*) AS n FROM scored GROUP BY doc_id),
 word_scores AS (SELECT p.doc_id, round(coalesce(s / sqrt(s * s + 15), 0) + 0.0, 6) AS vader_compound_score,
-  round(coalesce(sums.p, 0) + 0.0, 6) AS textblob_polarity_score, coalesce(n, 0) AS scored_words
+  round(coalesce(sums.p, 0) + 0.0, 9) AS textblob_polarity_score, coalesce(n, 0) AS scored_words
   FROM posts p LEFT JOIN sums USING (doc_id))"""
 
 
@@ -186,7 +187,7 @@ def feat_valence_compound(spark, sf_dir):
 SELECT doc_id, textblob_polarity_score FROM word_scores""")
 def feat_polarity_mean(spark, sf_dir):
     return _word_scores(spark, sf_dir).select(
-        "doc_id", (F.round("textblob_polarity_score", 6) + 0.0).alias("textblob_polarity_score"))
+        "doc_id", (F.round("textblob_polarity_score", 9) + 0.0).alias("textblob_polarity_score"))
 
 
 SENTIMENT_SQL = f"SELECT doc_id, {EMOTIONS_SQL}, {NEGATION_SQL} AS negation, vader_compound_score, " \
@@ -194,7 +195,7 @@ SENTIMENT_SQL = f"SELECT doc_id, {EMOTIONS_SQL}, {NEGATION_SQL} AS negation, vad
 
 
 def _rounded(df, columns):
-    return df.withColumns({c: F.round(c, 6) + 0.0 for c in columns})
+    return df.withColumns({c: F.round(c, 9 if c == "textblob_polarity_score" else 6) + 0.0 for c in columns})
 
 
 _REAL = ["anger", "fear", "joy", "sadness", "vader_compound_score", "textblob_polarity_score"]
@@ -206,13 +207,15 @@ def feat_sentiment(spark, sf_dir):
 
 
 _MATRIX = rel.group_columns(["readability", "sentiment"])
+# polarities are short decimals, which six digits would cut exactly half way
+_DIGITS = {c: 9 if c == "textblob_polarity_score" else 6 for c in _MATRIX}
 
 
 @query("feat_matrix_assemble", f"""WITH {fx.POSTS_SQL}, {WORD_SCORE_SQL},
 r AS ({READABILITY_SQL}), s AS ({SENTIMENT_SQL}),
 m AS (SELECT * EXCLUDE (source) FROM r JOIN s USING (doc_id))
 SELECT doc_id, CAST(quality AS DOUBLE) AS ground_truth, """ + ", ".join(
-    f"round(coalesce(({c} - min({c}) OVER ())::DOUBLE / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0), 6) + 0.0 AS {c}"
+    f"round(coalesce(({c} - min({c}) OVER ())::DOUBLE / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0), {_DIGITS[c]}) + 0.0 AS {c}"
     for c in _MATRIX) + " FROM m LEFT JOIN labels USING (doc_id)")
 def feat_matrix_assemble(spark, sf_dir):
     """Scalar groups of every post with its label, scaled; the label and the key are not scaled."""
@@ -221,9 +224,9 @@ def feat_matrix_assemble(spark, sf_dir):
     base = posts.select("doc_id", *[c.alias(n) for n, c in inline.items()])
     scores = ft.word_scores(posts, "doc_id", "text", fx.word_scores(spark)).drop("scored_words")
     labels = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("ground_truth"))
-    matrix = rel.full_outer_features([base, scores, labels], "doc_id")
+    matrix = materialize(rel.full_outer_features([base, scores, labels], "doc_id"), "raw-matrix")
     scaled = ft.min_max_scale(matrix, _MATRIX)
-    return scaled.select("doc_id", "ground_truth", *[(F.round(c, 6) + 0.0).alias(c) for c in _MATRIX])
+    return scaled.select("doc_id", "ground_truth", *[(F.round(c, _DIGITS[c]) + 0.0).alias(c) for c in _MATRIX])
 
 
 @query("feature_group_select", f"""WITH {fx.POSTS_SQL}, {WORD_SCORE_SQL}, r AS ({READABILITY_SQL}), s AS ({SENTIMENT_SQL})
