@@ -78,10 +78,15 @@ def emoji_count(text: Column) -> Column:
     return occurrences(text, EMOJI)
 
 
+def whole_token_pattern(words: list[str]) -> str:
+    """Matches a white-space token that equals one of the words; a word with white space inside never does."""
+    single = [re.escape(w) for w in words if w and not re.search(r"\s", w)]
+    return f"(?<![^{SPACE}])(?:{'|'.join(single)})(?![^{SPACE}])" if single else "(?!)"
+
+
 def slang_count(text: Column, slang: list[str] = lex.SEED_SLANG) -> Column:
     """White-space tokens that equal a slang key after lower-casing. For long lists use a lexicon join."""
-    keys = [s.lower() for s in slang]
-    return F.size(F.filter(whitespace_tokens(F.lower(text)), lambda t: t.isin(keys))).cast("long")
+    return occurrences(F.lower(text), whole_token_pattern([s.lower() for s in slang]))
 
 
 def clean_relics(text: Column) -> Column:
@@ -109,10 +114,20 @@ def negation_flag(tokens: Column) -> Column:
     return F.arrays_overlap(tokens, F.array(*[F.lit(n) for n in lex.NEGATIONS])).cast("int")
 
 
+def has_negation(text: Column) -> Column:
+    """negation_flag of the white-space tokens, without building them."""
+    return text.rlike(whole_token_pattern(lex.NEGATIONS)).cast("int")
+
+
 def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
 
 
+def one_blank(text: Column) -> Column:
+    """The white-space tokens with one blank between them."""
+    return F.regexp_replace(strip_space(text), SPACES, " ")
+
+
 def clean_punctuation(text: Column) -> Column:
     """Delete some marks, space out others, strip, and put everything on one line."""
     text = F.regexp_replace(delete(text, DROPPED_MARKS), SPACED_MARKS, " ")
@@ -185,12 +200,13 @@ def clean_text(text: Column, whole_word: bool = False) -> Column:
     Markers such as ``rt`` also vanish inside words unless whole_word is set.
     """
     expanded = expand_contractions(_ascii_lower(text, links=True, whole_word=whole_word))
-    return F.array_join(only_alpha(whitespace_tokens(expanded)), " ")
+    # tokens hold no blanks, so the letter filter works on the joined string as on each token
+    return delete(one_blank(expanded), NON_ALPHA)
 
 
 def clean_text_for_linear(text: Column, whole_word: bool = False) -> Column:
     """As clean_text, without contraction expansion and letter filter."""
-    return F.array_join(whitespace_tokens(_ascii_lower(text, links=True, whole_word=whole_word)), " ")
+    return one_blank(_ascii_lower(text, links=True, whole_word=whole_word))
 
 
 def emoticon_list() -> list[str]:

@@ -66,7 +66,7 @@ def word_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame, damping:
 
 
 def emotion_columns(text: Column, entries=lex.SEED_EMOJI) -> dict[str, Column]:
-    return {**emotion_means(text, entries), "negation": tx.negation_flag(tx.whitespace_tokens(text))}
+    return {**emotion_means(text, entries), "negation": tx.has_negation(text)}
 
 
 def sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame, entries=lex.SEED_EMOJI) -> DataFrame:

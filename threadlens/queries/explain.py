@@ -15,6 +15,7 @@ from threadlens.operators import threads as th
 from threadlens.queries import fixtures as fx
 from threadlens.queries.registry import query
 from threadlens.queries.relational import WORD_WEIGHTS_SQL
+from threadlens.sources.readers import spread
 from threadlens.session import materialize
 
 MAX_REPLIES = 200
@@ -86,7 +87,7 @@ cells AS (SELECT id, score, unnest(range({SIZE})) AS j, unnest(x) AS value, unne
 
 def vectors(spark, sf_dir):
     """(id, x, label) with a label that follows from the first three components."""
-    return fx.table(spark, sf_dir, "embeddings").select(
+    return spread(fx.table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x")
     ).withColumn("label", (F.col("x")[0] + F.col("x")[1] - F.col("x")[2] > 0).cast("int"))
 

@@ -18,6 +18,9 @@ from threadlens.queries.text import (
 )
 
 STOP = lex.english_stop_words()
+REAL = ["anger", "fear", "joy", "sadness", "vader_compound_score", "textblob_polarity_score"]
+# polarities are short decimals, which six digits would cut exactly half way
+DIGITS = {"textblob_polarity_score": 9}
 TOKENS_SQL = fx.sql_word_tokens("text", STOP)
 
 READABILITY_SQL = f"""SELECT doc_id, source,
@@ -147,13 +150,18 @@ def _emotion_sql(position: int, name: str) -> str:
     pattern = "[" + "".join(e[0] for e in kept) + "]"
     values = f"map({fx.sql_list(e[0] for e in kept)}, [{', '.join(str(e[position]) + '::DOUBLE' for e in kept)}])"
     found = f"regexp_extract_all(text, {fx.sql_string(pattern)})"
-    return f"round(coalesce(list_avg(list_transform({found}, lambda c: ({values})[c])), 0.0), 6) AS {name}"
+    return f"coalesce(list_avg(list_transform({found}, lambda c: ({values})[c])), 0.0) AS {name}"
+
+
+def sql_rounded(columns) -> str:
+    return ", ".join(f"round({c}, {DIGITS.get(c, 6)}) + 0.0 AS {c}" for c in columns)
 
 
 EMOTIONS_SQL = ", ".join(_emotion_sql(i + 2, n) for i, n in enumerate(["anger", "fear", "joy", "sadness"]))
 
 
-@query("agg_emotion_mean", f"WITH {fx.POSTS_SQL} SELECT doc_id, {EMOTIONS_SQL} FROM posts")
+@query("agg_emotion_mean", f"WITH {fx.POSTS_SQL}, e AS (SELECT doc_id, {EMOTIONS_SQL} FROM posts) SELECT doc_id, "
+       + sql_rounded(REAL[:4]) + " FROM e")
 def agg_emotion_mean(spark, sf_dir):
     means = ft.emotion_means(F.col("text"))
     return fx.posts(spark, sf_dir).select("doc_id", *[F.round(c, 6).alias(n) for n, c in means.items()])
@@ -167,8 +175,8 @@ scored AS (SELECT doc_id, valence, polarity,
   FROM found JOIN lexicon USING (word)),
 sums AS (SELECT doc_id, sum(CASE WHEN negated THEN -0.74 * valence ELSE valence END) AS s, avg(polarity) AS p,
   count(*) AS n FROM scored GROUP BY doc_id),
-word_scores AS (SELECT p.doc_id, round(coalesce(s / sqrt(s * s + 15), 0) + 0.0, 6) AS vader_compound_score,
-  round(coalesce(sums.p, 0) + 0.0, 9) AS textblob_polarity_score, coalesce(n, 0) AS scored_words
+word_scores AS (SELECT p.doc_id, coalesce(s / sqrt(s * s + 15), 0) AS vader_compound_score,
+  coalesce(sums.p, 0) AS textblob_polarity_score, coalesce(n, 0) AS scored_words
   FROM posts p LEFT JOIN sums USING (doc_id))"""
 
 
@@ -177,14 +185,14 @@ def _word_scores(spark, sf_dir):
 
 
 @query("feat_valence_compound", f"""WITH {fx.POSTS_SQL}, {WORD_SCORE_SQL}
-SELECT doc_id, vader_compound_score, scored_words FROM word_scores""")
+SELECT doc_id, {sql_rounded(["vader_compound_score"])}, scored_words FROM word_scores""")
 def feat_valence_compound(spark, sf_dir):
     return _word_scores(spark, sf_dir).select(
         "doc_id", (F.round("vader_compound_score", 6) + 0.0).alias("vader_compound_score"), "scored_words")
 
 
 @query("feat_polarity_mean", f"""WITH {fx.POSTS_SQL}, {WORD_SCORE_SQL}
-SELECT doc_id, textblob_polarity_score FROM word_scores""")
+SELECT doc_id, {sql_rounded(["textblob_polarity_score"])} FROM word_scores""")
 def feat_polarity_mean(spark, sf_dir):
     return _word_scores(spark, sf_dir).select(
         "doc_id", (F.round("textblob_polarity_score", 9) + 0.0).alias("textblob_polarity_score"))
@@ -195,27 +203,23 @@ SENTIMENT_SQL = f"SELECT doc_id, {EMOTIONS_SQL}, {NEGATION_SQL} AS negation, vad
 
 
 def _rounded(df, columns):
-    return df.withColumns({c: F.round(c, 9 if c == "textblob_polarity_score" else 6) + 0.0 for c in columns})
+    return df.withColumns({c: F.round(c, DIGITS.get(c, 6)) + 0.0 for c in columns})
 
 
-_REAL = ["anger", "fear", "joy", "sadness", "vader_compound_score", "textblob_polarity_score"]
-
-
-@query("feat_sentiment", f"WITH {fx.POSTS_SQL}, {WORD_SCORE_SQL} {SENTIMENT_SQL}")
+@query("feat_sentiment", f"WITH {fx.POSTS_SQL}, {WORD_SCORE_SQL}, s AS ({SENTIMENT_SQL}) "
+       f"SELECT doc_id, negation, {sql_rounded(REAL)} FROM s")
 def feat_sentiment(spark, sf_dir):
-    return _rounded(ft.sentiment(fx.posts(spark, sf_dir), "doc_id", "text", fx.word_scores(spark)), _REAL)
+    return _rounded(ft.sentiment(fx.posts(spark, sf_dir), "doc_id", "text", fx.word_scores(spark)), REAL)
 
 
 _MATRIX = rel.group_columns(["readability", "sentiment"])
-# polarities are short decimals, which six digits would cut exactly half way
-_DIGITS = {c: 9 if c == "textblob_polarity_score" else 6 for c in _MATRIX}
 
 
 @query("feat_matrix_assemble", f"""WITH {fx.POSTS_SQL}, {WORD_SCORE_SQL},
 r AS ({READABILITY_SQL}), s AS ({SENTIMENT_SQL}),
 m AS (SELECT * EXCLUDE (source) FROM r JOIN s USING (doc_id))
 SELECT doc_id, CAST(quality AS DOUBLE) AS ground_truth, """ + ", ".join(
-    f"round(coalesce(({c} - min({c}) OVER ())::DOUBLE / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0), {_DIGITS[c]}) + 0.0 AS {c}"
+    f"round(coalesce(({c} - min({c}) OVER ())::DOUBLE / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0), {DIGITS.get(c, 6)}) + 0.0 AS {c}"
     for c in _MATRIX) + " FROM m LEFT JOIN labels USING (doc_id)")
 def feat_matrix_assemble(spark, sf_dir):
     """Scalar groups of every post with its label, scaled; the label and the key are not scaled."""
@@ -226,17 +230,17 @@ def feat_matrix_assemble(spark, sf_dir):
     labels = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("ground_truth"))
     matrix = materialize(rel.full_outer_features([base, scores, labels], "doc_id"), "raw-matrix")
     scaled = ft.min_max_scale(matrix, _MATRIX)
-    return scaled.select("doc_id", "ground_truth", *[(F.round(c, _DIGITS[c]) + 0.0).alias(c) for c in _MATRIX])
+    return scaled.select("doc_id", "ground_truth", *[(F.round(c, DIGITS.get(c, 6)) + 0.0).alias(c) for c in _MATRIX])
 
 
 @query("feature_group_select", f"""WITH {fx.POSTS_SQL}, {WORD_SCORE_SQL}, r AS ({READABILITY_SQL}), s AS ({SENTIMENT_SQL})
-SELECT r.* EXCLUDE (source) REPLACE (round(avg_word_count, 6) AS avg_word_count), s.* EXCLUDE (doc_id)
+SELECT r.* EXCLUDE (source) REPLACE (round(avg_word_count, 6) AS avg_word_count), negation, {sql_rounded(REAL)}
 FROM r JOIN s USING (doc_id)""")
 def feature_group_select(spark, sf_dir):
     posts = fx.posts(spark, sf_dir)
     wide = ft.readability(posts, ["doc_id", "source"], "text").join(
         ft.sentiment(posts, "doc_id", "text", fx.word_scores(spark)), "doc_id")
-    return _rounded(rel.select_feature_groups(wide, "doc_id", ["readability", "sentiment"]), _REAL + ["avg_word_count"])
+    return _rounded(rel.select_feature_groups(wide, "doc_id", ["readability", "sentiment"]), REAL + ["avg_word_count"])
 
 
 @query("feat_external_scores", f"""WITH {fx.POSTS_SQL} SELECT p.doc_id, round(length(p.text) / 1000.0::DOUBLE, 6) AS size_k,

@@ -18,6 +18,7 @@ from threadlens.operators import splits as sp
 from threadlens.operators import threads as th
 from threadlens.queries import fixtures as fx
 from threadlens.queries.registry import query
+from threadlens.sources.readers import spread
 from threadlens.session import materialize, scratch_path
 
 M = fx.ARITHMETIC
@@ -26,7 +27,7 @@ M = fx.ARITHMETIC
 def vectors(spark, sf_dir):
     """(id, features, label): the label follows from the first three components."""
     x = F.col("embedding")
-    return fx.table(spark, sf_dir, "embeddings").select(
+    return spread(fx.table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("id"), as_vector(x).alias("features"),
         (x[0] + x[1] - x[2] > 0).cast("double").alias("label"))
 

@@ -8,7 +8,7 @@ from threadlens import schemas
 from threadlens.functions import emoji as em
 from threadlens.operators import features as ft
 from threadlens.queries import fixtures as fx
-from threadlens.queries.features import EMOTIONS_SQL, READABILITY_SQL
+from threadlens.queries.features import EMOTIONS_SQL, READABILITY_SQL, REAL, sql_rounded
 from threadlens.queries.registry import query
 from threadlens.queries.text import NEGATION_SQL
 from threadlens.session import scratch_path
@@ -36,7 +36,7 @@ def stream_filter_ingest(spark, sf_dir):
 
 @query("stream_score_features", f"""WITH {fx.POSTS_SQL}, r AS ({READABILITY_SQL}),
 s AS (SELECT doc_id, {EMOTIONS_SQL}, {NEGATION_SQL} AS negation FROM posts)
-SELECT r.* EXCLUDE (source) REPLACE (round(avg_word_count, 6) AS avg_word_count), s.* EXCLUDE (doc_id),
+SELECT r.* EXCLUDE (source) REPLACE (round(avg_word_count, 6) AS avg_word_count), negation, {sql_rounded(REAL[:4])},
   CAST(capitalized_count > 2 * full_capitalized_count AS INTEGER) AS prediction FROM r JOIN s USING (doc_id)""")
 def stream_score_features(spark, sf_dir):
     """Features of arriving posts and the prediction of a fixed rule, batch by batch."""
