@@ -33,6 +33,19 @@ SPACED_MARKS = r"[.,)(|/]"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
+def guarded(pattern: str, skip: str) -> str:
+    """The pattern behind a one-range lookahead that turns most characters away before a wide class is tried.
+
+    ``skip`` must be a range the pattern cannot start with, so the matches stay the same.
+    """
+    return f"(?!{skip}){pattern}"
+
+
+# The same matches as SPACES and NON_ALPHA, faster on mostly ASCII text.
+FAST_SPACES = guarded(SPACES, "[!-~]")
+FAST_NON_ALPHA = guarded(NON_ALPHA, "[a-z]")
+
+
 def delete(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
@@ -43,7 +56,7 @@ def occurrences(text: Column, pattern: str) -> Column:
 
 def whitespace_tokens(text: Column) -> Column:
     """Non-empty runs between white space."""
-    return F.array_remove(F.split(text, SPACES), "")
+    return F.array_remove(F.split(text, FAST_SPACES), "")
 
 
 def word_tokens(text: Column, stop_words: list[str] | None = None) -> Column:
@@ -81,7 +94,8 @@ def emoji_count(text: Column) -> Column:
 def whole_token_pattern(words: list[str]) -> str:
     """Matches a white-space token that equals one of the words; a word with white space inside never does."""
     single = [re.escape(w) for w in words if w and not re.search(r"\s", w)]
-    return f"(?<![^{SPACE}])(?:{'|'.join(single)})(?![^{SPACE}])" if single else "(?!)"
+    start, end = f"(?<![!-~])(?<![^{SPACE}])", f"(?![!-~])(?![^{SPACE}])"
+    return f"{start}(?:{'|'.join(single)}){end}" if single else "(?!)"
 
 
 def slang_count(text: Column, slang: list[str] = lex.SEED_SLANG) -> Column:
@@ -120,12 +134,12 @@ def has_negation(text: Column) -> Column:
 
 
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
+    return F.regexp_replace(text, f"^{SPACES}|{FAST_SPACES}$", "")
 
 
 def one_blank(text: Column) -> Column:
     """The white-space tokens with one blank between them."""
-    return F.regexp_replace(strip_space(text), SPACES, " ")
+    return F.regexp_replace(strip_space(text), FAST_SPACES, " ")
 
 
 def clean_punctuation(text: Column) -> Column:
@@ -191,7 +205,7 @@ def _ascii_lower(text: Column, links: bool, whole_word: bool) -> Column:
 
 def only_alpha(tokens: Column) -> Column:
     """Delete non-letters inside each token; tokens that become empty stay."""
-    return F.transform(tokens, lambda t: F.regexp_replace(t, NON_ALPHA, ""))
+    return F.transform(tokens, lambda t: F.regexp_replace(t, FAST_NON_ALPHA, ""))
 
 
 def clean_text(text: Column, whole_word: bool = False) -> Column:
@@ -201,7 +215,7 @@ def clean_text(text: Column, whole_word: bool = False) -> Column:
     """
     expanded = expand_contractions(_ascii_lower(text, links=True, whole_word=whole_word))
     # tokens hold no blanks, so the letter filter works on the joined string as on each token
-    return delete(one_blank(expanded), NON_ALPHA)
+    return delete(one_blank(expanded), FAST_NON_ALPHA)
 
 
 def clean_text_for_linear(text: Column, whole_word: bool = False) -> Column:
