@@ -163,6 +163,8 @@ def fit_tfidf(df: DataFrame, text: str, low: int = 1, high: int = 3, stop_words:
     chosen = vocabulary(df, text, low, high, stop_words, min_df, max_df, max_features)
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     rows = chosen.select("term", idf.alias("idf")).orderBy("term").collect()
+    if not rows:
+        raise ValueError("no term lies inside the document-frequency range")
     return TfIdf([r["term"] for r in rows], [r["idf"] for r in rows], low, high, stop_words)
 
 

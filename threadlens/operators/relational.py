@@ -149,7 +149,7 @@ def nest_replies(posts: DataFrame, thread: str, pos: str, columns: list[str], hi
     )
 
 
-def concat_posts(posts: DataFrame, user: str, order: str, text: str, width: int = 65536) -> DataFrame:
+def concat_posts(posts: DataFrame, user: str, order: str, text: str, width: int = 4096) -> DataFrame:
     """All posts of a user in order, with nothing between them.
 
     A cell cannot hold an unbounded user, so a user comes as parts: part n covers the order values

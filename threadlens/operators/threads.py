@@ -18,16 +18,17 @@ def term_counts(posts: DataFrame, keys: list[str], text: str, stop_words: list[s
 def thread_tfidf(posts: DataFrame, text: str, stop_words: list[str] | None = None) -> DataFrame:
     """(thread_id, pos, term, weight): per-thread tf-idf fitted on the replies and applied to all posts.
 
-    Document frequencies are aggregates on (thread, term) and norms on (thread, post), so no key is
-    as coarse as a whole thread.
+    The size filter bounds a thread. Texts are cut once: the document frequency is a window on
+    (thread, term) over the same counts, and the norm one on (thread, post).
     """
     counts = term_counts(posts, ["thread_id", "pos"], text, stop_words)
-    replies = posts.where(F.col("pos") > 0).groupBy("thread_id").agg(F.count("*").alias("n"))
-    frequencies = counts.where(F.col("pos") > 0).groupBy("thread_id", "term").agg(F.count("*").alias("df"))
-    idf = frequencies.join(replies, "thread_id").select(
-        "thread_id", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighted = counts.join(idf, ["thread_id", "term"]).select(
-        "thread_id", "pos", "term", (F.col("tf") * F.col("idf")).alias("_w"))
+    replies = posts.groupBy("thread_id").agg(F.count_if(F.col("pos") > 0).alias("n"))
+    df = F.count_if(F.col("pos") > 0).over(Window.partitionBy("thread_id", "term"))
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    weighted = (
+        counts.withColumn("df", df).where(F.col("df") > 0).join(replies, "thread_id")
+        .select("thread_id", "pos", "term", (F.col("tf") * idf).alias("_w"))
+    )
     post = Window.partitionBy("thread_id", "pos")
     return weighted.select(
         "thread_id", "pos", "term",

@@ -9,7 +9,6 @@ from threadlens import lexicons as lex
 from threadlens.functions import text as tx
 from threadlens.operators import explain as ex
 from threadlens.operators import features as ft
-from threadlens.operators import relational as rel
 from threadlens.operators import surrogate as sg
 from threadlens.operators import threads as th
 from threadlens.queries import fixtures as fx
@@ -18,12 +17,9 @@ from threadlens.queries.relational import WORD_WEIGHTS_SQL
 from threadlens.sources.readers import spread
 from threadlens.session import materialize
 
-MAX_REPLIES = 200
-
-
 def scored_threads(spark, sf_dir):
     """Every post with the label and probability of a model trained on the role of the writer."""
-    posts = rel.filter_thread_size(fx.thread_posts(spark, sf_dir), "thread_id", F.col("pos") > 0, 1, MAX_REPLIES)
+    posts = fx.bounded_threads(spark, sf_dir)
     posts = posts.withColumn("clean", tx.clean_text_for_linear(F.col("text")))
     tfidf = ft.fit_tfidf(posts, "clean", 1, 1, lex.english_stop_words(), max_features=300)
     features = materialize(tfidf.transform(posts, "clean", "features"), "thread-features").withColumn(
@@ -61,7 +57,7 @@ r AS (SELECT t.thread_id, t.pos, t.label, t.text, row_number() OVER (
   FROM threads t JOIN mixed USING (thread_id) LEFT JOIN s ON s.thread_id = t.thread_id AND s.pos = t.pos WHERE t.pos > 0)
 SELECT thread_id, label, CAST(rank AS INTEGER) AS rank, text FROM r WHERE rank <= 2""")
 def explain_thread_exemplars(spark, sf_dir):
-    posts = fx.thread_posts(spark, sf_dir)
+    posts = fx.bounded_threads(spark, sf_dir)
     kept = posts.join(sg.mixed_threads(posts), "thread_id", "left_semi")
     weights = th.thread_tfidf(kept, "text", lex.english_stop_words())
     return th.exemplars(th.reply_similarity(kept, weights)).select("thread_id", "label", "rank", "text")

@@ -221,7 +221,7 @@ def cross_join_grid(spark, sf_dir):
 
 
 @query("agg_concat_posts", f"""WITH {fx.POSTS_SQL}
-SELECT source AS user_id, doc_id // 65536 AS part_no, md5(string_agg(text, '' ORDER BY doc_id)) AS digest,
+SELECT source AS user_id, doc_id // 4096 AS part_no, md5(string_agg(text, '' ORDER BY doc_id)) AS digest,
   CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) AS n_posts FROM posts GROUP BY ALL""")
 def agg_concat_posts(spark, sf_dir):
     posts = fx.posts(spark, sf_dir).withColumnRenamed("source", "user_id")
@@ -300,7 +300,7 @@ def agg_class_count(spark, sf_dir):
 # ---- ranking and set operations -------------------------------------------------------------
 
 
-WORD_WEIGHTS_SQL = f"""{fx.THREADS_SQL},
+WORD_WEIGHTS_SQL = f"""{fx.BOUNDED_THREADS_SQL},
 tok AS (SELECT thread_id, pos, unnest({fx.sql_word_tokens('text', lex.english_stop_words())}) AS term FROM threads),
 tf AS (SELECT thread_id, pos, term, count(*) AS tf FROM tok GROUP BY ALL),
 n AS (SELECT thread_id, count(*) AS n FROM threads WHERE pos > 0 GROUP BY thread_id),
@@ -318,7 +318,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY abs(contribut
 SELECT thread_id, word, contribution, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def topk_word_weights(spark, sf_dir):
     """Contribution of the root's words under a fixed weight per word."""
-    posts = fx.thread_posts(spark, sf_dir)
+    posts = fx.bounded_threads(spark, sf_dir)
     weights = th.thread_tfidf(posts, "text", lex.english_stop_words())
     contributions = weights.where(F.col("pos") == 0).select(
         "thread_id", F.col("term").alias("word"),
@@ -334,7 +334,7 @@ r AS (SELECT t.thread_id, t.pos, t.label, t.text, coalesce(s, 0) AS similarity,
   FROM threads t LEFT JOIN s ON s.thread_id = t.thread_id AND s.pos = t.pos WHERE t.pos > 0)
 SELECT thread_id, label, CAST(rank AS INTEGER) AS rank, pos, text, round(similarity, 6) + 0.0 AS similarity FROM r WHERE rank <= 2""")
 def topk_exemplar_replies(spark, sf_dir):
-    posts = fx.thread_posts(spark, sf_dir)
+    posts = fx.bounded_threads(spark, sf_dir)
     weights = th.thread_tfidf(posts, "text", lex.english_stop_words())
     return th.exemplars(th.reply_similarity(posts, weights)).select(
         "thread_id", "label", "rank", "pos", "text", (F.round("similarity", 6) + 0.0).alias("similarity"))
