@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from threadlens.functions.vectors import as_vector
 from threadlens.operators import splits as sp
 from threadlens.operators.skew import top_k
+from threadlens.session import materialize
 
 # Search spaces.
 TENTHS = [round(0.1 * i, 1) for i in range(1, 11)]
@@ -317,17 +318,24 @@ def single_class_label(df: DataFrame, keys: list[str], label: str = "label") ->
         F.when(F.min(label) == F.max(label), F.min(label)).alias("constant_label"), F.count("*").alias("n"))
 
 
-def naive_bayes_counts(terms: DataFrame, documents: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """log P(term | class) from long counts (id, term, tf) and (id, label). Two aggregates, no model object."""
-    joined = terms.join(documents, "id")
-    by_term = joined.groupBy("label", "term").agg(F.sum("tf").alias("n"))
-    by_class = by_term.groupBy("label").agg(F.sum("n").alias("total"))
-    size = by_term.agg(F.count_distinct("term").alias("v")).scalar()
-    classes = by_class.withColumn("_v", size)
-    grid = by_term.select("term").distinct().withColumn("label", F.explode(F.array(F.lit(0), F.lit(1))))
-    filled = grid.join(by_term, ["label", "term"], "left").na.fill(0, ["n"])
-    return filled.join(classes, "label").select(
-        "label", "term", F.log((F.col("n") + alpha) / (F.col("total") + alpha * F.col("_v"))).alias("log_likelihood"))
+def naive_bayes_counts(terms: DataFrame, documents: DataFrame, alpha: float = 1.0, classes=(0, 1)) -> DataFrame:
+    """log P(term | class) from occurrences (id, term, tf) and (id, label).
+
+    Occurrences are summed per (label, term) in one aggregate and written once; the rest works on
+    that table, whose size is the vocabulary's.
+    """
+    by_term = materialize(
+        terms.join(documents, "id").groupBy("term").agg(
+            *[F.sum(F.when(F.col("label") == c, F.col("tf")).otherwise(0)).alias(f"n_{c}") for c in classes]),
+        "term-counts")
+    totals = by_term.agg(F.struct(
+        F.count("*").alias("v"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in classes]).alias("t")).scalar()
+    tagged = by_term.withColumn("_t", totals)
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("label"),
+                 F.log((F.col(f"n_{c}") + alpha) / (F.col(f"_t.n_{c}") + alpha * F.col("_t.v"))).alias("log_likelihood"))
+        for c in classes])
+    return tagged.select("term", F.inline(cells))
 
 
 # ---- exact nearest neighbours ---------------------------------------------------------------

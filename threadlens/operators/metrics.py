@@ -26,37 +26,31 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
     return df.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"))
 
 
-def _class_scores(counts: DataFrame, keys: list[str], label: str, prediction: str) -> DataFrame:
-    """Per class: precision, recall, F1 and support from a table of (label, prediction) counts."""
-    actual = counts.groupBy(*keys, F.col(label).alias("class")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col(label) == F.col(prediction), F.col("n")).otherwise(0)).alias("hits"))
-    predicted = counts.groupBy(*keys, F.col(prediction).alias("class")).agg(F.sum("n").alias("predicted"))
-    joined = actual.join(predicted, keys + ["class"], "full_outer").na.fill(0, ["support", "hits", "predicted"])
-    scored = joined.withColumn("precision", ratio(F.col("hits"), F.col("predicted"))).withColumn(
-        "recall", ratio(F.col("hits"), F.col("support")))
-    p, r = F.col("precision"), F.col("recall")
-    return scored.withColumn("f1", ratio(2 * p * r, p + r)).drop("hits", "predicted")
-
-
-def label_counts(df: DataFrame, keys: list[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Everything the class metrics need: one row per (label, prediction)."""
-    return df.groupBy(*keys, label, prediction).agg(F.count("*").alias("n"))
-
-
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """One row per class, then the plain and the support-weighted averages."""
-    scores = _class_scores(label_counts(df, [], label, prediction), [], label, prediction)
+    """One row per class, then the plain and the support-weighted averages; one pass over the input.
+
+    Counts per (label, prediction) are all the report needs. Each counts once for its true class and
+    once for the predicted one; each class then counts for itself and for both averages.
+    """
+    y, p, n = F.col(label), F.col(prediction), F.col("n")
+    zero = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(y.alias("class"), n.alias("support"), F.when(y == p, n).otherwise(zero).alias("hits"),
+                 zero.alias("predicted")),
+        F.struct(p.alias("class"), zero.alias("support"), zero.alias("hits"), n.alias("predicted")))
+    counts = df.groupBy(label, prediction).agg(F.count("*").alias("n")).select(F.inline(sides))
+    per_class = counts.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "hits", "predicted")])
+    scored = per_class.withColumn("precision", ratio(F.col("hits"), F.col("predicted"))).withColumn(
+        "recall", ratio(F.col("hits"), F.col("support")))
+    precision, recall = F.col("precision"), F.col("recall")
+    scored = scored.withColumn("f1", ratio(2 * precision * recall, precision + recall))
+    rows = F.array(
+        F.struct(F.col("class").cast("string").alias("name"), F.lit(1).cast("long").alias("w")),
+        F.struct(F.lit("macro").alias("name"), F.lit(1).cast("long").alias("w")),
+        F.struct(F.lit("weighted").alias("name"), F.col("support").alias("w")))
     names = ["precision", "recall", "f1"]
-    per_class = scores.select(F.col("class").cast("string").alias("class"), *names, "support")
-    averages = scores.agg(
-        *[F.avg(n).alias(f"macro_{n}") for n in names],
-        *[ratio(F.sum(F.col(n) * F.col("support")), F.sum("support")).alias(f"weighted_{n}") for n in names],
-        F.sum("support").alias("support"))
-    for kind in ("macro", "weighted"):
-        per_class = per_class.unionByName(averages.select(
-            F.lit(kind).alias("class"), *[F.col(f"{kind}_{n}").alias(n) for n in names], "support"))
-    return per_class
+    return scored.select(*names, "support", F.inline(rows)).groupBy(F.col("name").alias("class")).agg(
+        *[ratio(F.sum(F.col(c) * F.col("w")), F.sum("w")).alias(c) for c in names], F.sum("support").alias("support"))
 
 
 def cv_summary(df: DataFrame, fold: str, label: str = "label", prediction: str = "prediction") -> DataFrame:

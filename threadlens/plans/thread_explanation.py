@@ -27,7 +27,7 @@ def explain(posts: DataFrame, black_box: Callable[[DataFrame], DataFrame], low:
         black_box(bounded).select("thread_id", "pos", "user_id", "tweet_text", "text", "label", "proba"), "scored-posts")
     distinct = sg.distinct_posts(scored, ["user_id", "tweet_text", "text"]).withColumn(
         "clean", tx.clean_text_for_linear(F.col("tweet_text")))
-    weights = th.thread_tfidf(distinct, "clean", lex.english_stop_words())
+    weights = materialize(th.thread_tfidf(distinct, "clean", lex.english_stop_words()), "term-weights")
     surrogates = materialize(sg.thread_surrogates(distinct, weights), "surrogates")
     shown = scored.select("thread_id", "pos", F.col("tweet_text").alias("text"), "label", "proba")
     results = sg.explain_threads(shown, surrogates)

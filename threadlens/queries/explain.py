@@ -59,7 +59,7 @@ SELECT thread_id, label, CAST(rank AS INTEGER) AS rank, text FROM r WHERE rank <
 def explain_thread_exemplars(spark, sf_dir):
     posts = fx.bounded_threads(spark, sf_dir)
     kept = posts.join(sg.mixed_threads(posts), "thread_id", "left_semi")
-    weights = th.thread_tfidf(kept, "text", lex.english_stop_words())
+    weights = materialize(th.thread_tfidf(kept, "text", lex.english_stop_words()), "weights")
     return th.exemplars(th.reply_similarity(kept, weights)).select("thread_id", "label", "rank", "text")
 
 

@@ -11,11 +11,11 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from threadlens import lexicons as lex
+from threadlens.functions import text as tx
 from threadlens.functions.vectors import as_vector
 from threadlens.operators import classifiers as cl
 from threadlens.operators import features as ft
 from threadlens.operators import splits as sp
-from threadlens.operators import threads as th
 from threadlens.queries import fixtures as fx
 from threadlens.queries.registry import query
 from threadlens.sources.readers import spread
@@ -125,8 +125,8 @@ SELECT g.label, term, round(ln((coalesce(n, 0) + 1.0) / (total + 1.0 * v)), 6) A
 FROM g LEFT JOIN n USING (label, term) JOIN t ON t.label = g.label, v""")
 def clf_naive_bayes(spark, sf_dir):
     """Word likelihoods per class of the labelled documents."""
-    terms = th.term_counts(fx.posts(spark, sf_dir), ["doc_id"], "text", lex.english_stop_words()).withColumnRenamed(
-        "doc_id", "id")
+    words = tx.word_tokens(F.col("text"), lex.english_stop_words())
+    terms = fx.posts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode(words).alias("term"), F.lit(1).alias("tf"))
     labels = fx.table(spark, sf_dir, "labels").selectExpr("doc_id AS id", "quality AS label")
     return cl.naive_bayes_counts(terms, labels).withColumn("log_likelihood", F.round("log_likelihood", 6))
 

@@ -12,6 +12,7 @@ from threadlens.operators import threads as th
 from threadlens.operators.skew import position_in_group
 from threadlens.queries import fixtures as fx
 from threadlens.queries.registry import query
+from threadlens.session import materialize
 
 LOW, HIGH = 3, 7
 TOKEN_SQL = fx.arithmetic_sql("doc_id")
@@ -335,7 +336,7 @@ r AS (SELECT t.thread_id, t.pos, t.label, t.text, coalesce(s, 0) AS similarity,
 SELECT thread_id, label, CAST(rank AS INTEGER) AS rank, pos, text, round(similarity, 6) + 0.0 AS similarity FROM r WHERE rank <= 2""")
 def topk_exemplar_replies(spark, sf_dir):
     posts = fx.bounded_threads(spark, sf_dir)
-    weights = th.thread_tfidf(posts, "text", lex.english_stop_words())
+    weights = materialize(th.thread_tfidf(posts, "text", lex.english_stop_words()), "weights")
     return th.exemplars(th.reply_similarity(posts, weights)).select(
         "thread_id", "label", "rank", "pos", "text", (F.round("similarity", 6) + 0.0).alias("similarity"))
 
