@@ -103,15 +103,27 @@ def test_single_class_and_weights(spark):
     assert {r.label: r.weight for r in cl.class_weights(df).collect()} == {0: 2.0, 1: pytest.approx(4 / 6)}
 
 
+def brute_force(x, ids, q, k):
+    d = np.sqrt(((x - q) ** 2).sum(axis=1))
+    return [ids[i] for i in np.lexsort((ids, d))[:k]]
+
+
 def test_neighbours_equal_brute_force(spark, planted):
-    rows = planted.orderBy("id").collect()
-    x = np.array([r.x for r in rows])
-    queries = planted.where("id < 30").select(F.col("id").alias("query_id"), "x")
-    train = planted.where("id >= 30").select(F.col("id").alias("train_id"), "label", "x")
-    near = cl.nearest_neighbours(queries, train, k=5, block=100)
-    for q in near.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "train_id"))).alias("n")).collect():
-        d = np.sqrt(((x[30:] - x[q.query_id]) ** 2).sum(axis=1))
-        assert [n.train_id for n in q.n] == (np.argsort(d, kind="stable")[:5] + 30).tolist()
+    """Noise visits many cells; the second set has a hot cluster, copies and far outliers."""
+    rng = np.random.default_rng(3)
+    hot = np.vstack([rng.normal(0, 0.01, (200, 3)), np.ones((20, 3)), rng.normal(50, 5, (30, 3))])
+    clustered = spark.createDataFrame(
+        [(i, [float(v) for v in r], i % 2) for i, r in enumerate(hot)], "id long, x array<double>, label int")
+    for df in (planted, clustered):
+        rows = df.orderBy("id").collect()
+        x, ids = np.array([r.x for r in rows if r.id % 8]), np.array([r.id for r in rows if r.id % 8])
+        queries = df.where("id % 8 = 0").select(F.col("id").alias("query_id"), "x")
+        train = df.where("id % 8 <> 0").select(F.col("id").alias("train_id"), "label", "x")
+        near = cl.nearest_neighbours(queries, train, k=5, pivots=12, block=50, query_block=20)
+        found = near.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "train_id"))).alias("n")).collect()
+        assert len(found) == queries.count()
+        for q in found:
+            assert [n.train_id for n in q.n] == brute_force(x, ids, np.array(rows[q.query_id].x), 5)
     tie = spark.createDataFrame([(1, 0, 1), (1, 1, 2)], "query_id long, label int, rank int")
     assert cl.vote(tie).first().prediction == 0
 

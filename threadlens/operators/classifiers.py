@@ -341,22 +341,57 @@ def naive_bayes_counts(terms: DataFrame, documents: DataFrame, alpha: float = 1.
 # ---- exact nearest neighbours ---------------------------------------------------------------
 
 
-def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Distances from plain differences; the expanded square would lose the digits the bounds rest on."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points], axis=1)
+
+
+def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, pivots: int = 64, block: int = 4096,
+                       query_block: int = 16384) -> DataFrame:
     """(query_id, train_id, label, distance, rank): the exact k nearest rows, ties by id.
 
-    queries(query_id, x), train(train_id, label, x). Both sides are cut into hash blocks; a task
-    compares one block with one block in numpy and returns k rows per query, so no pair list exists
-    and no task holds more than two blocks.
+    queries(query_id, x), train(train_id, label, x). Training rows belong to the cell of their
+    nearest pivot. A query's k-th distance is at most the k-th smallest of (distance to a pivot +
+    distance of one of that cell's first members to it), and by the triangle inequality it visits
+    only cells that can hold something nearer. Large cells and large query sets are cut into
+    blocks by hash; a task compares one block with one block in numpy and returns k rows per query.
     """
-    q_blocks = max(1, -(-queries.count() // block))
-    t_blocks = max(1, -(-train.count() // block))
+    chosen = train.orderBy(F.xxhash64("train_id"), "train_id").limit(pivots).select("x").collect()
+    centres = np.array([r["x"] for r in chosen], dtype=float)
+    q_blocks = max(1, -(-queries.count() // query_block))
+
+    @F.pandas_udf("cell int, reach double")
+    def assign(x: pd.Series) -> pd.DataFrame:
+        d = _distances(np.stack(x.to_numpy()), centres)
+        return pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "reach": d.min(axis=1)})
+
+    cells = materialize(train.withColumn("_a", assign("x")).select("train_id", "label", "x", "_a.*"), "cells")
+    stats = cells.groupBy("cell").agg(F.max("reach").alias("radius"), F.count("*").alias("n")).orderBy("cell").collect()
+    first = top_k(cells.select("cell", "reach", "train_id"), ["cell"], [F.col("reach"), F.col("train_id")], k,
+                  ["train_id"]).select("cell", "reach").collect()
+    ids = np.array([r["cell"] for r in stats])
+    radius = np.array([r["radius"] for r in stats])
+    parts = {r["cell"]: -(-r["n"] // block) for r in stats}
+    near_cell, near_reach = np.array([r["cell"] for r in first]), np.array([r["reach"] for r in first])
+
+    @F.pandas_udf("array<struct<cell: int, part: int>>")
+    def visits(x: pd.Series) -> pd.Series:
+        d = _distances(np.stack(x.to_numpy()), centres)
+        upper = d[:, near_cell] + near_reach
+        bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(d), np.inf)
+        open_cells = d[:, ids] - radius <= (bound + 1e-6 * (1.0 + bound))[:, None]
+        return pd.Series([
+            [{"cell": int(c), "part": p} for c in ids[row] for p in range(parts[int(c)])] for row in open_cells])
+
     q = queries.select(
         "query_id", F.col("x").alias("qx"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).alias("tb"))
+        F.inline(visits("x")))
+    # at most `pivots` rows, so the broadcast is bounded
+    sizes = F.broadcast(train.sparkSession.createDataFrame(list(parts.items()), "cell int, parts long"))
     # aliases give the right side attributes of its own when both inputs share a lineage
-    t = train.select(
+    t = cells.join(sizes, "cell").select(
         F.col("train_id").alias("near_id"), F.col("label").alias("near_label"), F.col("x").alias("tx"),
-        F.pmod(F.xxhash64("train_id"), F.lit(t_blocks)).cast("int").alias("tb2"),
+        F.col("cell").alias("cell2"), F.pmod(F.xxhash64("train_id"), F.col("parts")).cast("int").alias("part2"),
         F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb2"))
 
     def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -364,17 +399,17 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, block:
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
         a, b = np.stack(left["qx"].to_numpy()), np.stack(right["tx"].to_numpy())
-        ids, labels = right["near_id"].to_numpy(), right["near_label"].to_numpy()
-        parts = []
+        near_ids, labels = right["near_id"].to_numpy(), right["near_label"].to_numpy()
+        found = []
         for query_id, row in zip(left["query_id"], a):
             distance = np.sqrt(((b - row) ** 2).sum(axis=1))
-            near = np.lexsort((ids, distance))[:k]
-            parts.append(pd.DataFrame({"query_id": query_id, "train_id": ids[near], "label": labels[near],
+            near = np.lexsort((near_ids, distance))[:k]
+            found.append(pd.DataFrame({"query_id": query_id, "train_id": near_ids[near], "label": labels[near],
                                        "distance": distance[near]}))
-        return pd.concat(parts, ignore_index=True)[columns]
+        return pd.concat(found, ignore_index=True)[columns]
 
     schema = "query_id long, train_id long, label int, distance double"
-    candidates = q.groupBy("qb", "tb").cogroup(t.groupBy("qb2", "tb2")).applyInPandas(closest, schema)
+    candidates = q.groupBy("cell", "part", "qb").cogroup(t.groupBy("cell2", "part2", "qb2")).applyInPandas(closest, schema)
     return top_k(candidates, ["query_id"], [F.col("distance"), F.col("train_id")], k, ["train_id"])
 
 

@@ -236,9 +236,9 @@ def model_score_batch(spark, sf_dir):
     return cl.predictions(cl.Fitted("logistic", PipelineModel.load(path)), data, ["id"])
 
 
-@query("model_save_load")
+@query("model_save_load", "SELECT vec_id AS id, TRUE AS equal FROM embeddings")
 def model_save_load(spark, sf_dir):
-    """Predictions before saving and after loading; the rows must agree."""
+    """Whether each prediction is the same before saving and after loading."""
     data = vectors(spark, sf_dir)
     fitted = cl.fit("random_forest", data, numTrees=5, maxDepth=4)
     path = scratch_path(spark, "model")
@@ -246,24 +246,29 @@ def model_save_load(spark, sf_dir):
     before = cl.predictions(fitted, data, ["id"]).select("id", F.col("proba").alias("before"))
     after = cl.predictions(cl.Fitted("random_forest", PipelineModel.load(path)), data, ["id"]).select(
         "id", F.col("proba").alias("after"))
-    return before.join(after, "id").withColumn("equal", F.col("before") == F.col("after"))
+    return before.join(after, "id").select("id", (F.col("before") == F.col("after")).alias("equal"))
 
 
 # ---- model-based features --------------------------------------------------------------------
 
 
-@query("feat_trait_scores")
+@query("feat_trait_scores", f"""SELECT vec_id AS id,
+  round(embedding[1]::DOUBLE - embedding[2]::DOUBLE, 4) + 0.0 AS extraversion,
+  round(embedding[3]::DOUBLE + 2 * embedding[4]::DOUBLE, 4) + 0.0 AS openness
+FROM embeddings WHERE {fx.arithmetic_sql('vec_id', 42)} < {M * 20 // 100}""")
 def feat_trait_scores(spark, sf_dir):
-    """One linear regressor per trait, applied to the held-out vectors."""
-    x = F.col("embedding")
-    data = sp.train_test(fx.table(spark, sf_dir, "embeddings").select(
+    """One linear regressor per trait, applied to the held-out vectors; the planted traits are linear."""
+    x = F.col("embedding").cast("array<double>")
+    data = spread(fx.table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("id"), as_vector(x).alias("features"),
-        (x[0] - x[1]).cast("double").alias("extraversion"), (x[2] + x[3] * 2).cast("double").alias("openness")), ["id"])
+        (x[0] - x[1]).alias("extraversion"), (x[2] + x[3] * 2).alias("openness"))
+    data = sp.train_test(data, ["id"], 20, token=fx.arithmetic_token("id", 42), modulus=M)
     scored = data.where("is_test = 1")
-    for trait in ("extraversion", "openness"):
-        model = LinearRegression(labelCol=trait, predictionCol=f"pred_{trait}", regParam=1e-6).fit(data.where("is_test = 0"))
-        scored = model.transform(scored)
-    return scored.select("id", "extraversion", "pred_extraversion", "openness", "pred_openness")
+    traits = ["extraversion", "openness"]
+    for trait in traits:
+        model = LinearRegression(labelCol=trait, predictionCol=f"pred_{trait}", solver="normal")
+        scored = model.fit(data.where("is_test = 0")).transform(scored)
+    return scored.select("id", *[(F.round(f"pred_{t}", 4) + 0.0).alias(t) for t in traits])
 
 
 @query("feat_gender_predict")
