@@ -6,7 +6,7 @@ import importlib
 
 from threadlens.llm import registry
 
-MODULES = ["query_lines"]
+MODULES = ["query_lines", "query_models"]
 
 
 def _load() -> None:
