@@ -6,7 +6,7 @@ import importlib
 
 from threadlens.llm import registry
 
-MODULES = ["query_lines", "query_models"]
+MODULES = ["query_lines", "query_models", "query_text"]
 
 
 def _load() -> None:
