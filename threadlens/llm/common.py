@@ -81,6 +81,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     current = materialize(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b"))
         .distinct(), f"{label}-edges")
+    if current.isEmpty():
+        return current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     before = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -108,3 +110,26 @@ def ragged(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str, solve: Callable[[pa.Table], pa.RecordBatch],
+            rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Calls solve with whole groups of a partition that is sorted by key, about ``rows`` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    waiting = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            waiting += batch.num_rows
+        if waiting < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = table[key].to_numpy()
+        cut = int(np.searchsorted(last, last[-1]))
+        if cut:
+            yield solve(table.slice(0, cut).combine_chunks())
+        held = table.slice(cut).to_batches()
+        waiting = 0 if cut else waiting
+        rows = rows if cut else 2 * rows
+    if held:
+        yield solve(pa.Table.from_batches(held).combine_chunks())
