@@ -66,7 +66,8 @@ def test_vocabulary_pruning_equals_full_counting(spark, monkeypatch):
     texts = ["red red car", "red car park", "blue car", "park bench red car", "blue blue sky"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
     pruned = rows(ft.vocabulary(df, "t", 1, 3, [], min_df=0.4, max_df=0.9), "term")
-    monkeypatch.setattr(ft, "MAX_FREQUENT", 0)
+    crowded = ft.frequent_slots
+    monkeypatch.setattr(ft, "frequent_slots", lambda tokens, least: crowded(tokens, F.lit(0)))  # every word passes
     assert pruned == rows(ft.vocabulary(df, "t", 1, 3, [], min_df=0.4, max_df=0.9), "term")
     assert [(r[0], r[1], r[2]) for r in pruned] == [
         ("blue", 3, 2), ("car", 4, 4), ("park", 2, 2), ("red", 4, 3), ("red car", 3, 3)]
@@ -173,11 +174,34 @@ def test_metrics_by_hand(spark):
     assert report["1"] == (0.0, 0.0, 0.0, 3) and report["0"][:2] == (0.5, 1.0)
 
 
-def test_concat_and_list_in_parts(spark):
-    df = spark.createDataFrame([("u", i, f"{i},") for i in range(10)], "user string, pos long, t string").repartition(4)
-    got = rows(rel.concat_posts(df, "user", "pos", "t", width=4), "part_no")
-    assert [r[2] for r in got] == ["0,1,2,3,", "4,5,6,7,", "8,9,"]
-    assert "".join(r[2] for r in rows(rel.concat_posts(df, "user", "pos", "t"), "part_no")) == "0,1,2,3,4,5,6,7,8,9,"
+def test_one_row_per_user_and_root_at_any_length(spark):
+    posts = [("u", i, f"{i},") for i in range(6000)] + [("v", 5000, "x"), ("v", 0, "y")]
+    df = spark.createDataFrame(posts, "user string, pos long, t string").repartition(4)
+    got = {r.user: (r.corpus, r.n_posts) for r in rel.concat_posts(df, "user", "pos", "t").collect()}
+    assert got == {"u": ("".join(f"{i}," for i in range(6000)), 6000), "v": ("yx", 2)}
+    lists = {r.user: r.reply_ids for r in rel.list_replies(df, "user", "pos", "t", width=64).collect()}
+    assert lists["u"] == [f"{i}," for i in range(6000)] and lists["v"] == ["y", "x"]
+
+
+def test_nested_threads_of_any_size(spark):
+    posts = [(1, i, f"t{i}") for i in range(301)] + [(2, 0, "lone")]
+    got = {r.thread: r for r in rel.nest_replies(spark.createDataFrame(posts, "thread int, pos int, t string").repartition(3),
+                                                 "thread", "pos", ["t"]).collect()}
+    assert got[1].n_replies == 300 and [p.t for p in got[1].replies] == [f"t{i}" for i in range(1, 301)]
+    assert got[2].n_replies == 0 and got[2].replies == [] and got[2].t == "lone"
+
+
+def test_distinct_first_by_digest(spark):
+    df = spark.createDataFrame([("a", "x", 3), ("a", "x", 1), ("a", None, 2), (None, "a", 5), ("a", "", 4)], "l string, t string, i int")
+    got = {(r.l, r.t, r.i) for r in rel.distinct_first(df, ["l", "t"], "i").collect()}
+    assert got == {("a", "x", 1), ("a", None, 2), (None, "a", 5), ("a", "", 4)}
+
+
+def test_shared_folder(spark):
+    from threadlens.session import shared_dir
+
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_dir(spark) == (configured or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
 def test_best_by_tie_rules(spark):

@@ -125,8 +125,9 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_balance(df: DataFrame, label: str = "label") -> DataFrame:
-    """Adds the class weight as column balance. There is one weight per class, so the join side is tiny."""
-    return df.join(class_weights(df, label).withColumnRenamed("weight", "balance"), label)
+    """Adds the class weight as column balance: a look-up in a map with one entry per class, so no row is moved."""
+    entries = class_weights(df, label).agg(F.map_from_entries(F.collect_list(F.struct(label, "weight")))).scalar()
+    return df.withColumn("balance", F.element_at(entries, F.col(label)))
 
 
 @dataclass(frozen=True)

@@ -20,7 +20,6 @@ from threadlens.operators import splits as sp
 from threadlens.operators.skew import hash_order
 from threadlens.session import scratch_path
 
-MAX_TREE_NODES = 2_000_000
 
 
 def linear_scorer(weights: list[float], intercept: float = 0.0):
@@ -150,9 +149,7 @@ def tree_table(spark, model) -> TreeTable:
         "treeID", "id", F.col("split.featureIndex").alias("feature"),
         F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), "leftChild", "rightChild",
         "prediction", "impurityStats",
-    ).orderBy("treeID", "id").limit(MAX_TREE_NODES + 1).toPandas()
-    if len(rows) > MAX_TREE_NODES:
-        raise ValueError(f"the ensemble has more than {MAX_TREE_NODES} nodes")
+    ).orderBy("treeID", "id").toPandas()  # bounded by the model: at most trees * 2 ** (depth + 1) nodes
     place = {(t, i): n for n, (t, i) in enumerate(zip(rows["treeID"], rows["id"]))}
     child = {side: np.array([place.get((t, c), -1) for t, c in zip(rows["treeID"], rows[side])])
              for side in ("leftChild", "rightChild")}

@@ -16,7 +16,8 @@ from threadlens.functions.emoji import emotion_means
 from threadlens.functions.vectors import sparse_entries
 
 
-MAX_FREQUENT = 20_000
+#: Hash slots of the filter that keeps rare words out of n-grams.
+SLOTS = 1 << 16
 
 
 def readability_columns(text: Column, slang: list[str] = lex.SEED_SLANG) -> dict[str, Column]:
@@ -84,13 +85,24 @@ def with_grams(df: DataFrame, text: str, low: int, high: int, stop_words: list[s
     return tokens.withColumn(out, tx.ngrams(F.col("_tokens"), low, high)).drop("_tokens")
 
 
-def frequent_tokens(tokens: DataFrame, min_count: Column) -> list[str] | None:
-    """Tokens of at least ``min_count`` texts, or None when there are more than MAX_FREQUENT of them."""
+def frequent_slots(tokens: DataFrame, min_count: Column, slots: int = SLOTS) -> Column:
+    """Array of booleans over hash slots, true where a token of at least ``min_count`` texts falls; one row.
+
+    Its size is fixed. A slot that an infrequent token shares lets that token pass, so the array may only be used to
+    leave work out, never to decide.
+    """
     frequent = (
         tokens.select(F.explode(F.array_distinct("_tokens")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-        .where(F.col("df") >= min_count).select("t").limit(MAX_FREQUENT + 1).collect()
+        .where(F.col("df") >= min_count).select(slot_of(F.col("t"), slots).alias("slot")).distinct()
     )
-    return [r["t"] for r in frequent] if len(frequent) <= MAX_FREQUENT else None
+    every = tokens.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
+    hit = every.join(frequent.withColumn("_hit", F.lit(True)), "slot", "left").select(
+        "slot", F.coalesce("_hit", F.lit(False)).alias("hit"))
+    return hit.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "hit"))), lambda s: s["hit"])).scalar()
+
+
+def slot_of(token: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
 
 
 def vocabulary(df: DataFrame, text: str, low: int = 1, high: int = 3, stop_words: list[str] | None = None,
@@ -103,10 +115,9 @@ def vocabulary(df: DataFrame, text: str, low: int = 1, high: int = 3, stop_words
     """
     n_docs = df.agg(F.count("*").alias("n")).scalar()
     tokens = df.select(tx.word_tokens(F.col(text), stop_words).alias("_tokens"))
-    frequent = frequent_tokens(tokens, n_docs * min_df) if high > 1 and min_df > 0 else None
-    if frequent is not None:
-        listed = ", ".join(f"'{t}'" for t in frequent) or "''"  # tokens hold letters, digits and '_' only
-        tokens = tokens.select(F.expr(f"transform(_tokens, t -> IF(t IN ({listed}), t, NULL))").alias("_tokens"))
+    if high > 1 and min_df > 0:
+        passing = tokens.withColumn("_slots", frequent_slots(tokens, n_docs * min_df))
+        tokens = passing.select(F.transform("_tokens", lambda t: F.when(F.get("_slots", slot_of(t)), t)).alias("_tokens"))
     texts = tokens.select(tx.ngrams(F.col("_tokens"), low, high).alias("_grams"))
     counted = texts.select(F.inline(F.concat(
         F.transform("_grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),

@@ -139,39 +139,34 @@ def attach_history(posts: DataFrame, history: DataFrame, author: str) -> DataFra
     return posts.join(history, author)
 
 
-def nest_replies(posts: DataFrame, thread: str, pos: str, columns: list[str], high: int = 200) -> DataFrame:
-    """One row per thread with its replies as an ordered array; threads above ``high`` are excluded."""
-    kept = filter_thread_size(posts, thread, F.col(pos) > 0, 1, high)
-    return kept.groupBy(thread).agg(
+def nest_replies(posts: DataFrame, thread: str, pos: str, columns: list[str]) -> DataFrame:
+    """One row per thread with its replies as an ordered array, empty for a root without replies."""
+    return posts.groupBy(thread).agg(
         F.array_sort(F.collect_list(F.when(F.col(pos) > 0, F.struct(pos, *columns)))).alias("replies"),
-        F.any_value("n_replies").alias("n_replies"),
+        F.count_if(F.col(pos) > 0).alias("n_replies"),
         *[F.max(F.when(F.col(pos) == 0, F.col(c))).alias(c) for c in columns],
     )
 
 
-def concat_posts(posts: DataFrame, user: str, order: str, text: str, width: int = 4096) -> DataFrame:
-    """All posts of a user in order, with nothing between them.
+def _in_order(rows: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:
+    """(key, _items): the values of a key in order. Ranges of ``width`` order values are sorted apart, so the sorting
+    of a hot key is shared by many tasks; its last step only puts sorted ranges one behind the other."""
+    ranges = rows.groupBy(key, F.floor(F.col(order) / F.lit(width)).alias("_range")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda p: p[value]).alias("_part"))
+    return ranges.groupBy(key).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_range", "_part"))), lambda r: r["_part"]))
+        .alias("_items"))
 
-    A cell cannot hold an unbounded user, so a user comes as parts: part n covers the order values
-    [n * width, (n + 1) * width). A user inside one range is a single row, and the parts in order
-    are the whole corpus.
-    """
-    return (
-        posts.groupBy(user, F.floor(F.col(order) / F.lit(width)).alias("part_no"))
-        .agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_posts"))
-        .select(user, "part_no",
-                F.array_join(F.transform("_posts", lambda p: p[text]), "").alias("corpus"),
-                F.size("_posts").cast("long").alias("n_posts"))
-    )
+
+def concat_posts(posts: DataFrame, user: str, order: str, text: str, width: int = 4096) -> DataFrame:
+    """All posts of a user in order, with nothing between them; one row per user, however many posts."""
+    return _in_order(posts, user, order, text, width).select(
+        user, F.array_join("_items", "").alias("corpus"), F.size("_items").cast("long").alias("n_posts"))
 
 
 def list_replies(replies: DataFrame, root: str, order: str, reply_id: str, width: int = 65536) -> DataFrame:
-    """Ordered reply ids per root, in parts of bounded length as in concat_posts."""
-    return (
-        replies.groupBy(root, F.floor(F.col(order) / F.lit(width)).alias("part_no"))
-        .agg(F.array_sort(F.collect_list(F.struct(order, reply_id))).alias("_ids"))
-        .select(root, "part_no", F.transform("_ids", lambda p: p[reply_id]).alias("reply_ids"))
-    )
+    """Ordered reply ids, one row per root."""
+    return _in_order(replies, root, order, reply_id, width).withColumnRenamed("_items", "reply_ids")
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -181,8 +176,15 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def distinct_first(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """One row per distinct value of the columns, the first by ``order``. Copies collapse before the shuffle."""
-    return df.groupBy(*columns).agg(F.min(order).alias(order))
+    """One row per distinct value of the columns, the first by ``order``.
+
+    Rows are shuffled by a 256-bit digest of the values, their length and presence, and collapse before that; the
+    values of the winner travel with it once per task.
+    """
+    values = F.struct(*columns)
+    digest = F.sha2(F.to_json(values, {"ignoreNullFields": "false"}), 256)
+    return df.groupBy(digest.alias("_digest")).agg(F.min(order).alias(order), F.any_value(values).alias("_values")).select(
+        "_values.*", order)
 
 
 def reply_stats(sizes: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ class Lexicons:
 
 
 def user_corpora(posts: DataFrame, truth: DataFrame) -> DataFrame:
-    """(user_id, part_no, corpus, ground_truth) from posts(user_id, post_pos, text) and labels."""
+    """(user_id, corpus, n_posts, ground_truth) from posts(user_id, post_pos, text) and labels."""
     return rel.concat_posts(posts, "user_id", "post_pos", "text").join(truth, "user_id")
 
 

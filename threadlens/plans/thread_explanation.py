@@ -10,21 +10,20 @@ from pyspark.sql import functions as F
 from threadlens import lexicons as lex
 from threadlens.functions import text as tx
 from threadlens.operators import metrics as mt
-from threadlens.operators import relational as rel
 from threadlens.operators import surrogate as sg
 from threadlens.operators import threads as th
 from threadlens.session import materialize
 
 
-def explain(posts: DataFrame, black_box: Callable[[DataFrame], DataFrame], low: int = 10, high: int = 200) -> dict:
+def explain(posts: DataFrame, black_box: Callable[[DataFrame], DataFrame]) -> dict:
     """Tables of one run over posts(thread_id, pos, user_id, tweet_text, text).
 
     ``black_box`` adds label and proba from ``text``, the author's history, and runs once over all
-    posts; the per-thread part then works on ``tweet_text``. No loop over threads exists.
+    posts; the per-thread part then works on ``tweet_text``. Threads of any size are explained; the size filter
+    belongs to the collection.
     """
-    bounded = rel.filter_thread_size(posts, "thread_id", F.col("pos") > 0, low, high)
     scored = materialize(
-        black_box(bounded).select("thread_id", "pos", "user_id", "tweet_text", "text", "label", "proba"), "scored-posts")
+        black_box(posts).select("thread_id", "pos", "user_id", "tweet_text", "text", "label", "proba"), "scored-posts")
     distinct = sg.distinct_posts(scored, ["user_id", "tweet_text", "text"]).withColumn(
         "clean", tx.clean_text_for_linear(F.col("tweet_text")))
     weights = materialize(th.thread_tfidf(distinct, "clean", lex.english_stop_words()), "term-weights")

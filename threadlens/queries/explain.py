@@ -19,9 +19,9 @@ from threadlens.session import materialize
 
 def scored_threads(spark, sf_dir):
     """Every post with the label and probability of a model trained on the role of the writer."""
-    posts = fx.bounded_threads(spark, sf_dir)
+    posts = fx.thread_posts(spark, sf_dir)
     posts = posts.withColumn("clean", tx.clean_text_for_linear(F.col("text")))
-    tfidf = ft.fit_tfidf(posts, "clean", 1, 1, lex.english_stop_words(), max_features=300)
+    tfidf = ft.fit_tfidf(posts, "clean", 1, 1, lex.english_stop_words())
     features = materialize(tfidf.transform(posts, "clean", "features"), "thread-features").withColumn(
         "role_label", (F.col("role") == "user").cast("double"))
     model = LogisticRegression(labelCol="role_label", regParam=0.05, maxIter=20).fit(features)
@@ -57,7 +57,7 @@ r AS (SELECT t.thread_id, t.pos, t.label, t.text, row_number() OVER (
   FROM threads t JOIN mixed USING (thread_id) LEFT JOIN s ON s.thread_id = t.thread_id AND s.pos = t.pos WHERE t.pos > 0)
 SELECT thread_id, label, CAST(rank AS INTEGER) AS rank, text FROM r WHERE rank <= 2""")
 def explain_thread_exemplars(spark, sf_dir):
-    posts = fx.bounded_threads(spark, sf_dir)
+    posts = fx.thread_posts(spark, sf_dir)
     kept = posts.join(sg.mixed_threads(posts), "thread_id", "left_semi")
     weights = materialize(th.thread_tfidf(kept, "text", lex.english_stop_words()), "weights")
     return th.exemplars(th.reply_similarity(kept, weights)).select("thread_id", "label", "rank", "text")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from threadlens import lexicons as lex
 from threadlens.functions import text as tx
-from threadlens.operators.relational import filter_thread_size
 from threadlens.sources.readers import spread
 
 OPENINGS = [
@@ -69,20 +68,6 @@ THREADS_SQL = """threads AS (
   FROM conversations)"""
 
 
-MAX_REPLIES = 200
-
-
-def bounded_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts of the threads that the size filter lets through: 1 to MAX_REPLIES replies."""
-    return filter_thread_size(thread_posts(spark, sf_dir), "thread_id", F.col("pos") > 0, 1, MAX_REPLIES)
-
-
-BOUNDED_THREADS_SQL = f"""threads AS (
-  SELECT conv_id AS thread_id, turn AS pos, role, text, CAST(length(text) % 2 AS INTEGER) AS label
-  FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn > 0 GROUP BY conv_id
-    HAVING count(*) BETWEEN 1 AND {MAX_REPLIES}))"""
-
-
 def arithmetic_token(column: str, seed: int = 0) -> Column:
     """Spread of an id over [0, ARITHMETIC) that any SQL engine computes alike."""
     return (F.col(column) * F.lit(2654435761) + F.lit(seed * 7919)) % F.lit(ARITHMETIC)

@@ -168,25 +168,25 @@ def join_lexicon_count(spark, sf_dir):
 
 @query("join_author_history", """WITH r AS (SELECT source, doc_id, text,
   row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rank FROM documents),
-h AS (SELECT source, string_agg(text, '' ORDER BY rank) AS history, count(*) AS n_posts FROM r WHERE rank <= 10 GROUP BY source)
+h AS (SELECT source, string_agg(text, '' ORDER BY rank) AS history, count(*) AS n_posts FROM r WHERE rank <= 100 GROUP BY source)
 SELECT doc_id, source, md5(history) AS digest, CAST(length(history) AS BIGINT) AS n_chars, n_posts
 FROM documents JOIN h USING (source)""")
 def join_author_history(spark, sf_dir):
     documents = fx.table(spark, sf_dir, "documents")
     history = rel.recent_history(
-        documents.select("source", "doc_id", "text"), "source", [F.desc("doc_id")], ["doc_id"], "text", 10)
+        documents.select("source", "doc_id", "text"), "source", [F.desc("doc_id")], ["doc_id"], "text", 100)
     digest = history.select("source", F.md5("history").alias("digest"),
                             F.length("history").cast("long").alias("n_chars"), "n_posts")
     return rel.attach_history(documents.select("doc_id", "source"), digest, "source")
 
 
 @query("join_nest_replies", f"""WITH {SIZES_SQL}
-SELECT thread_id, any_value(n_replies) AS n_replies,
-  string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (pos > 0) AS reply_positions,
-  md5(string_agg(text, '|' ORDER BY pos) FILTER (pos > 0)) AS digest, md5(max(text) FILTER (pos = 0)) AS root_digest
-FROM threads JOIN sizes USING (thread_id) WHERE n_replies BETWEEN 1 AND {HIGH} GROUP BY thread_id""")
+SELECT thread_id, coalesce(any_value(n_replies), 0) AS n_replies,
+  coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (pos > 0), '') AS reply_positions,
+  md5(coalesce(string_agg(text, '|' ORDER BY pos) FILTER (pos > 0), '')) AS digest, md5(max(text) FILTER (pos = 0)) AS root_digest
+FROM threads LEFT JOIN sizes USING (thread_id) GROUP BY thread_id""")
 def join_nest_replies(spark, sf_dir):
-    nested = rel.nest_replies(fx.thread_posts(spark, sf_dir), "thread_id", "pos", ["text"], HIGH)
+    nested = rel.nest_replies(fx.thread_posts(spark, sf_dir), "thread_id", "pos", ["text"])
     return nested.select(
         "thread_id", "n_replies", F.array_join(F.transform("replies", lambda r: r["pos"]), ",").alias("reply_positions"),
         F.md5(F.array_join(F.transform("replies", lambda r: r["text"]), "|")).alias("digest"),
@@ -222,12 +222,12 @@ def cross_join_grid(spark, sf_dir):
 
 
 @query("agg_concat_posts", f"""WITH {fx.POSTS_SQL}
-SELECT source AS user_id, doc_id // 4096 AS part_no, md5(string_agg(text, '' ORDER BY doc_id)) AS digest,
-  CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) AS n_posts FROM posts GROUP BY ALL""")
+SELECT source AS user_id, md5(string_agg(text, '' ORDER BY doc_id)) AS digest,
+  CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) AS n_posts FROM posts GROUP BY source""")
 def agg_concat_posts(spark, sf_dir):
     posts = fx.posts(spark, sf_dir).withColumnRenamed("source", "user_id")
     corpus = rel.concat_posts(posts, "user_id", "doc_id", "text")
-    return corpus.select("user_id", "part_no", F.md5("corpus").alias("digest"),
+    return corpus.select("user_id", F.md5("corpus").alias("digest"),
                          F.length("corpus").cast("long").alias("n_chars"), "n_posts")
 
 
@@ -255,9 +255,9 @@ def agg_label_homophily(spark, sf_dir):
     return rel.thread_homophily(fx.thread_posts(spark, sf_dir), "thread_id", "pos", "label")
 
 
-@query("agg_group_to_list", """SELECT conv_id AS root_id, turn // 65536 AS part_no,
+@query("agg_group_to_list", """SELECT conv_id AS root_id,
   string_agg((conv_id * 100 + turn)::VARCHAR, ',' ORDER BY turn) AS reply_ids
-FROM conversations WHERE turn > 0 GROUP BY ALL""")
+FROM conversations WHERE turn > 0 GROUP BY conv_id""")
 def agg_group_to_list(spark, sf_dir):
     replies = fx.table(spark, sf_dir, "conversations").where("turn > 0").selectExpr(
         "conv_id AS root_id", "turn", "conv_id * 100 + turn AS reply_id")
@@ -301,7 +301,7 @@ def agg_class_count(spark, sf_dir):
 # ---- ranking and set operations -------------------------------------------------------------
 
 
-WORD_WEIGHTS_SQL = f"""{fx.BOUNDED_THREADS_SQL},
+WORD_WEIGHTS_SQL = f"""{fx.THREADS_SQL},
 tok AS (SELECT thread_id, pos, unnest({fx.sql_word_tokens('text', lex.english_stop_words())}) AS term FROM threads),
 tf AS (SELECT thread_id, pos, term, count(*) AS tf FROM tok GROUP BY ALL),
 n AS (SELECT thread_id, count(*) AS n FROM threads WHERE pos > 0 GROUP BY thread_id),
@@ -319,7 +319,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY abs(contribut
 SELECT thread_id, word, contribution, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def topk_word_weights(spark, sf_dir):
     """Contribution of the root's words under a fixed weight per word."""
-    posts = fx.bounded_threads(spark, sf_dir)
+    posts = fx.thread_posts(spark, sf_dir)
     weights = th.thread_tfidf(posts, "text", lex.english_stop_words())
     contributions = weights.where(F.col("pos") == 0).select(
         "thread_id", F.col("term").alias("word"),
@@ -335,7 +335,7 @@ r AS (SELECT t.thread_id, t.pos, t.label, t.text, coalesce(s, 0) AS similarity,
   FROM threads t LEFT JOIN s ON s.thread_id = t.thread_id AND s.pos = t.pos WHERE t.pos > 0)
 SELECT thread_id, label, CAST(rank AS INTEGER) AS rank, pos, text, round(similarity, 6) + 0.0 AS similarity FROM r WHERE rank <= 2""")
 def topk_exemplar_replies(spark, sf_dir):
-    posts = fx.bounded_threads(spark, sf_dir)
+    posts = fx.thread_posts(spark, sf_dir)
     weights = materialize(th.thread_tfidf(posts, "text", lex.english_stop_words()), "weights")
     return th.exemplars(th.reply_similarity(posts, weights)).select(
         "thread_id", "label", "rank", "pos", "text", (F.round("similarity", 6) + 0.0).alias("similarity"))

@@ -11,24 +11,18 @@ from threadlens.queries.registry import query
 from threadlens.session import scratch_path
 from threadlens.sources import readers, writers
 
-POSTS_PER_AUTHOR = 512
 
-
-@query("scan_xml_posts", f"""WITH {fx.POSTS_SQL}, a AS (
-  SELECT source || '_' || (doc_id // {POSTS_PER_AUTHOR}) AS user_id, doc_id, text FROM posts)
-SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY doc_id) - 1 AS INTEGER) AS post_pos,
-  md5(replace(text, chr(13), chr(10))) AS digest FROM a""")
+@query("scan_xml_posts", f"""WITH {fx.POSTS_SQL}
+SELECT source AS user_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS post_pos,
+  md5(replace(text, chr(13), chr(10))) AS digest FROM posts""")
 def scan_xml_posts(spark, sf_dir):
-    """Author files with a bounded number of posts each; a long history continues in the next file."""
-    posts = fx.posts(spark, sf_dir).withColumn(
-        "user_id", F.concat_ws("_", "source", F.floor(F.col("doc_id") / POSTS_PER_AUTHOR)))
-    authors = posts.groupBy("user_id").agg(
+    """Several authors per file, each with an id of its own."""
+    authors = fx.posts(spark, sf_dir).groupBy("source").agg(
         F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("p")
-    ).select("user_id", F.struct(F.transform("p", lambda d: d["text"]).alias("document")).alias("documents"))
+    ).select(F.col("source").alias("_id"), F.struct(F.transform("p", lambda d: d["text"]).alias("document")).alias("documents"))
     path = scratch_path(spark, "xml")
-    authors.write.format("xml").option("rootTag", "authors").option("rowTag", "author").partitionBy("user_id").save(path)
-    folder = F.regexp_extract("_metadata.file_path", "user_id=([^/]+)/", 1)
-    return readers.read_author_xml(spark, path, folder).select("user_id", "post_pos", F.md5("text").alias("digest"))
+    authors.write.format("xml").option("rootTag", "authors").option("rowTag", "author").save(path)
+    return readers.read_author_xml(spark, path).select("user_id", "post_pos", F.md5("text").alias("digest"))
 
 
 @query("scan_truth_labels", "SELECT 'user' || doc_id AS user_id, quality AS ground_truth FROM labels")
@@ -63,7 +57,7 @@ def _nested_threads(spark, sf_dir):
     posts = fx.thread_posts(spark, sf_dir).select(
         "thread_id", "pos", (F.col("thread_id") * 100 + F.col("pos")).cast("string").alias("tweet_id"),
         F.col("role").alias("user_id"), F.col("text").alias("tweet_text"), F.upper("role").alias("text"))
-    nested = rel.nest_replies(posts, "thread_id", "pos", ["tweet_id", "user_id", "tweet_text", "text"], 200)
+    nested = rel.nest_replies(posts, "thread_id", "pos", ["tweet_id", "user_id", "tweet_text", "text"])
     replies = F.transform("replies", lambda r: r.dropFields("pos"))
     return nested.select(F.col("thread_id").alias("thread_no"), F.struct(
         "tweet_id", "user_id", "tweet_text", "text", replies.alias("replies")).alias("thread"))
@@ -71,7 +65,7 @@ def _nested_threads(spark, sf_dir):
 
 _LONG_SQL = """SELECT CAST(conv_id * 100 AS VARCHAR) AS thread_id, CAST(turn AS INTEGER) AS pos,
   CAST(conv_id * 100 + turn AS VARCHAR) AS tweet_id, role AS user_id, md5(text) AS digest
-FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) FILTER (turn > 0) BETWEEN 1 AND 200)"""
+FROM conversations"""
 
 
 def _thread_round_trip(spark, sf_dir):

@@ -15,6 +15,7 @@ TRUTH = T.StructType([
 ])
 
 AUTHOR_XML = T.StructType([
+    T.StructField("_id", T.StringType()),
     T.StructField("documents", T.StructType([
         T.StructField("document", T.ArrayType(T.StringType())),
     ])),

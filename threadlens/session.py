@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -10,10 +11,11 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
+                  checkpoint_dir: str | None = None) -> SparkSession:
     """Session with the settings the library relies on.
 
-    AQE coalesces and splits shuffle partitions at run time, so the initial shuffle width is
+    ``checkpoint_dir`` is the folder for written tables; on a cluster it has to be one that all machines reach. AQE coalesces and splits shuffle partitions at run time, so the initial shuffle width is
     left to the cluster unless the caller passes one.
     """
     builder = (
@@ -27,27 +29,43 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     if master:
         builder = builder.master(master)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: spark.checkpoint.dir, or a local one when it is unset."""
+    """The folder all executors can reach: spark.checkpoint.dir.
+
+    Where it is unset, a session in one process gets a folder of its own, which goes when the process ends. On a
+    cluster there is no folder to guess, so the setting is asked for.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    local = tempfile.mkdtemp(prefix="threadlens-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir (build_session(checkpoint_dir=...)) to a folder that all machines reach")
+    own = tempfile.mkdtemp(prefix="threadlens-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/threadlens/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/threadlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables that this application has written to the shared folder; call it when they are read no more."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/threadlens/{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, label: str):

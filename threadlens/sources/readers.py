@@ -22,8 +22,8 @@ def spread(df: DataFrame) -> DataFrame:
 def read_author_xml(spark: SparkSession, path: str, user: Column | None = None) -> DataFrame:
     """(user_id, post_pos, text): one row per document element of each author element.
 
-    The user is the file's stem unless another expression over ``_metadata`` or the partition
-    columns is given.
+    The user is the author element's ``id``, or the file's stem where there is none, unless another expression over
+    ``_metadata`` or the partition columns is given.
     """
     authors = (
         spark.read.format("xml").option("rowTag", "author").option("ignoreSurroundingSpaces", "false")
@@ -31,7 +31,7 @@ def read_author_xml(spark: SparkSession, path: str, user: Column | None = None)
     )
     stem = F.substring_index(F.col("_metadata.file_name"), ".", 1)
     return authors.select(
-        (stem if user is None else user).alias("user_id"), F.posexplode("documents.document").alias("post_pos", "text")
+        (F.coalesce("_id", stem) if user is None else user).alias("user_id"), F.posexplode("documents.document").alias("post_pos", "text")
     )
 
 
