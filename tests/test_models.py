@@ -54,6 +54,34 @@ def test_classifiers_beat_the_majority(planted, name, params):
     assert score > max(share, 1 - share) + 0.1
 
 
+@pytest.mark.parametrize("name, params", [("svm_rbf", {"gamma": 0.1, "maxIter": 5}), ("logistic", {"maxIter": 5}),
+                                          ("naive_bayes", {}), ("svm_poly", {"degree": 2, "maxIter": 5})])
+def test_saved_models_score_as_before(planted, tmp_path, name, params):
+    from pyspark.ml import PipelineModel
+
+    data = vectors(planted).withColumn("features", positive("features")) if name == "naive_bayes" else vectors(planted)
+    fitted = cl.fit(name, data, **params)
+    fitted.model.write().overwrite().save(str(tmp_path / name))
+    again = cl.Fitted(name, PipelineModel.load(str(tmp_path / name)))
+    before, after = (cl.predictions(f, data, ["id"]).orderBy("id").collect() for f in (fitted, again))
+    assert before == after and len(before) == data.count()
+    assert all((r.proba is None) == name.startswith("svm") for r in after)
+
+
+def positive(column):
+    from threadlens.functions.vectors import as_vector
+
+    return as_vector(F.transform(cl.vector_to_array(F.col(column)), lambda v: F.abs(v)))
+
+
+def test_neighbours_can_be_tuned(planted):
+    data = vectors(planted)
+    searches, best = cl.compare_classifiers(data, ["id"], {"knn": {"n_neighbors": [1, 5]}, "logistic": {"c": [1.0]}}, folds=2)
+    assert len(searches["knn"].rows) == 2 and all(0.5 < r[2] <= 1 for r in searches["knn"].rows)
+    knn = cl.predictions(cl.fit("knn", data, n_neighbors=1), data, ["id"])
+    assert knn.where("label <> prediction").count() == 0 and best.name in ("knn", "logistic")
+
+
 def test_unknown_names_are_errors(planted):
     with pytest.raises(KeyError):
         cl.fit("KNN-typo", vectors(planted))

@@ -11,13 +11,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
     OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ GRIDS = {
     "knn": {"n_neighbors": NEIGHBOURS},
 }
 RANDOM_DRAWS = 50
+#: Pivots of the neighbour search, which every task holds.
+MAX_PIVOTS = 2048
 
 
 def expand_grid(grid: dict[str, list]) -> list[dict]:
@@ -57,24 +63,55 @@ def draw_grid(grid: dict[str, list], draws: int = RANDOM_DRAWS, seed: int = 42)
 # ---- estimators ------------------------------------------------------------------------------
 
 
-class RandomFourierFeatures:
-    """Cosine features whose inner products approximate exp(-gamma * squared distance)."""
+class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Cosine features whose inner products approximate exp(-gamma * squared distance).
 
-    def __init__(self, gamma: float, size: int = 256, seed: int = 42):
-        self.gamma, self.size, self.seed = gamma, size, seed
+    A pipeline stage: its weights follow from its parameters, so a saved pipeline scores as the fitted one does.
+    """
+
+    gamma = Param(Params._dummy(), "gamma", "width of the kernel", TypeConverters.toFloat)
+    dim = Param(Params._dummy(), "dim", "number of input features", TypeConverters.toInt)
+    size = Param(Params._dummy(), "size", "number of cosine features", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the weights", TypeConverters.toInt)
 
-    def transform(self, df: DataFrame, features: str = "features", out: str = "rff") -> DataFrame:
-        dim = df.schema[features].metadata.get("ml_attr", {}).get("num_attrs") or len(df.first()[features])
-        rng = np.random.default_rng(self.seed)
-        weights = rng.normal(0.0, np.sqrt(2 * self.gamma), (dim, self.size))
-        shift = rng.uniform(0.0, 2 * np.pi, self.size)
-        scale = np.sqrt(2.0 / self.size)
+    @keyword_only
+    def __init__(self, *, gamma=1.0, dim=1, size=256, seed=42, inputCol="features", outputCol="rff"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+        self._setDefault(gamma=1.0, dim=1, size=256, seed=42, inputCol="features", outputCol="rff")
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        gamma, dim, size = (self.getOrDefault(p) for p in (self.gamma, self.dim, self.size))
+        rng = np.random.default_rng(self.getOrDefault(self.seed))
+        weights = rng.normal(0.0, np.sqrt(2 * gamma), (dim, size))
+        shift = rng.uniform(0.0, 2 * np.pi, size)
+        scale = np.sqrt(2.0 / size)
 
         @F.pandas_udf("array<double>")
         def project(x: pd.Series) -> pd.Series:
             return pd.Series(list(scale * np.cos(np.stack(x.to_numpy()) @ weights + shift)))
 
-        return df.withColumn(out, as_vector(project(vector_to_array(F.col(features)))))
+        return df.withColumn(self.getOutputCol(), as_vector(project(vector_to_array(F.col(self.getInputCol())))))
+
+
+class NeighbourModel:
+    """Votes of the k nearest training rows; scores like an MLlib model."""
+
+    def __init__(self, train: DataFrame, k: int):
+        self.train = materialize(
+            train.select(F.monotonically_increasing_id().alias("train_id"), F.col("label").cast("int").alias("label"),
+                         vector_to_array("features").alias("x")), "neighbours")
+        self.k = k
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = materialize(df.withColumn("_query", F.monotonically_increasing_id()), "neighbour-queries")
+        near = nearest_neighbours(rows.select(F.col("_query").alias("query_id"), vector_to_array("features").alias("x")),
+                                  self.train, self.k)
+        share = near.groupBy("query_id").agg(F.avg((F.col("label") == 1).cast("double")).alias("_share"))
+        voted = vote(near).join(share, "query_id").select(
+            F.col("query_id").alias("_query"), F.col("prediction").cast("double").alias("prediction"),
+            as_vector(F.array(1 - F.col("_share"), F.col("_share"))).alias("probability"))
+        return rows.join(voted, "_query").drop("_query")
 
 
 def make(name: str, n_rows: int, n_features: int, **p) -> Pipeline:
@@ -92,7 +129,7 @@ def make(name: str, n_rows: int, n_features: int, **p) -> Pipeline:
             svc = svc.copy({svc.featuresCol: "expanded"})
             stages = [PolynomialExpansion(degree=degree, inputCol="features", outputCol="expanded"), svc]
         elif name == "svm_rbf":
-            stages = [svc.copy({svc.featuresCol: "rff"})]
+            stages = [RandomFourierFeatures(gamma=p.get("gamma", 1.0), dim=n_features), svc.copy({svc.featuresCol: "rff"})]
     elif name == "random_forest":
         stages = [RandomForestClassifier(
             numTrees=p.get("numTrees", 200), maxDepth=p.get("maxDepth", 10), bootstrap=True,
@@ -133,27 +170,26 @@ def with_balance(df: DataFrame, label: str = "label") -> DataFrame:
 @dataclass(frozen=True)
 class Fitted:
     name: str
-    model: PipelineModel
-    prepare: object = None
+    model: PipelineModel | NeighbourModel
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.prepare.transform(df) if self.prepare else df)
+        return self.model.transform(df)
 
 
 def fit(name: str, train: DataFrame, n_rows: int | None = None, n_features: int | None = None, **params) -> Fitted:
     n_rows = n_rows or train.count()
     n_features = n_features or len(train.first()["features"])
-    prepare = RandomFourierFeatures(params.get("gamma", 1.0)) if name == "svm_rbf" else None
+    if name == "knn":
+        return Fitted(name, NeighbourModel(train, params.get("n_neighbors", 5)))
     if name == "naive_bayes" and not params.get("fit_prior", True):
         train = with_balance(train)
-    ready = prepare.transform(train) if prepare else train
-    return Fitted(name, make(name, n_rows, n_features, **params).fit(ready), prepare)
+    return Fitted(name, make(name, n_rows, n_features, **params).fit(train))
 
 
 def predictions(fitted: Fitted, df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, label, prediction, proba): proba is P(1), or the margin's sign side where no probability exists."""
+    """(keys, label, prediction, proba): proba is P(1), or null for a model without one."""
     scored = fitted.transform(df)
-    proba = vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction")
+    proba = vector_to_array("probability")[1] if "probability" in scored.columns else F.lit(None).cast("double")
     kept = keys + (["label"] if "label" in df.columns else [])
     return scored.select(*kept, F.col("prediction").cast("int").alias("prediction"), proba.alias("proba"))
 
@@ -319,14 +355,14 @@ def single_class_label(df: DataFrame, keys: list[str], label: str = "label") ->
         F.when(F.min(label) == F.max(label), F.min(label)).alias("constant_label"), F.count("*").alias("n"))
 
 
-def naive_bayes_counts(terms: DataFrame, documents: DataFrame, alpha: float = 1.0, classes=(0, 1)) -> DataFrame:
-    """log P(term | class) from occurrences (id, term, tf) and (id, label).
+def naive_bayes_counts(occurrences: DataFrame, alpha: float = 1.0, classes=(0, 1)) -> DataFrame:
+    """log P(term | class) from occurrences (label, term, tf).
 
-    Occurrences are summed per (label, term) in one aggregate and written once; the rest works on
-    that table, whose size is the vocabulary's.
+    Occurrences are summed per term in one aggregate and written once; the rest works on that table, whose size is the
+    vocabulary's. Labels belong to the documents before these are cut into terms, so terms are never joined.
     """
     by_term = materialize(
-        terms.join(documents, "id").groupBy("term").agg(
+        occurrences.groupBy("term").agg(
             *[F.sum(F.when(F.col("label") == c, F.col("tf")).otherwise(0)).alias(f"n_{c}") for c in classes]),
         "term-counts")
     totals = by_term.agg(F.struct(
@@ -347,7 +383,7 @@ def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points], axis=1)
 
 
-def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, pivots: int = 64, block: int = 4096,
+def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, pivots: int | None = None, block: int = 4096,
                        query_block: int = 16384) -> DataFrame:
     """(query_id, train_id, label, distance, rank): the exact k nearest rows, ties by id.
 
@@ -356,7 +392,11 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, pivots:
     distance of one of that cell's first members to it), and by the triangle inequality it visits
     only cells that can hold something nearer. Large cells and large query sets are cut into
     blocks by hash; a task compares one block with one block in numpy and returns k rows per query.
+    A block of training rows goes only to the query blocks that ask for it. There are about as many
+    pivots as the root of the training rows, at most MAX_PIVOTS. On rows without clusters most cells
+    stay open and the work is quadratic.
     """
+    pivots = pivots or int(min(MAX_PIVOTS, max(8, train.count() ** 0.5)))
     chosen = train.orderBy(F.xxhash64("train_id"), "train_id").limit(pivots).select("x").collect()
     centres = np.array([r["x"] for r in chosen], dtype=float)
     q_blocks = max(1, -(-queries.count() // query_block))
@@ -392,8 +432,9 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, pivots:
     # aliases give the right side attributes of its own when both inputs share a lineage
     t = cells.join(sizes, "cell").select(
         F.col("train_id").alias("near_id"), F.col("label").alias("near_label"), F.col("x").alias("tx"),
-        F.col("cell").alias("cell2"), F.pmod(F.xxhash64("train_id"), F.col("parts")).cast("int").alias("part2"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb2"))
+        F.col("cell").alias("cell2"), F.pmod(F.xxhash64("train_id"), F.col("parts")).cast("int").alias("part2"))
+    asked = q.select(F.col("cell").alias("cell2"), F.col("part").alias("part2"), F.col("qb").alias("qb2")).distinct()
+    t = t.join(asked, ["cell2", "part2"])
 
     def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "train_id", "label", "distance"]
@@ -401,13 +442,15 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, pivots:
             return pd.DataFrame(columns=columns)
         a, b = np.stack(left["qx"].to_numpy()), np.stack(right["tx"].to_numpy())
         near_ids, labels = right["near_id"].to_numpy(), right["near_label"].to_numpy()
-        found = []
-        for query_id, row in zip(left["query_id"], a):
+        count = min(k, len(b))
+        chosen, values = np.empty((len(a), count), np.int64), np.empty((len(a), count))
+        for i, row in enumerate(a):
             distance = np.sqrt(((b - row) ** 2).sum(axis=1))
-            near = np.lexsort((near_ids, distance))[:k]
-            found.append(pd.DataFrame({"query_id": query_id, "train_id": near_ids[near], "label": labels[near],
-                                       "distance": distance[near]}))
-        return pd.concat(found, ignore_index=True)[columns]
+            chosen[i] = np.lexsort((near_ids, distance))[:count]
+            values[i] = distance[chosen[i]]
+        flat = chosen.ravel()
+        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), count), "train_id": near_ids[flat],
+                             "label": labels[flat], "distance": values.ravel()})[columns]
 
     schema = "query_id long, train_id long, label int, distance double"
     candidates = q.groupBy("cell", "part", "qb").cogroup(t.groupBy("cell2", "part2", "qb2")).applyInPandas(closest, schema)

@@ -126,9 +126,10 @@ FROM g LEFT JOIN n USING (label, term) JOIN t ON t.label = g.label, v""")
 def clf_naive_bayes(spark, sf_dir):
     """Word likelihoods per class of the labelled documents."""
     words = tx.word_tokens(F.col("text"), lex.english_stop_words())
-    terms = fx.posts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode(words).alias("term"), F.lit(1).alias("tf"))
-    labels = fx.table(spark, sf_dir, "labels").selectExpr("doc_id AS id", "quality AS label")
-    return cl.naive_bayes_counts(terms, labels).withColumn("log_likelihood", F.round("log_likelihood", 6))
+    labels = fx.table(spark, sf_dir, "labels").selectExpr("doc_id", "quality AS label")
+    occurrences = fx.posts(spark, sf_dir).join(labels, "doc_id").select(
+        "label", F.explode(words).alias("term"), F.lit(1).alias("tf"))
+    return cl.naive_bayes_counts(occurrences).withColumn("log_likelihood", F.round("log_likelihood", 6))
 
 
 @query("clf_naive_bayes_model")
@@ -275,7 +276,7 @@ def feat_trait_scores(spark, sf_dir):
 def feat_gender_predict(spark, sf_dir):
     """TF-IDF without stop list and the scalar counts, scaled with the stored ranges, through a naive Bayes model."""
     posts = fx.posts(spark, sf_dir)
-    tfidf = ft.fit_tfidf(posts, "text", 1, 2, max_features=200)
+    tfidf = ft.fit_tfidf(posts, "text", 1, 4)
     names = ["avg_word_count", "slang_count", "emoji_count", "capitalized_count", "full_capitalized_count",
              "retweets_count", "url_count"]
     columns = ft.readability_columns(F.col("text"))
