@@ -59,23 +59,21 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tu
     place in item); None if it needs more than k edits. The occurrence may start and end anywhere."""
     width = high - low + 1
     at = np.arange(width)
-    far = len(item) + len(text) + 1
+    # places outside the text hold a letter that equals none: taking one costs what leaving out the item's letter costs
+    room = np.full(len(item) + width, 0xFFFFFFFF, np.uint32)
+    a, b = max(0, low), min(len(text), low + len(room))
+    if b > a:
+        room[a - low:b - low] = text[a:b]
     # row i, entry d: fewest edits for item[:i] against a piece of text that ends before place i + low + d
-    place = low + at
-    row = np.where((place >= 0) & (place <= len(text)), 0, far)
-    for i in range(1, len(item) + 1):
-        place = i + low + at
-        inside = (place >= 1) & (place <= len(text))
-        letter = text[np.clip(place - 1, 0, max(0, len(text) - 1))] if len(text) else np.zeros(width, np.uint32)
-        step = np.where(inside, row + (letter != item[i - 1]), far)
-        up = np.append(row[1:], far) + 1
-        best = np.where((place >= 0) & (place <= len(text)), np.minimum(step, up), far)
+    row = np.zeros(width, np.int64)
+    for i in range(len(item)):
+        best = row + (room[i:i + width] != item[i])
+        np.minimum(best[:-1], row[1:] + 1, out=best[:-1])
         row = np.minimum.accumulate(best - at) + at
-        row = np.where((place >= 0) & (place <= len(text)), row, far)
-        if row.min() > k:
+        if i % 16 == 15 and row.min() > k:
             return None
     best = int(row.argmin())
-    return (len(item) + low + best, int(row[best])) if row[best] <= k else None
+    return (min(len(text), len(item) + low + best), int(row[best])) if row[best] <= k else None
 
 
 class ItemIndex:
@@ -98,6 +96,7 @@ class ItemIndex:
         self.owner, self.place = owner[order], place[order]
         self.grams, first = np.unique(flat[order], return_index=True)
         self.first = np.append(first, len(flat))
+        self.hit = np.zeros(len(flat), bool)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
@@ -114,16 +113,22 @@ class ItemIndex:
         size = self.first[found + 1] - self.first[found]
         where = np.repeat(self.first[found] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         item = self.owner[where]
-        # an item needs `least` hits in all before its bands are looked at
-        enough = np.bincount(item, minlength=len(self.ids)) >= self.least
-        keep = enough[item]
-        item, diagonal = item[keep], (np.repeat(at, size) - self.place[where])[keep]
-        if not len(item):
+        # an item needs hits at `least` of its places before its bands are looked at
+        self.hit[where] = True
+        enough = np.bincount(self.owner[np.flatnonzero(self.hit)], minlength=len(self.ids)) >= self.least
+        self.hit[where] = False
+        if not enough.any():
             return []
-        band = diagonal // self.step[item]
+        keep = enough[item]
+        item, place = item[keep], self.place[where][keep]
+        band = (np.repeat(at, size)[keep] - place) // self.step[item]
         spread = np.int64(1) << 40
         code = np.concatenate([item * spread + band, item * spread + band - 1]) + (spread >> 1)
-        bands, count = np.unique(code, return_counts=True)
+        # a place of the item counts once in a band
+        order = np.lexsort((np.tile(place, 2), code))
+        code, place = code[order], np.tile(place, 2)[order]
+        new = np.concatenate([[True], (code[1:] != code[:-1]) | (place[1:] != place[:-1])])
+        bands, count = np.unique(code[new], return_counts=True)
         owner = bands // spread
         full = count >= self.least[owner]
         return [(int(o), int((c - o * spread - (spread >> 1)) * self.step[o]))
