@@ -208,3 +208,19 @@ def test_best_by_tie_rules(spark):
     df = spark.createDataFrame([("a", 0.7, 0), ("b", 0.7, 1), ("c", 0.1, 2)], "name string, s double, p int")
     assert rel.best_by(df, "s", "p", "name").first().best == "b"
     assert rel.best_by(df, "s", "p", "name", last_wins=False).first().best == "a"
+
+
+def test_emotions_from_a_table_equal_the_columns(spark):
+    from threadlens import lexicons as lex
+    from threadlens.functions import emoji as em
+
+    kept = lex.gated_emoji(lex.SEED_EMOJI, True)
+    table = spark.createDataFrame([(e[0], e[1], *map(float, e[2:6])) for e in kept],
+                                  "emoji string, name string, anger double, fear double, joy double, sadness double")
+    marks = [e[0] for e in kept]
+    texts = [marks[0] * 2 + " a " + marks[-1], "none", "é" + marks[1], None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    by_table = {r.id: tuple(r)[1:] for r in em.emotion_means_by(df, "id", "t", table).collect()}
+    inline = df.select("id", *[c.alias(n) for n, c in em.emotion_means(F.col("t")).items()]).collect()
+    for r in inline:
+        assert by_table[r.id] == pytest.approx(tuple(x or 0.0 for x in tuple(r)[1:]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens import lexicons as lex
@@ -36,11 +36,24 @@ def emotion_means(text: Column, entries=lex.SEED_EMOJI, name_gate: bool = True)
     kept = lex.gated_emoji(entries, name_gate)
     found = F.regexp_extract_all(text, F.lit(_char_class(kept)), F.lit(0))
 
-    def mean(position: int) -> Column:
-        values = F.map_from_arrays(
-            F.array(*[F.lit(e[0]) for e in kept]), F.array(*[F.lit(float(e[position])) for e in kept])
-        )
-        total = F.aggregate(found, F.lit(0.0), lambda acc, c: acc + F.element_at(values, c))
-        return F.when(F.size(found) > 0, total / F.size(found)).otherwise(F.lit(0.0))
-
-    return {name: mean(i + 2) for i, name in enumerate(EMOTIONS)}
+    values = F.map_from_arrays(
+        F.array(*[F.lit(e[0]) for e in kept]),
+        F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(EMOTIONS, e[2:6])]) for e in kept]))
+    scores = F.transform(found, lambda c: F.element_at(values, c))
+    total = F.aggregate(scores, F.struct(*[F.lit(0.0).alias(n) for n in EMOTIONS]),
+                        lambda acc, s: F.struct(*[(acc[n] + s[n]).alias(n) for n in EMOTIONS]))
+    mean = F.when(F.size(found) > 0, total)
+    return {n: F.coalesce(mean[n] / F.size(found), F.lit(0.0)) for n in EMOTIONS}
+
+
+def emotion_means_by(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """The same means from a table (emoji, name, anger, fear, joy, sadness) of any length, one row per key.
+
+    Emoji are counted per key before they meet the table; names are taken as they are. Keys without a known emoji get 0.
+    """
+    marks = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"([^\x00-\x7F])"))).alias("emoji"))
+    counts = marks.groupBy(key, "emoji").agg(F.count("*").alias("_n"))
+    sums = counts.join(lexicon.select("emoji", *EMOTIONS).dropDuplicates(["emoji"]), "emoji").groupBy(key).agg(
+        *[(F.sum(F.col(n) * F.col("_n")) / F.sum("_n")).alias(n) for n in EMOTIONS])
+    return df.select(key).distinct().join(sums, key, "left").select(
+        key, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in EMOTIONS])

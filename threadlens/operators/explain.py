@@ -227,7 +227,7 @@ def tree_attributions(df: DataFrame, model, reference: list[float]) -> DataFrame
 
 
 def path_contributions(df: DataFrame, model) -> DataFrame:
-    """(id, bias, contributions array): each split's change of the node value goes to its feature."""
+    """(id, bias, x, contributions): each split's change of the node value goes to its feature; x is the row itself."""
     table = tree_table(df.sparkSession, model)
     bias = float(sum(table.value[r] for r in table.roots))
 
@@ -248,9 +248,9 @@ def path_contributions(df: DataFrame, model) -> DataFrame:
                     below = np.where(x[r, f] <= table.threshold[at], table.left[at], table.right[at])
                     np.add.at(out, (r, f), table.value[below] - table.value[at])
                     node[moving] = below
-            yield pd.DataFrame({"id": frame["id"], "bias": bias, "contributions": list(out)})
+            yield pd.DataFrame({"id": frame["id"], "bias": bias, "x": frame["x"], "contributions": list(out)})
 
-    return df.select("id", "x").mapInPandas(run, "id long, bias double, contributions array<double>")
+    return df.select("id", "x").mapInPandas(run, "id long, bias double, x array<double>, contributions array<double>")
 
 
 def long_attributions(df: DataFrame, array: str, out: str = "phi") -> DataFrame:

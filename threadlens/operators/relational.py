@@ -116,11 +116,14 @@ def match_replies(roots: DataFrame, posts: DataFrame, days: int = 5) -> DataFram
 def lexicon_hits(df: DataFrame, key: str, text: str, lexicon: DataFrame, word: str) -> DataFrame:
     """Tokens found in a lexicon, counted per key; keys without hits count 0.
 
-    Catalyst broadcasts the lexicon when its size allows it. Counts are combined before the shuffle.
+    Tokens are counted per key before they meet the lexicon, so a word that every text has is one row per key there;
+    keys without hits are added afterwards.
     """
-    tokens = df.select(key, F.explode_outer(tx.whitespace_tokens(F.lower(text))).alias("_token"))
-    entries = lexicon.select(F.col(word).alias("_token"), F.lit(1).alias("_hit")).distinct()
-    return tokens.join(entries, "_token", "left").groupBy(key).agg(F.count("_hit").alias("hits"))
+    tokens = df.select(key, F.explode(tx.whitespace_tokens(F.lower(text))).alias("_token"))
+    entries = lexicon.select(F.col(word).alias("_token")).distinct()
+    counts = tokens.groupBy(key, "_token").agg(F.count("*").alias("_n"))
+    hits = counts.join(entries, "_token").groupBy(key).agg(F.sum("_n").alias("hits"))
+    return df.select(key).distinct().join(hits, key, "left").select(key, F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def recent_history(posts: DataFrame, author: str, order: list[Column], unique: list[str], text: str, k: int = 100):

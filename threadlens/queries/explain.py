@@ -150,6 +150,7 @@ def explain_lime_local(spark, sf_dir):
 @query("explain_prediction_contrib")
 def explain_prediction_contrib(spark, sf_dir):
     data = vectors(spark, sf_dir)
-    parts = ex.long_attributions(ex.path_contributions(data, _boosted(data)), "contributions", "contribution")
-    values = data.select("id", F.posexplode("x").alias("feature", "value"))
-    return parts.where(F.col("contribution") != 0).join(values, ["id", "feature"])
+    parts = ex.path_contributions(data, _boosted(data)).select(
+        "id", "bias", F.posexplode(F.arrays_zip("contributions", "x")).alias("feature", "p"))
+    return parts.where(F.col("p.contributions") != 0).select(
+        "id", "bias", "feature", F.col("p.contributions").alias("contribution"), F.col("p.x").alias("value"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from threadlens import schemas
 from threadlens.functions import emoji as em
+from threadlens.functions.vectors import as_vector
+from threadlens.operators import classifiers as cl
 from threadlens.operators import features as ft
 from threadlens.queries import fixtures as fx
 from threadlens.queries.features import EMOTIONS_SQL, READABILITY_SQL, REAL, sql_rounded
@@ -37,17 +40,29 @@ def stream_filter_ingest(spark, sf_dir):
 @query("stream_score_features", f"""WITH {fx.POSTS_SQL}, r AS ({READABILITY_SQL}),
 s AS (SELECT doc_id, {EMOTIONS_SQL}, {NEGATION_SQL} AS negation FROM posts)
 SELECT r.* EXCLUDE (source) REPLACE (round(avg_word_count, 6) AS avg_word_count), negation, {sql_rounded(REAL[:4])},
-  CAST(capitalized_count > 2 * full_capitalized_count AS INTEGER) AS prediction FROM r JOIN s USING (doc_id)""")
+  TRUE AS as_in_batch FROM r JOIN s USING (doc_id)""")
 def stream_score_features(spark, sf_dir):
-    """Features of arriving posts and the prediction of a fixed rule, batch by batch."""
+    """Features of arriving posts, scored batch by batch with a model that was fitted, saved and loaded; as_in_batch
+    tells whether the stream's prediction is that of the same model over the whole table."""
     source, sink = scratch_path(spark, "posts"), scratch_path(spark, "scored")
     fx.posts(spark, sf_dir).select("doc_id", "text").write.parquet(source)
     stream = spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 4).parquet(source)
 
+    inputs = ["avg_word_count", "slang_count", "emoji_count", "capitalized_count", "full_capitalized_count"]
+    features = as_vector(F.array(*[F.col(c).cast("double") for c in inputs]))
+    posts = ingest.post_features(spark.read.parquet(source), ["doc_id"], "text").withColumn("features", features)
+    labelled = posts.join(fx.table(spark, sf_dir, "labels").selectExpr("doc_id", "CAST(quality AS DOUBLE) AS label"), "doc_id")
+    path = scratch_path(spark, "stream-model")
+    cl.fit("logistic", labelled, maxIter=10).model.write().overwrite().save(path)
+    model = cl.Fitted("logistic", PipelineModel.load(path))
+
     def score(batch):
-        rule = (F.col("capitalized_count") > 2 * F.col("full_capitalized_count")).cast("int")
-        return ingest.post_features(batch, ["doc_id"], "text").withColumn("prediction", rule)
+        rows = ingest.post_features(batch, ["doc_id"], "text").withColumn("features", features)
+        told = model.transform(rows)
+        return told.select(*[c for c in rows.columns if c != "features"], "prediction")
 
     ingest.score_stream(stream, score, sink, sink + "-checkpoint").awaitTermination()
-    scored = spark.read.parquet(sink).drop("batch")
+    whole = model.transform(posts).select("doc_id", F.col("prediction").alias("_whole"))
+    scored = spark.read.parquet(sink).drop("batch").join(whole, "doc_id").withColumn(
+        "as_in_batch", F.col("prediction") == F.col("_whole")).drop("prediction", "_whole")
     return scored.withColumns({c: F.round(c, 6) for c in ["avg_word_count", *em.EMOTIONS]})
