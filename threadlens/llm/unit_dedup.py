@@ -20,7 +20,7 @@ from threadlens.llm.common import append_columns, fresh, map_rows
 #: Ends of units: a line end, or a sentence end with blanks behind it.
 ENDS = {"line": re.compile(r"\n+"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*"),
         "sentence": re.compile(r"\n+|[.!?]+[^\S\n]+")}
-MIN_WORDS = 8
+MIN_WORDS = 20
 
 
 def cut_units(text: str, unit: str) -> list[tuple[int, int]]:
