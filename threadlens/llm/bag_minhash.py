@@ -22,13 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import components, map_rows, materialize
+from threadlens.llm.common import components, grouped, map_rows, materialize
 from threadlens.llm.quality import mix, slices, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 PLACES = BANDS * ROWS
 SIMILARITY = "0.8"
+#: Rounds in which members outside the largest class of a bucket meet so many of that class, before the last step.
+ROUNDS, HEADS = 1, 3
+#: Documents of a block.
+BLOCK = 512
 #: Points drawn at once.
 DRAW = 1 << 19
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -201,6 +205,89 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: str) -> DataFrame:
     return map_rows(joined, run, "a long, b long")
 
 
+def _mixed(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, doc, component, largest) of the buckets that hold several classes, with their largest class; written."""
+    placed = shared.select("band", "doc").join(classes, "doc")
+    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(
+        F.count("*").alias("classes"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+    return materialize(placed.join(mixed.where("classes > 1").select("band", "largest"), "band"), "minhash-mixed")
+
+
+def linked_in_blocks(within: DataFrame, texts: DataFrame, similarity: str, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between documents of different classes of a bucket, at least one for each two classes that have any.
+
+    within: (band, doc, component, largest). Members outside the largest class of a bucket are compared with all
+    members; both sides are cut into blocks by hash, and a task compares two blocks and returns links, not pairs.
+    """
+    least = Fraction(similarity)
+
+    def profiles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        items = bags(batch.column(1).fill_null(""))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([h.tobytes() for h, _ in items], pa.binary()),
+             pa.array([w.astype(np.int64).tobytes() for _, w in items], pa.binary())], names=["doc", "hashes", "weights"])
+
+    def compare(part: pa.Table, found: set[tuple[int, int]]) -> None:
+        doc, component, outside = (part[c].to_numpy() for c in ("doc", "component", "outside"))
+        hashes = [np.frombuffer(x, np.uint64) for x in part["hashes"].to_pylist()]
+        weights = [np.frombuffer(x, np.int64) for x in part["weights"].to_pylist()]
+        members = np.flatnonzero(~outside)
+        if not len(members):
+            return
+        every = np.concatenate([hashes[i] for i in members])
+        weight = np.concatenate([weights[i] for i in members])
+        owner = np.repeat(np.arange(len(members)), [len(hashes[i]) for i in members])
+        total = np.array([w.sum() for w in weights])
+        for x in np.flatnonzero(outside):
+            at = np.searchsorted(hashes[x], every)
+            at[at == len(hashes[x])] = 0
+            same = hashes[x][at] == every
+            smaller = np.bincount(owner[same], np.minimum(weights[x][at[same]], weight[same]), len(members)).astype(np.int64)
+            larger = total[members] + total[x] - smaller
+            near = members[smaller * least.denominator >= larger * least.numerator]
+            near = near[component[near] != component[x]]
+            for y in near[np.unique(component[near], return_index=True)[1]]:
+                found.add((min(int(doc[x]), int(doc[y])), max(int(doc[x]), int(doc[y]))))
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        keys = np.stack([table[c].to_numpy() for c in ("band", "i", "j")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        found: set[tuple[int, int]] = set()
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), table.num_rows], strict=True):
+            compare(table.slice(a, b - a).combine_chunks(), found)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    bag = materialize(map_rows(texts.join(within.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), profiles,
+                               "doc long, hashes binary, weights binary"), "minhash-bags")
+    counts = within.groupBy("band").agg(
+        F.ceil(F.count("*") / block).cast("int").alias("rows"),
+        F.ceil(F.count_if(F.col("component") != F.col("largest")) / block).cast("int").alias("columns"))
+    sized = within.join(counts, "band")
+    row, column = F.pmod(F.xxhash64("doc"), "rows").cast("int"), F.pmod(F.xxhash64("doc", F.lit(1)), "columns").cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("columns") - 1))
+    members = sized.select("band", "doc", "component", F.lit(False).alias("outside"), row.alias("i"), every.alias("j"))
+    outside = sized.where("component <> largest").select(
+        "band", "doc", "component", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"),
+        column.alias("j"))
+    cells = members.unionByName(outside).join(bag, "doc").withColumn("cell", F.xxhash64("band", "i", "j"))
+    return cells.repartition("cell").sortWithinPartitions("cell", "band", "i", "j").mapInArrow(
+        lambda batches: grouped(batches, "cell", solve, 1 << 12), "a long, b long").distinct()
+
+
+def _merge(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes (doc, component), joined where links (a, b) connect them; written."""
+    of = classes.select(F.col("doc").alias("b"), F.col("component").alias("y"))
+    edges = (
+        links.join(classes.select(F.col("doc").alias("a"), F.col("component").alias("x")), "a").join(of, "b")
+        .where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    )
+    roots = components(edges, "minhash").select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return materialize(
+        classes.join(roots, "component", "left").select("doc", F.coalesce("root", "component").alias("component")),
+        "minhash-classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     similarity: str = SIMILARITY) -> DataFrame:
     """(doc, class_id) of every id that is not null: class_id is the smallest id reachable over links.
@@ -212,8 +299,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts. An empty table gives an empty result.
 
     Documents with the same multiset become one first. In a bucket, every member is verified against the smallest one.
-    Where a bucket then still holds several classes, the members outside its largest class are verified against all
-    members of other classes, so no link of a bucket is lost and no group is expanded into its pairs.
+    Where a bucket then still holds several classes, the members outside its largest class are verified against a few
+    members of that class, and what is left outside after that against all members of other classes, in blocks. So
+    every pair of a bucket is verified or in one class already, no link of a bucket is lost, and a group of similar
+    texts is not expanded into its pairs.
     """
     once = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     made = materialize(
@@ -227,25 +316,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = materialize(alone.select("doc", F.explode("bands").alias("band")), "minhash-bands")
     heads = bands.groupBy("band").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(bands.join(heads.select("band", "head"), "band"), "minhash-shared")
+    texts = materialize(
+        once.where("doc is not null").select(F.col("doc").cast("long").alias("doc"), "text")
+        .join(shared.select("doc").distinct(), "doc", "left_semi"), "minhash-texts")
     pairs = materialize(
         shared.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct(), "minhash-pairs")
-    texts = once.where("doc is not null").select(F.col("doc").cast("long").alias("doc"), "text")
-    links = materialize(verified(pairs, texts, similarity), "minhash-links")
-    classes = components(links, "minhash")
-
-    placed = shared.join(classes.select(F.col("id").alias("doc"), "component"), "doc", "left").select(
-        "band", "doc", F.coalesce("component", "doc").alias("component"))
-    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.count("*").alias("classes"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("classes > 1")
-    within = materialize(placed.join(mixed.select("band", "largest"), "band"), "minhash-mixed")
-    few = within.where("component <> largest").select("band", F.col("doc").alias("x"), F.col("component").alias("cx"))
-    rest = (
-        within.select("band", "doc", "component").join(few, "band").where("component <> cx")
-        .select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b")).distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    more = verified(materialize(rest, "minhash-rest"), texts, similarity)
-    final = components(links.unionByName(more), "minhash-final")
+    classes = _merge(shared.select("doc").distinct().select("doc", F.col("doc").alias("component")),
+                     verified(pairs, texts, similarity))
+    for round_ in range(ROUNDS):
+        within = _mixed(shared, classes)
+        chosen = within.where("component = largest").groupBy("band").agg(
+            *[F.min_by("doc", F.xxhash64("doc", F.lit(HEADS * round_ + k))).alias(f"h{k}") for k in range(HEADS)])
+        others = within.where("component <> largest").join(chosen, "band").select(
+            "doc", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HEADS)]))).alias("head"))
+        more = materialize(
+            others.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
+            .join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
+        classes = _merge(classes, verified(more, texts, similarity))
+    classes = _merge(classes, linked_in_blocks(_mixed(shared, classes), texts, similarity))
+    final = classes.select(F.col("doc").alias("id"), "component")
     found = members.join(final.select(F.col("id").alias("owner"), "component"), "owner", "left").select(
         "doc", F.coalesce("component", "owner").alias("class_id"))
     lone = made.where("first is null").select("doc", F.col("doc").alias("class_id"))
