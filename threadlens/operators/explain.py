@@ -12,7 +12,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.vectors import as_vector
@@ -67,8 +67,10 @@ def permutation_importance(df: DataFrame, scorer, features: list[int], threshold
         replaced(F.col("x"), F.col("feature"), F.get("_other", F.col("feature"))))).drop("_other")
     hit = ((F.col("score") > threshold).cast("int") == F.col("label")).cast("double")
     scores = scorer(changed).groupBy("feature").agg(F.avg(hit).alias("accuracy"))
-    base = scores.where(F.col("feature") < 0).select(F.max("accuracy")).scalar()
-    return scores.where(F.col("feature") >= 0).select("feature", (base - F.col("accuracy")).alias("drop"))
+    # one row per feature: the unchanged accuracy is taken from there, so nothing is scored twice
+    base = F.max(F.when(F.col("feature") < 0, F.col("accuracy"))).over(Window.partitionBy(F.lit(0)))
+    return scores.withColumn("_base", base).where(F.col("feature") >= 0).select(
+        "feature", (F.col("_base") - F.col("accuracy")).alias("drop"))
 
 
 def range_grid(df: DataFrame, features: list[int], points: int = 5) -> dict[int, list[float]]:

@@ -154,3 +154,31 @@ def explain_prediction_contrib(spark, sf_dir):
         "id", "bias", F.posexplode(F.arrays_zip("contributions", "x")).alias("feature", "p"))
     return parts.where(F.col("p.contributions") != 0).select(
         "id", "bias", "feature", F.col("p.contributions").alias("contribution"), F.col("p.x").alias("value"))
+
+
+def _adds_up(data, model, total):
+    """Whether a total per row is the model's margin."""
+    margin = ex.model_scorer(model)(data).select("id", F.col("score").alias("_margin"))
+    return total.join(margin, "id").select("id", (F.abs(F.col("_total") - F.col("_margin")) < 1e-6).alias("adds_up"))
+
+
+def _sum(array):
+    return F.aggregate(array, F.lit(0.0), lambda acc, v: acc + v)
+
+
+@query("explain_contrib_additive", "SELECT vec_id AS id, TRUE AS adds_up FROM embeddings")
+def explain_contrib_additive(spark, sf_dir):
+    """Bias and path contributions of every vector add up to its margin."""
+    data = vectors(spark, sf_dir)
+    model = _boosted(data)
+    parts = ex.path_contributions(data, model)
+    return _adds_up(data, model, parts.select("id", (F.col("bias") + _sum("contributions")).alias("_total")))
+
+
+@query("explain_shap_additive", "SELECT vec_id AS id, TRUE AS adds_up FROM embeddings")
+def explain_shap_additive(spark, sf_dir):
+    """Base and Shapley values of every vector add up to its margin."""
+    data = vectors(spark, sf_dir)
+    model = _boosted(data)
+    values = ex.tree_attributions(data, model, ex.mean_vector(data, SIZE))
+    return _adds_up(data, model, values.select("id", (F.col("base") + _sum("phi")).alias("_total")))
