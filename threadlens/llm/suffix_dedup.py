@@ -26,6 +26,7 @@ SHALLOW = 32
 #: Frequent grams are looked for in this many texts, and are those found in that many of them.
 SAMPLE, FREQUENT = 4096, 16
 FILTER_BITS = 22
+SLOT_BITS = 23
 TOP = np.uint64(1 << 63)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -222,24 +223,15 @@ def frequent_grams(source: DataFrame, sample: int, least: int) -> np.ndarray:
     few = source.where(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]):
-        held, limit = np.zeros(0, np.uint64), 1 << 22
-        kinds, times = held, np.zeros(0, np.int64)
-        parts: list[np.ndarray] = []
-
-        def fold(kinds, times):
-            every = np.concatenate([kinds, *parts])
-            weight = np.concatenate([times, np.ones(len(every) - len(kinds), np.int64)])
-            kinds, back = np.unique(every, return_inverse=True)
-            parts.clear()
-            return kinds, np.bincount(back, weight, len(kinds)).astype(np.int64)
-
-        for batch in batches:
-            for text in string_bytes(batch.column(0)):
-                if len(text) >= GRAM:
-                    parts.append(np.unique(gram_values(np.frombuffer(text, np.uint8))))
-                if sum(map(len, parts[-1:])) and len(parts) % 256 == 0 and sum(map(len, parts)) > limit:
-                    kinds, times = fold(kinds, times)
-        kinds, times = fold(kinds, times)
+        texts = [t for batch in batches for t in string_bytes(batch.column(0)) if len(t) >= GRAM]
+        distinct = lambda t: np.unique(gram_values(np.frombuffer(t, np.uint8)))
+        slot = lambda g: (g >> np.uint64(63 - SLOT_BITS)).astype(np.int64)
+        # first the texts per slot, then the grams of full slots only, so that no table of all grams is held
+        full = np.zeros(1 << SLOT_BITS, np.uint16)
+        for text in texts:
+            full[np.unique(slot(distinct(text)))] += 1
+        found = [g[full[slot(g)] >= least] for g in map(distinct, texts)]
+        kinds, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array([kinds[times >= least].tobytes()], pa.binary())], names=["grams"])
 
     rows = few.select("text").repartition(1).mapInArrow(count, "grams binary").collect()
@@ -337,7 +329,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = map_rows(source.join(open_, "doc").select("doc", "text", "open"), contents,
                        "part long, doc long, start int, count int, content binary")
     compared = windows.repartition("part").sortWithinPartitions("part").mapInArrow(
-        lambda batches: grouped(batches, "part", lambda t: compare(t, length), 1 << 14), "doc long, start int, count int")
+        lambda batches: grouped(batches, "part", lambda t: compare(t, length), 1 << 13), "doc long, start int, count int")
     gone = (
         settled.where("part is null").select("doc", "start", "count").unionByName(compared)
         .groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("gone"))
