@@ -16,14 +16,26 @@ __all__ = ["append_columns", "components", "crc_fold", "fresh", "map_rows", "mat
            "string_bytes", "two_level_sample"]
 
 
+#: Bytes of a batch that a function sees at once, about; a task then holds a small multiple of that.
+BATCH_BYTES = 16 << 20
+
+
+def parts_of(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in equal parts of about ``limit`` bytes."""
+    step = max(1, -(-batch.num_rows // max(1, -(-batch.nbytes // limit))))
+    for start in range(0, max(1, batch.num_rows), step):
+        yield batch.slice(start, step)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType):
-    """mapInArrow over single batches; fn may return None for a batch without results."""
+    """mapInArrow over single batches in parts of bounded size; fn may return None for a part without results."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
+            for part in parts_of(batch):
+                out = fn(part)
+                if out is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
