@@ -142,3 +142,11 @@ def test_passage_inside_other_text_is_removed():
     a = {k for _, _, k in ud.unit_keys(f"Other words here. {passage} Tail.", "sentence", 8)}
     b = [k for _, _, k in ud.unit_keys(f"No. More. {passage} End of it.", "sentence", 8)]
     assert sum(k in a for k in b if k) >= 8
+
+
+def test_short_copies_and_repeated_short_lines_go_whole(spark):
+    line, copy = "Licensed under the terms.", "One two. Three four five.\nSix!"
+    rows = [(1, copy), (2, copy), (3, f"First text here.\n{line}\nMore of it."), (4, f"Another begins so.\n{line}\nOther end."),
+            (5, line), (6, " \n"), (7, "ONE  two. Seven.")]
+    got = {r.doc_id: r.kept_text for r in ud.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: copy, 2: "", 3: rows[2][1], 4: "Another begins so.\nOther end.", 5: "", 6: " \n", 7: "Seven."}

@@ -20,7 +20,8 @@ from threadlens.llm.common import append_columns, fresh, map_rows
 #: Ends of units: a line end, or a sentence end with blanks behind it.
 ENDS = {"line": re.compile(r"\n+"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*"),
         "sentence": re.compile(r"\n+|[.!?]+[^\S\n]+")}
-MIN_WORDS = 20
+#: Every unit with a word counts by itself.
+MIN_WORDS = 1
 
 
 def cut_units(text: str, unit: str) -> list[tuple[int, int]]:
@@ -37,9 +38,9 @@ def cut_units(text: str, unit: str) -> list[tuple[int, int]]:
 def unit_keys(text: str, unit: str, min_words: int) -> list[tuple[int, int, bytes | None]]:
     """(start, end, digest) of every unit.
 
-    Units are compared in lower case with runs of blanks as one space. A unit with fewer than min_words words is known
-    only together with as many units before it as make up that number, so a short phrase that many texts have is no
-    repeat, but a short sentence inside a repeated passage is. None if the text has too few words up to there.
+    Units are compared in lower case with runs of blanks as one space. With min_words 1 every unit that has a word is
+    known by itself. With more, a unit with fewer words is known only together with as many units before it as make up
+    that number, so short repeated lines and the starts of copied texts stay. None if there are too few words up to there.
     """
     out, words, sizes = [], [], []
     for start, end in cut_units(text, unit):
@@ -75,7 +76,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All columns of docs, then n_units, n_removed, kept_spans (places in the text, neighbours merged) and kept_text.
 
     Of units with the same digest the one in the smallest id stays, in that document the first one; all others are
-    removed. A null id ranks before all others. Rows that share an id count as one document: what stays in one of them
+    removed, so of exact copies only the first keeps units with words. A null id ranks before all others. Rows that share an id count as one document: what stays in one of them
     stays in all. Null and empty texts have no units and the kept text "". An empty table gives an empty result. Names
     that docs has already get a leading underscore.
 
