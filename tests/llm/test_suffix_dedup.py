@@ -58,6 +58,19 @@ def test_frequent_grams_do_not_change_the_result(spark):
     assert got(spark, rows, 64, frequent=2) == got(spark, rows, 64, frequent=10**6) == brute(rows, 64)
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    rows = make_rows(5)
+    long = [t for _, t, *_ in rows if t and len(t) > 300][:4]
+    rows += [(2000, "only here " + long[0][::-1], "k", 1)] * 3 + [(2001, long[1][::-1], "k", 1), (2001, long[2][::-1] + long[1][::-1], "k", 1)]
+    rows += [(None, long[3][::-1] + "a", None, None), (None, long[3][::-1] + "b", None, None), (None, "some other text " * 20, None, None),
+             (None, None, None, None), (None, None, None, None)]
+    by_hash = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "xxhash64(text) AS h").collect()
+    ordered = [tuple(r)[:4] for r in sorted(by_hash, key=lambda r: r.h)]
+    out = got(spark, rows, 100)
+    assert out == brute(ordered, 100)
+    assert sorted(removed == 0 for doc, _, removed, *_ in out if doc == 2000) == [False, False, True]
+
+
 def test_empty_table(spark):
     assert got(spark, [], 100) == []
 

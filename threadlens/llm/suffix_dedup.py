@@ -95,7 +95,7 @@ RUN_SCHEMA = "part long, mark long, doc long, start int, count int, twice boolea
 
 
 def leaders(part: np.ndarray, mark: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted order, whether a run is the earliest of its equals, in that order)."""
+    """(sorted order, whether a run is the earliest of its equals, in that order). No two runs share (doc, start)."""
     order = np.lexsort((start, doc, mark, part))
     p, m = part[order], mark[order]
     return order, np.concatenate([[True], (p[1:] != p[:-1]) | (m[1:] != m[:-1])])[:len(p)]
@@ -238,20 +238,30 @@ def frequent_grams(source: DataFrame, sample: int, least: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r.grams) for r in rows), np.uint64)
 
 
+def rows_apart(docs: DataFrame, id_col: str, text_col: str, number: str) -> DataFrame:
+    """docs with a number of its own for every row, in the order of the ids, null first. Written, so that every later
+    read sees the same numbers; the last key of the order keeps copies of a row from gathering in one task."""
+    ordered = docs.orderBy(F.col(id_col).cast("long").asc_nulls_first(), F.xxhash64(text_col), F.monotonically_increasing_id())
+    return materialize(ordered.withColumn(number, F.monotonically_increasing_id()), "suffix-rows")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
     """All columns of docs, then n_bytes, n_removed, n_spans (maximal removed runs) and kept (bytes, joined).
 
     Texts are UTF-8 bytes (null: empty). A byte goes if some string of ``length`` bytes over it also starts earlier: in
     a smaller id, or earlier in the same text. Strings are judged on the input. A null id ranks before all others.
-    Rows that share an id count as one document: a string that starts at the same place of two of them does not count
-    as earlier in one. An empty table gives an empty result. Names that docs has already get a leading underscore.
+    Rows that share an id, or have none, count apart, in the order of a hash of their texts: of a repeated row one copy
+    stays. Only a table with such rows is sorted and written with a number for each row. An empty table gives an empty result. Names that docs has already get a leading underscore.
 
     Before anything is shuffled, a task drops the runs that its own batch has earlier. A gram that many texts have is
     the lowest one only of windows made of such grams, and those are equal runs, which a task sends once.
     """
     spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text_col).alias("text"))
+    doc, number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), fresh(docs, "suffix_row")
+    if not docs.select(doc.alias("doc")).groupBy("doc").count().where("count > 1").isEmpty():
+        docs, doc = rows_apart(docs, id_col, text_col, number), F.col(number)
+    source = docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(frequent_grams(source, sample, frequent))
     state: dict = {}
 
@@ -336,7 +346,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     marks, key = fresh(docs, "gone_runs"), fresh(docs, "gone_doc")
     joined = docs.join(gone.select(F.col("doc").alias(key), F.col("gone").alias(marks)),
-                       F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col(key), "left").drop(key)
+                       doc == F.col(key), "left").drop(key)
 
     def finish(texts: pa.Array, found: pa.Array) -> list[pa.Array]:
         sizes, removed, spans, kept = [], [], [], []
@@ -356,7 +366,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     fields = [(fresh(docs, "n_bytes"), T.LongType()), (fresh(docs, "n_removed"), T.LongType()),
               (fresh(docs, "n_spans"), T.LongType()), (fresh(docs, "kept"), T.BinaryType())]
-    return append_columns(joined, [text_col, marks], fields, finish).drop(marks)
+    return append_columns(joined, [text_col, marks], fields, finish).drop(marks, number)
 
 
 def covered(intervals: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
