@@ -53,6 +53,17 @@ def test_items_found_as_by_full_alignment(seed):
             assert got.get(j) == (edits if edits <= k else None)
 
 
+def test_items_have_their_whole_share_of_edits():
+    text = "the seven quiet rivers ran past mill towns by night until the very last of them froze over in the snow"
+    for m in range(dc.MIN_CHARS, 91):
+        item = text[:m]
+        k = m // 10
+        assert dc.budget(m, 0.1) == k
+        places = [(i + 1) * m // (k + 1) for i in range(k)]
+        other = "".join("#" if i in places else c for i, c in enumerate(item))
+        assert dc.ItemIndex([(1, item)], 0.1).matches("before " + other + " after") == [(1, 7, 7 + m, k)]
+
+
 def test_find_items_places_and_blocks(spark):
     item = "The quick brown fox jumps over the lazy dog, and then some more of it."
     rows = [(7, f"Before\n {item.upper()}  After", None, 0), (8, "nothing here", "x", 1), *ODD]

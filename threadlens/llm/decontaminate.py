@@ -51,7 +51,7 @@ def gram_hashes(p: np.ndarray) -> np.ndarray:
 
 def budget(m: int, share: float) -> int:
     """Edits allowed in an item of m characters: its share, but no more than the lemma can see."""
-    return max(0, min(int(m * share), (m + 1) // Q - 2))
+    return max(0, min(int(m * share), m // Q - 1))
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int] | None:
