@@ -6,7 +6,7 @@ import importlib
 
 from threadlens.llm import registry
 
-MODULES = ["query_lines", "query_models", "query_text", "query_near", "query_suffix"]
+MODULES = ["query_lines", "query_models", "query_text", "query_near", "query_suffix", "query_tokens", "query_phrases"]
 
 
 def _load() -> None:
