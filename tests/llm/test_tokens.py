@@ -83,7 +83,7 @@ def test_encode_and_decode_frames(spark, library):
 def brute_alignment(texts):
     a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     a.encode_special_tokens = True
-    table, pieces = al.load(A, B).a_bytes, al.load(A, B).b_bytes
+    table, pieces = al.load(A, B).a_table, al.load(A, B).b_table
     each, docs_with = [], Counter()
     for text in texts:
         raw = (" " + (text or "")).encode()

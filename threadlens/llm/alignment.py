@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from threadlens.llm.common import append_columns, fresh, materialize, parts_of
 from threadlens.llm.line_dedup import PerfectHash
-from threadlens.llm.tokens import byte_of_char, fast_encoder
+from threadlens.llm.tokens import _BLANK, byte_of_char, fast_encoder
 
 #: Shards of the pairs, by the first id; the pairs are bounded by the two vocabularies.
 SHARDS = 32
@@ -32,12 +32,16 @@ SHARDS = 32
 FAN_IN = 64
 #: Distinct pairs that a task of the first pass holds before it writes their counts.
 HELD_PAIRS = 1 << 21
+#: Bytes of texts that are aligned at once, about.
+PART_BYTES = 6 << 20
 #: Bytes of shards that one pass of the look-up holds in memory, at most, beyond a single shard.
 WAVE_BYTES = 128 << 20
 MARK = "▁"
 #: A space between two characters that are no blanks: no token of either tokenizer reaches over it.
-_INK = r"([^\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])"
+_INK = "(" + _BLANK.replace("[", "[^", 1) + ")"
 CUT = f"{_INK} {_INK}"
+#: A segment without a character, or with a blank at an end.
+ODD_END = f"^$|^{_BLANK}|{_BLANK}$"
 
 
 @dataclasses.dataclass
@@ -74,6 +78,21 @@ def listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values).cast(pa.string()))
 
 
+class TokenBytes:
+    """The bytes of each id."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.width = np.array([len(x) for x in tokens], np.int64)
+        self.starts = np.cumsum(self.width) - self.width
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.data[self.starts[i]:self.starts[i] + self.width[i]].tobytes()
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        return self.data[ranges(self.starts[ids], self.width[ids])]
+
+
 class Aligner:
     """Segments of texts by a byte-level BPE file and a sentencepiece model that puts a space before a text."""
 
@@ -84,41 +103,42 @@ class Aligner:
         with open(a_path, encoding="utf-8") as f:
             file = json.load(f)
         self.fast = fast_encoder(file)
-        self.library = Tokenizer.from_file(a_path)
-        self.library.encode_special_tokens = True
+        if self.fast is None:
+            self.library = Tokenizer.from_file(a_path)
+            self.library.encode_special_tokens = True
         of = byte_of_char()
         vocab = file["model"]["vocab"]
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
-            self.a_bytes[i] = bytes(of[c] for c in token if c in of)
+            a_bytes[i] = bytes(of[c] for c in token if c in of)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.base = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.base)]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode("utf-8")
-                        for i, p in enumerate(pieces)]
-        self.a_width, self.b_width = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode("utf-8")
+                   for i, p in enumerate(pieces)]
+        self.a_table, self.b_table = TokenBytes(a_bytes), TokenBytes(b_bytes)
         #: whether texts may be cut at single spaces: no piece has a space behind another character
         self.cuts = self.fast is not None and not any(MARK in p.lstrip(MARK) for p in pieces)
 
-    def first_ids(self, segments: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def first_ids(self, segments: pa.Array, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of A of all segments, each behind a space; numbers of ids)."""
         if self.fast is None:
-            ids = [e.ids for e in self.library.encode_batch([" " + t for t in segments], add_special_tokens=False)]
+            ids = [e.ids for e in self.library.encode_batch([" " + t for t in segments.to_pylist()], add_special_tokens=False)]
             return np.array(list(itertools.chain.from_iterable(ids)), np.int64), np.array([len(x) for x in ids], np.int64)
         # segments without a blank at an end are encoded as one text, which is cut at them
-        odd = [i for i, t in enumerate(segments) if not t or t[0].isspace() or t[-1].isspace()]
+        odd = pc.match_substring_regex(segments, ODD_END).to_numpy(zero_copy_only=False)
         ids, sizes = np.zeros(0, np.int64), np.zeros(len(segments), np.int64)
-        plain = np.setdiff1d(np.arange(len(segments)), odd)
-        if len(plain):
-            ids = np.array(self.fast.encode_ordinary(" " + " ".join([segments[i] for i in plain.tolist()])), np.int64)
-            ends = np.searchsorted(np.cumsum(self.a_width[ids]), np.cumsum([len(raw[i]) for i in plain.tolist()]), side="right")
-            sizes[plain] = np.diff(np.concatenate([[0], ends]))
-        if not odd:
+        if not odd.all():
+            joined = " ".join(segments.filter(pa.array(~odd)).to_pylist())
+            ids = np.array(self.fast.encode_ordinary(" " + joined), np.int64)
+            ends = np.searchsorted(np.cumsum(self.a_table.width[ids]), np.cumsum(width[~odd]), side="right")
+            sizes[~odd] = np.diff(np.concatenate([[0], ends]))
+        if not odd.any():
             return ids, sizes
-        own = [self.fast.encode_ordinary(" " + segments[i]) for i in odd]
+        own = [self.fast.encode_ordinary(" " + t) for t in segments.filter(pa.array(odd)).to_pylist()]
         sizes[odd] = [len(x) for x in own]
         starts = np.zeros(len(segments), np.int64)
-        starts[plain] = np.cumsum(sizes[plain]) - sizes[plain]
+        starts[~odd] = np.cumsum(sizes[~odd]) - sizes[~odd]
         starts[odd] = len(ids) + np.cumsum(sizes[odd]) - sizes[odd]
         both = np.concatenate([ids, np.array(list(itertools.chain.from_iterable(own)), np.int64)])
         return both[ranges(starts, sizes)], sizes
@@ -150,36 +170,38 @@ class Aligner:
         parts = self.cut(texts)
         coded = parts.flatten().dictionary_encode()
         places, offsets = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy().astype(np.int64)
-        segments = coded.dictionary.to_pylist()
-        raw = [b" " + t.encode("utf-8") for t in segments]
-        width = np.array([len(x) for x in raw], np.int64)
-        a, n_a = self.first_ids(segments, raw)
-        by_segment = self.b.encode(segments, num_threads=1) if segments else []
+        segments = coded.dictionary
+        del parts, coded
+        n = len(segments)
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), segments, pa.scalar(" ", pa.large_string()))
+        width = pc.binary_length(spaced).to_numpy().astype(np.int64)
+        raw = np.frombuffer(spaced.buffers()[2] or b"", np.uint8)[:int(width.sum())]
+        a, n_a = self.first_ids(segments, width)
+        by_segment = self.b.encode(segments.to_pylist(), num_threads=1) if n else []
         n_b = np.array([len(x) for x in by_segment], np.int64)
         b = np.fromiter(itertools.chain.from_iterable(by_segment), np.int64, int(n_b.sum()))
-        a_of, b_of = np.repeat(np.arange(len(raw)), n_a), np.repeat(np.arange(len(raw)), n_b)
-        sound = np.ones(len(raw), bool)
-        for ids, of, widths, table in ((a, a_of, self.a_width, self.a_bytes), (b, b_of, self.b_width, self.b_bytes)):
-            sound &= np.bincount(of, widths[ids], len(raw)).astype(np.int64) == width
-            here = sound[of]
-            got = np.frombuffer(b"".join(map(table.__getitem__, ids[here].tolist())), np.uint8)
-            kept = np.flatnonzero(sound)
-            want = np.frombuffer(b"".join([raw[i] for i in kept.tolist()]), np.uint8)
-            sound[np.unique(np.repeat(kept, width[kept])[got != want])] = False
+        del by_segment
+        a_of, b_of = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
+        sound = np.ones(n, bool)
+        of_byte = np.repeat(np.arange(n), width)
+        for ids, of, table in ((a, a_of, self.a_table), (b, b_of, self.b_table)):
+            sound &= np.bincount(of, table.width[ids], n).astype(np.int64) == width
+            here = sound[of_byte]
+            sound[of_byte[here][table.joined(ids[sound[of]]) != raw[here]]] = False
         a, a_of, b, b_of = a[sound[a_of]], a_of[sound[a_of]], b[sound[b_of]], b_of[sound[b_of]]
         # the sound segments laid end to end: each of them ends in both tokenizers
-        a_ends, b_ends = np.cumsum(self.a_width[a]), np.cumsum(self.b_width[b])
+        a_ends, b_ends = np.cumsum(self.a_table.width[a]), np.cumsum(self.b_table.width[b])
         both = np.intersect1d(a_ends, b_ends, assume_unique=True)
         at_a, at_b = np.searchsorted(a_ends, both) + 1, np.searchsorted(b_ends, both) + 1
         group_of = a_of[at_a - 1]
-        n_groups = np.bincount(group_of, minlength=len(raw))
+        n_groups = np.bincount(group_of, minlength=n)
         groups = self._written(a, at_a, b, at_b, n_groups) if written else []
         # token k of A overlaps the tokens of B from the first that ends behind its start to the one that reaches its end
-        first = np.searchsorted(b_ends, a_ends - self.a_width[a], side="right")
+        first = np.searchsorted(b_ends, a_ends - self.a_table.width[a], side="right")
         sizes = np.searchsorted(b_ends, a_ends) - first + 1
         owner = np.repeat(a_of, sizes)
         empty = pc.equal(texts.fill_null(""), "").to_numpy(zero_copy_only=False)
-        made = Aligned(sound, {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(owner, minlength=len(raw))},
+        made = Aligned(sound, {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(owner, minlength=n)},
                        groups, np.repeat(a, sizes) * self.base + b[ranges(first, sizes)], owner,
                        places, offsets, ~empty)
         made.good = (made.by_text(1 - sound.astype(np.int64)) == 0) & ~empty
@@ -242,7 +264,7 @@ def sparse_counts(texts: DataFrame, a_path: str, b_path: str, shards: int) -> Da
         aligner = load(a_path, b_path)
         held = {"parts": [], "n": 0}
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, PART_BYTES):
                 found = document_pairs(aligner, part.column(0))
                 if len(found[0]):
                     held["parts"].append(found)
@@ -373,7 +395,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, text_col: str =
                 return [*sums, *f(made), pa.array(written, pa.string())]
 
             kinds = [*[(n, T.LongType()) for n in names], (groups, T.StringType())]
-            current = append_columns(current, [text_col], kinds, first)
+            current = append_columns(current, [text_col], kinds, first, PART_BYTES)
         else:
             def more(texts: pa.Array, best: pa.Array, total: pa.Array, f=look) -> list[pa.Array]:
                 added = f(load(a_path, b_path).batch(texts, written=False))
@@ -381,7 +403,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, text_col: str =
 
             order = current.columns
             current = (
-                append_columns(current, [text_col, *names[4:]], [("_best_now", T.LongType()), ("_sum_now", T.LongType())], more)
+                append_columns(current, [text_col, *names[4:]], [("_best_now", T.LongType()), ("_sum_now", T.LongType())], more, PART_BYTES)
                 .drop(*names[4:]).withColumnsRenamed({"_best_now": names[4], "_sum_now": names[5]}).select(*order))
         if wave < len(waves) - 1:
             current = materialize(current, "pair-sums")

@@ -27,12 +27,13 @@ def parts_of(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.Rec
         yield batch.slice(start, step)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType):
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType,
+             limit: int = BATCH_BYTES):
     """mapInArrow over single batches in parts of bounded size; fn may return None for a part without results."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, limit):
                 out = fn(part)
                 if out is not None:
                     yield out
@@ -49,7 +50,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def append_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, T.DataType]],
-                   fn: Callable[..., list[pa.Array]]) -> DataFrame:
+                   fn: Callable[..., list[pa.Array]], limit: int = BATCH_BYTES) -> DataFrame:
     """All columns of df, and behind them the fields that fn makes from the input columns of a batch. No shuffle."""
     places = [df.columns.index(c) for c in inputs]
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in fields]])
@@ -58,7 +59,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, T.D
         made = fn(*[batch.column(i) for i in places])
         return pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
-    return map_rows(df, run, schema)
+    return map_rows(df, run, schema, limit)
 
 
 def string_bytes(column: pa.Array) -> list[bytes]:

@@ -27,7 +27,9 @@ LONGEST = 3
 #: Words of a shard, at most; the number of a word then fits 20 bits.
 SHARD_WORDS = (1 << 20) - 4
 #: Words that a task holds over all languages before it closes its shards.
-HELD_WORDS = 1 << 21
+HELD_WORDS = 1 << 20
+#: Bytes of texts that are cut into words at once, about.
+PART_BYTES = 4 << 20
 #: N-gram occurrences of a prefix range, about.
 RANGE_GRAMS = 4_000_000
 #: Bounds of ranges take this many bytes at most; ranges grow with larger tables.
@@ -356,7 +358,7 @@ def shard_automata(docs: DataFrame, bounds) -> DataFrame:
                                                  schema=SHARD_SCHEMA)
 
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, PART_BYTES):
                 langs = part.column(0).dictionary_encode()
                 words, first, row = words_of(part.column(1))
                 of = langs.indices.to_numpy()[row] if len(row) else np.zeros(0, np.int64)
@@ -380,7 +382,7 @@ def find_bounds(docs: DataFrame, range_grams: int) -> Bounds:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, PART_BYTES):
                 words, first, row = words_of(part.column(1))
                 langs = part.column(0).take(pa.array(row[::SAMPLE_STEP]))
                 columns = [langs]

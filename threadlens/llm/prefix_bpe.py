@@ -8,12 +8,14 @@ after an edit only the places near the edit are done anew.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import itertools
 import os
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -21,8 +23,9 @@ from pyspark.sql import types as T
 
 from threadlens.llm.common import append_columns, fresh
 
-#: Bytes of pieces, about, whose ids a worker remembers, and number of token pairs.
-MEMORY_BYTES = 32 << 20
+#: Bytes of pieces and their ids, about, that a worker remembers (so many a piece and 8 an id), and number of token pairs.
+MEMORY_BYTES = 96 << 20
+PIECE_BYTES = 250
 MEMORY_PAIRS = 1 << 20
 #: Longer pieces are encoded but not remembered.
 LONGEST_REMEMBERED = 256
@@ -48,6 +51,24 @@ def merge_bytes(data: bytes, ranks: dict[bytes, int]) -> tuple[list[bytes], tupl
     return parts, last
 
 
+class Pieces(dict):
+    """Ids of the pieces seen, bounded by their bytes; a piece that is not there is encoded."""
+
+    def __init__(self, encode):
+        self.encode, self.held = encode, 0
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.encode(piece)
+        if len(piece) <= LONGEST_REMEMBERED:
+            size = PIECE_BYTES + 8 * len(ids)
+            self.held += size
+            if self.held > MEMORY_BYTES:
+                self.clear()
+                self.held = size
+            self[piece] = ids
+        return ids
+
+
 class PrefixBPE:
     """Tokens of a vocabulary, which of them may stand side by side, and where they occur in a byte string."""
 
@@ -56,21 +77,32 @@ class PrefixBPE:
         self.pattern = regex.compile(pattern)
         self.bytes = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.halves: dict[int, tuple[int, int] | None] = {}
-        self.ordered = True
-        self.automaton = ahocorasick.Automaton()
-        for token, i in ranks.items():
-            parts, last = merge_bytes(token, ranks)
-            if len(parts) > 1:
-                continue  # never built by merging; it stands only for a whole piece
-            self.halves[i] = last and (ranks[last[0]], ranks[last[1]])
-            if last:
-                self.ordered &= all(len(h) == 1 or ranks[h] < i for h in last)
-            self.automaton.add_word(token.decode("latin-1"), (len(token), i))
-        self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        self.pairs: dict[int, bool] = {}
+        self.pieces = Pieces(self.encode_piece)
+
+    @functools.cached_property
+    def halves(self) -> dict[int, tuple[int, int] | None]:
+        """The two tokens that each token is joined from last. Tokens that merging never builds have no entry; they
+        stand only for a whole piece."""
+        out: dict[int, tuple[int, int] | None] = {}
+        for token, i in self.ranks.items():
+            parts, last = merge_bytes(token, self.ranks)
+            if len(parts) == 1:
+                out[i] = last and (self.ranks[last[0]], self.ranks[last[1]])
+        return out
+
+    @functools.cached_property
+    def ordered(self) -> bool:
+        """Whether every token ranks behind the tokens it is joined from."""
+        return all(h is None or all(len(self.bytes[x]) == 1 or x < i for x in h) for i, h in self.halves.items())
+
+    @functools.cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for i in self.halves:
+            out.add_word(self.bytes[i].decode("latin-1"), (len(self.bytes[i]), i))
+        out.make_automaton()
+        return out
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """(token, rank of the token it is joined into) down the given side of a token's merges."""
@@ -83,37 +115,61 @@ class PrefixBPE:
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether two tokens side by side are what their bytes together are encoded as."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= MEMORY_PAIRS:
-                self.pairs.clear()
-            if self.ordered:
-                known = not any(
-                    joined is not None and joined < x_above and joined <= y_above
-                    for x, x_above in self.spine(left, 1) for y, y_above in self.spine(right, 0)
-                    for joined in (self.ranks.get(self.bytes[x] + self.bytes[y]),))
-            else:
-                known = merge_bytes(self.bytes[left] + self.bytes[right], self.ranks)[0] == [self.bytes[left], self.bytes[right]]
-            self.pairs[left, right] = known
-        return known
+        if not self.ordered:
+            return merge_bytes(self.bytes[left] + self.bytes[right], self.ranks)[0] == [self.bytes[left], self.bytes[right]]
+        return not any(
+            joined is not None and joined < x_above and joined <= y_above
+            for x, x_above in self.spine(left, 1) for y, y_above in self.spine(right, 0)
+            for joined in (self.ranks.get(self.bytes[x] + self.bytes[y]),))
+
+    def extend(self, data: bytes, last: list[int], stop=None) -> None:
+        """Goes on with the last tokens of the prefixes of data, until its end or until stop(end, token) is true."""
+        done = len(last) - 1
+        from_ = max(0, done - self.longest + 1)
+        pairs, known = self.pairs, self.pairs.get
+        for at, (size, token) in self.automaton.iter(data[from_:].decode("latin-1") if from_ else data.decode("latin-1")):
+            end = from_ + at + 1
+            if end <= done:
+                continue
+            if end > done + 1:
+                break
+            before = last[end - size]
+            if before >= 0:
+                pair = before << 32 | token
+                apart = known(pair)
+                if apart is None:
+                    if len(pairs) >= MEMORY_PAIRS:
+                        pairs.clear()
+                    apart = pairs[pair] = self.stay_apart(before, token)
+                if not apart:
+                    continue
+            last.append(token)
+            done = end
+            if stop is not None and stop(end, token):
+                return
+        if done < len(data):
+            raise ValueError(f"byte {data[done]} is no token")
+
+    def backward(self, last: list[int], end: int) -> list[int]:
+        """The encoding of the prefix up to end."""
+        out = []
+        while end:
+            out.append(last[end])
+            end -= len(self.bytes[last[end]])
+        return out[::-1]
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one match of the pattern. A piece that is a token is that token."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            raw = piece.encode("utf-8")
-            whole = self.ranks.get(raw)
-            ids = (whole,) if whole is not None else tuple(PrefixTable(self, raw).ids())
-            if len(raw) <= LONGEST_REMEMBERED:
-                self.held += len(raw) + 100
-                if self.held > MEMORY_BYTES:
-                    self.pieces.clear()
-                    self.held = len(raw) + 100
-                self.pieces[piece] = ids
-        return ids
+        raw = piece.encode("utf-8")
+        whole = self.ranks.get(raw)
+        if whole is not None:
+            return (whole,)
+        last = [-1]
+        self.extend(raw, last)
+        return tuple(self.backward(last, len(raw)))
 
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(map(self.encode_piece, self.pattern.findall(text))))
+        return list(itertools.chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -126,62 +182,31 @@ class PrefixTable:
         self.model, self.data, self.last = model, b"", [-1]
         self.append(data)
 
-    def _token(self, end: int, ending: list[tuple[int, int]]) -> int:
-        for size, token in ending:
-            before = self.last[end - size]
-            if before < 0 or self.model.stay_apart(before, token):
-                return token
-        raise ValueError(f"byte {self.data[end - 1]} is no token")
-
-    def _ending(self, start: int):
-        """(end, tokens that end there) of all places behind start."""
-        from_ = max(0, start - self.model.longest + 1)
-        window = self.data[from_:].decode("latin-1")
-        for at, found in itertools.groupby(self.model.automaton.iter(window), key=lambda m: m[0]):
-            end = from_ + at + 1
-            if end > start:
-                yield end, [v for _, v in found if v[0] <= end]
-
     def append(self, data: bytes) -> None:
         """Bytes behind the last one; nothing before is done anew."""
-        start = len(self.data)
         self.data += data
-        for end, found in self._ending(start):
-            if len(self.last) != end:
-                break
-            self.last.append(self._token(end, found))
-        if len(self.last) != len(self.data) + 1:
-            raise ValueError(f"byte {self.data[len(self.last) - 1]} is no token")
+        self.model.extend(self.data, self.last)
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Put new for the bytes from start to end; returns how many places were done anew. Behind the edit, work stops
         when as many places in a row as the longest token has bytes are as before."""
-        old, shift = self.last, len(new) - (end - start)
+        old, shift, behind, same = self.last, len(new) - (end - start), start + len(new), 0
+
+        def settled(at: int, token: int) -> bool:
+            nonlocal same
+            same = same + 1 if at > behind and old[at - shift] == token else 0
+            return same >= self.model.longest
+
         self.data = self.data[:start] + new + self.data[end:]
         self.last = old[:start + 1]
-        same, done = 0, 0
-        for at, found in self._ending(start):
-            if len(self.last) != at:
-                break
-            token = self._token(at, found)
-            self.last.append(token)
-            done += 1
-            before = at - shift
-            same = same + 1 if at > start + len(new) and old[before] == token else 0
-            if same >= self.model.longest:
-                self.last.extend(old[before + 1:])
-                break
-        if len(self.last) != len(self.data) + 1:
-            raise ValueError(f"byte {self.data[len(self.last) - 1]} is no token")
+        self.model.extend(self.data, self.last, settled)
+        done = len(self.last) - 1 - start
+        self.last.extend(old[len(self.last) - shift:])
         return done
 
     def ids(self, end: int | None = None) -> list[int]:
         """Ids of the prefix up to end, all bytes by default."""
-        out, at = [], len(self.data) if end is None else end
-        while at:
-            out.append(self.last[at])
-            at -= len(self.model.bytes[self.last[at]])
-        return out[::-1]
+        return self.model.backward(self.last, len(self.data) if end is None else end)
 
 
 class TextEncoding:
@@ -255,11 +280,11 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
 
     def run(texts: pa.Array) -> list[pa.Array]:
         model = load(ranks_path, pattern)
-        offsets, values = [0], []
+        offsets, values = [0], array.array("i")
         for text in texts:
             values.extend(model.encode(text.as_py() or ""))
             offsets.append(len(values))
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))]
+        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32), pa.int32()))]
 
     return append_columns(docs, [text_col], [(fresh(docs, "token_ids"), T.ArrayType(T.IntegerType()))], run)
 
