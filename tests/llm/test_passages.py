@@ -112,52 +112,64 @@ def test_count_edge_cases(spark):
     assert got[:2] == [0, 0] and got[3] > 50000 and tc.count_tokens(df.limit(0), PIECES).count() == 0
 
 
-def brute_units(rows, unit, min_words):
-    keep, cut = {}, []
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    for doc, text, *_ in order:
-        parts = ud.cut_units(text or "", unit)
-        for i, (a, b) in enumerate(parts):
-            words = [" ".join(text[s:e].lower().split()) for s, e in parts[:i + 1]]
-            first = i
-            while first and words[i] and sum(len(w.split()) for w in words[first:]) < min_words:
-                first -= 1
-            key = "\n".join(words[first:])
-            if words[i] and sum(len(w.split()) for w in words[first:]) >= min_words:
-                keep.setdefault(key, (doc, i))
-                cut.append((doc, i, keep[key] != (doc, i), (a, b)))
-    gone = {(d, i) for d, i, g, _ in cut if g}
-    return sorted(((d, len(ud.cut_units(t or "", unit)), sum(x == d for x, _ in gone),
-                    "".join(t[a:b] for i, (a, b) in enumerate(ud.cut_units(t, unit)) if (d, i) not in gone) if t else "")
-                   for d, t, *_ in rows), key=str)
-
-
-@pytest.mark.parametrize("unit", ["sentence", "line", "paragraph"])
-def test_units_match_brute_force(spark, unit):
+def brute_units(rows, unit, least):
+    """Rows in the order of id (null first); rows that share an id in the order in which they were numbered."""
+    seen, out = set(), []
+    for doc, text in rows:
+        parts = [(text or "")[a:b] for a, b in ud.cut_units(text or "", unit)]
+        words = [p.lower().split() for p in parts]
+        old = []
+        for w in words:
+            key = " ".join(w)
+            old.append(bool(w) and key in seen)
+            seen.add(key)
+        real = [i for i, w in enumerate(words) if w]
+        gone = set()
+        if real and all(old[i] for i in real):
+            gone = set(range(len(parts)))
+        for i in real:
+            for j in real:
+                if i <= j and all(old[k] for k in real if i <= k <= j) and sum(len(words[k]) for k in real if i <= k <= j) >= least:
+                    gone.update(range(i, j + 1))
+        out.append((doc, len(parts), len(gone), "".join(p for i, p in enumerate(parts) if i not in gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("unit,hot", [("sentence", 1000), ("line", 1000), ("paragraph", 1000), ("sentence", 3)])
+def test_units_match_brute_force(spark, monkeypatch, unit, hot):
+    monkeypatch.setattr(ud, "HOT_LEAST", hot)
     rng = random.Random(5)
-    pool = [" ".join(rng.choices("one two three four five six".split(), k=rng.randrange(1, 9))) + rng.choice([". ", ".\n", "!\n\n", " "])
+    pool = [" ".join(rng.choices("one two three four five six".split(), k=rng.randrange(1, 15))) + rng.choice([". ", ".\n", "!\n\n", " "])
             for _ in range(25)]
-    rows = [(i + 50, "".join(rng.choices(pool, k=rng.randrange(12))), None, 0) for i in range(40)] + ODD
+    rows = [(i + 50, "".join(rng.choices(pool, k=rng.randrange(12))) + rng.choice(["", f"New {i}. ", "Six. "]), None, 0) for i in range(60)]
+    rows = [r for r in ODD if r[0] is not None] + rows
     df = spark.createDataFrame(rows, "doc_id long, text string, kept_text string, gone int")
-    out = ud.dedup_units(df, unit=unit, min_words=5)
+    out = ud.dedup_units(df.repartition(4), unit=unit)
     assert out.columns == [*df.columns, "n_units", "n_removed", "kept_spans", "_kept_text"]
     got = out.collect()
-    assert sorted(((r.doc_id, r.n_units, r.n_removed, r["_kept_text"]) for r in got), key=str) == brute_units(rows, unit, 5)
+    want = brute_units([r[:2] for r in rows], unit, ud.MIN_RUN_WORDS)
+    assert sorted(((r.doc_id, r.n_units, r.n_removed, r["_kept_text"]) for r in got), key=str) == want
+    assert any(w[2] for w in want)
     for r in got:
         assert "".join((r.text or "")[s.start:s.end] for s in r.kept_spans) == r["_kept_text"]
     assert ud.dedup_units(df.limit(0)).count() == 0
 
 
-def test_passage_inside_other_text_is_removed():
-    passage = " ".join(["Alpha beta gamma delta epsilon zeta eta theta iota. Short one. Kappa lambda mu nu xi omicron pi rho."] * 3)
-    a = {k for _, _, k in ud.unit_keys(f"Other words here. {passage} Tail.", "sentence", 8)}
-    b = [k for _, _, k in ud.unit_keys(f"No. More. {passage} End of it.", "sentence", 8)]
-    assert sum(k in a for k in b if k) >= 8
+def test_rows_that_share_an_id_lose_nothing_unique(spark):
+    long = "The seven quiet rivers ran past the mill towns by night, until the last of them froze in deep snow that winter."
+    rows = [(1, "Common sentence here."), (5, "Common sentence here."), (5, "Unique text that occurs once only."), (5, long), (5, long),
+            (None, "First of all."), (None, long + " Own end."), (None, None), (9, "Another text. " + long)]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.kept_text) for r in
+                 ud.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(True, 1, "Common sentence here."), (True, 5, ""), (True, 5, "Unique text that occurs once only."), (True, 5, ""),
+                          (True, 5, ""), (False, 0, "First of all."), (False, 0, long + " Own end."), (False, 0, ""),
+                          (True, 9, "Another text. ")])
 
 
-def test_short_copies_and_repeated_short_lines_go_whole(spark):
+def test_passage_inside_other_text_goes_and_short_lines_stay(spark):
+    passage = " ".join(f"Sentence {w} is here for all to see and read." for w in "one two three four five six".split())
     line, copy = "Licensed under the terms.", "One two. Three four five.\nSix!"
-    rows = [(1, copy), (2, copy), (3, f"First text here.\n{line}\nMore of it."), (4, f"Another begins so.\n{line}\nOther end."),
-            (5, line), (6, " \n"), (7, "ONE  two. Seven.")]
+    rows = [(1, f"Other words here. {passage} Tail."), (2, f"No. More. {passage} End of it."), (3, copy), (4, copy),
+            (5, f"First text here.\n{line}\nMore of it."), (6, f"Another begins so.\n{line}\nOther end."), (7, line), (8, " \n")]
     got = {r.doc_id: r.kept_text for r in ud.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: copy, 2: "", 3: rows[2][1], 4: "Another begins so.\nOther end.", 5: "", 6: " \n", 7: "Seven."}
+    assert got == {1: rows[0][1], 2: "No. More. End of it.", 3: copy, 4: "", 5: rows[4][1], 6: rows[5][1], 7: "", 8: " \n"}
