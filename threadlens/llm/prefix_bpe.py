@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from threadlens.llm.alignment import TokenBytes
 from threadlens.llm.common import append_columns, fresh
 
 #: Bytes of pieces and their ids, about, that a worker remembers (so many a piece and 8 an id), and number of token pairs.
@@ -78,8 +79,13 @@ class PrefixBPE:
         self.bytes = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.pairs: dict[int, bool] = {}
+        self.spines: tuple[dict, dict] = ({}, {})
         self.pieces = Pieces(self.encode_piece)
 
+    @functools.cached_property
+    def table(self) -> TokenBytes:
+        return TokenBytes([self.bytes.get(i, b"") for i in range(max(self.bytes, default=-1) + 1)])
+
     @functools.cached_property
     def halves(self) -> dict[int, tuple[int, int] | None]:
         """The two tokens that each token is joined from last. Tokens that merging never builds have no entry; they
@@ -104,23 +110,31 @@ class PrefixBPE:
         out.make_automaton()
         return out
 
-    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """(token, rank of the token it is joined into) down the given side of a token's merges."""
-        out, above = [], 1 << 62
-        while True:
-            out.append((token, above))
-            if self.halves[token] is None:
-                return out
-            above, token = token, self.halves[token][side]
+    def spine(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """(bytes, rank of the token they are joined into) down the given side of a token's merges."""
+        known = self.spines[side].get(token)
+        if known is None:
+            known, at, above = [], token, 1 << 62
+            while True:
+                known.append((self.bytes[at], above))
+                if self.halves[at] is None:
+                    break
+                above, at = at, self.halves[at][side]
+            self.spines[side][token] = known
+        return known
 
     def stay_apart(self, left: int, right: int) -> bool:
-        """Whether two tokens side by side are what their bytes together are encoded as."""
+        """Whether two tokens side by side are what their bytes together are encoded as: no token over their border
+        ranks before those that take its two sides away."""
         if not self.ordered:
             return merge_bytes(self.bytes[left] + self.bytes[right], self.ranks)[0] == [self.bytes[left], self.bytes[right]]
-        return not any(
-            joined is not None and joined < x_above and joined <= y_above
-            for x, x_above in self.spine(left, 1) for y, y_above in self.spine(right, 0)
-            for joined in (self.ranks.get(self.bytes[x] + self.bytes[y]),))
+        rank, heads = self.ranks.get, self.spine(right, 0)
+        for x, x_above in self.spine(left, 1):
+            for y, y_above in heads:
+                joined = rank(x + y)
+                if joined is not None and joined < x_above and joined <= y_above:
+                    return False
+        return True
 
     def extend(self, data: bytes, last: list[int], stop=None) -> None:
         """Goes on with the last tokens of the prefixes of data, until its end or until stop(end, token) is true."""
@@ -294,7 +308,13 @@ def decode_ids(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "t
     gives no bytes; an id that the file does not have is an error. Names as in ``encode_texts``."""
 
     def run(ids: pa.Array) -> list[pa.Array]:
-        model = load(ranks_path, pattern)
-        return [pa.array([model.decode(x.as_py() or ()) for x in ids], pa.binary())]
+        table = load(ranks_path, pattern).table
+        out = []
+        for row in ids:
+            own = row.values.to_numpy() if row.is_valid else np.zeros(0, np.int32)
+            if len(own) and (own.min() < 0 or own.max() >= len(table.width) or not table.width[own].all()):
+                raise ValueError("an id that the file does not have")
+            out.append(table.joined(own).tobytes())
+        return [pa.array(out, pa.binary())]
 
     return append_columns(docs, [ids_col], [(fresh(docs, "token_bytes"), T.BinaryType())], run)
