@@ -219,3 +219,74 @@ def test_local_linear_recovers_coefficients(planted):
     got = {(r.id, r.feature): r.weight for r in ex.local_linear(few, ex.linear_scorer(weights), samples=100, k=3).collect()}
     for i in range(3):
         assert got[(i, 0)] == pytest.approx(3.0, abs=0.05) and got[(i, 1)] == pytest.approx(-2.0, abs=0.05)
+
+
+def test_expected_attributions_match_enumeration(planted):
+    from itertools import permutations
+
+    model = boosted(planted)
+    margins = {r.id: r.score for r in ex.model_scorer(model)(planted).collect()}
+    out = {r.id: r for r in ex.expected_attributions(planted, model).collect()}
+    assert all(abs(r.base + sum(r.phi) - margins[i]) < 1e-9 for i, r in out.items())
+    table = ex.tree_table(planted.sparkSession, model)
+
+    def value(node, x, known):
+        if table.left[node] < 0:
+            return table.value[node]
+        f, sides = table.feature[node], (table.left[node], table.right[node])
+        if f in known:
+            return value(sides[int(x[f] > table.threshold[node])], x, known)
+        return sum(value(s, x, known) * table.cover[s] / table.cover[node] for s in sides)
+
+    total = lambda x, known: sum(value(r, x, known) for r in table.roots)
+    used = sorted({int(f) for f, left in zip(table.feature, table.left, strict=True) if left >= 0})
+    orders = list(permutations(used)) if len(used) <= 5 else None
+    for i in (0, 3):
+        x = planted.where(F.col("id") == i).first().x
+        assert out[i].base == pytest.approx(total(x, set()))
+        sets = [(tuple(used[:k]), used[k]) for k in range(len(used))] if orders is None else None
+        if orders:
+            phi = np.zeros(8)
+            for order in orders:
+                for k, f in enumerate(order):
+                    phi[f] += total(x, set(order[:k + 1])) - total(x, set(order[:k]))
+            assert np.allclose(phi / len(orders), out[i].phi, atol=1e-9)
+        else:
+            from itertools import combinations
+            from math import factorial
+
+            d = len(used)
+            for f in used:
+                rest = [g for g in used if g != f]
+                want = sum(factorial(k) * factorial(d - k - 1) / factorial(d) * (total(x, {*s, f}) - total(x, set(s)))
+                           for k in range(d) for s in combinations(rest, k))
+                assert out[i].phi[f] == pytest.approx(want, abs=1e-9)
+            assert sets
+
+
+def test_sampled_attributions_are_exact_for_a_linear_scorer(planted):
+    weights = [3.0, -2.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.5]
+    background = [[0.0] * 8, [1.0] * 8]
+    rows = ex.sampled_attributions(planted.where("id < 5"), ex.linear_scorer(weights), background, rounds=4).collect()
+    x = {r.id: r.x for r in planted.where("id < 5").collect()}
+    for r in rows:
+        assert r.base == pytest.approx(sum(weights) / 2)
+        assert r.phi == pytest.approx([w * (v - 0.5) for w, v in zip(weights, x[r.id], strict=True)])
+    with pytest.raises(ValueError):
+        ex.sampled_attributions(planted, lambda df: df, background)
+
+
+def test_trials_inside_the_batch_equal_trials_as_rows(planted):
+    scorer = ex.model_scorer(boosted(planted))
+    as_rows = lambda df: scorer(df)
+    few = planted.where("id < 40")
+    features = [0, 1, 5]
+    for explain in (lambda s: ex.permutation_importance(few, s, features).orderBy("feature"),
+                    lambda s: ex.partial_dependence(few, s, ex.range_grid(few, features, 3)).orderBy("feature", "point"),
+                    lambda s: ex.local_linear(few.where("id < 4"), s, samples=50, k=3).orderBy("id", "rank")):
+        inside, outside = explain(scorer).collect(), explain(as_rows).collect()
+        assert len(inside) == len(outside) > 0
+        for a, b in zip(inside, outside, strict=True):
+            assert tuple(a) == pytest.approx(tuple(b), abs=1e-9)
+    plan = ex.local_linear(few, scorer)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan

@@ -148,18 +148,6 @@ def test_surrogate_is_stationary_and_adds_up(spark):
     assert row.surrogate_label == int(row.margin > 0) == 1
     result = sg.explain_threads(t, found).first()
     assert result.replies == 4 and result.tweet_text == "cats like milk"
-
-
-def test_logistic_fit_has_zero_gradient():
-    rng = np.random.default_rng(0)
-    x, w = rng.normal(size=(40, 90)), rng.uniform(0.5, 2.0, 40)
-    y = (x[:, 0] + 0.3 * rng.normal(size=40) > 0).astype(float)
-    coef, intercept, _ = sg.fit_logistic(x, y, w)
-    p = 1 / (1 + np.exp(-(x @ coef + intercept)))
-    assert np.allclose(x.T @ (w * (p - y)) + coef, 0, atol=1e-6)
-    assert abs(np.sum(w * (p - y))) < 1e-6
-
-
 def test_metrics_by_hand(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.8), (0, 0.3), (1, 0.2), (0, 0.1)], "label int, score double")
     curve = rows(mt.roc_curve(df), F.desc("threshold"))

@@ -10,63 +10,64 @@ from pyspark.sql import types as T
 
 from threadlens.operators import relational as rel
 from threadlens.operators import threads as th
+from threadlens.operators.sparse_logistic import INTERCEPT, fit_distributed, fit_local
+from threadlens.session import materialize
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50, tol: float = 1e-9):
-    """Minimises sum(weight * log loss) + |coef|^2 / 2 with a free intercept; returns coef, intercept, gradient norm.
-
-    The rows span at most as many directions as there are replies, so Newton steps are taken there.
-    """
-    u, s, vt = np.linalg.svd(x, full_matrices=False)
-    z = np.hstack([u * s, np.ones((len(y), 1))])
-    penalty = np.ones(z.shape[1])
-    penalty[-1] = 0.0
-    theta = np.zeros(z.shape[1])
-
-    def loss(t):
-        m = z @ t
-        return float(np.sum(weight * (np.logaddexp(0.0, m) - y * m)) + 0.5 * np.sum(penalty * t * t))
-
-    gradient = np.zeros_like(theta)
-    for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-(z @ theta)))
-        gradient = z.T @ (weight * (p - y)) + penalty * theta
-        if np.linalg.norm(gradient) < tol:
-            break
-        curvature = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty)
-        step = np.linalg.lstsq(curvature, gradient, rcond=None)[0]
-        size, start = 1.0, loss(theta)
-        while size > 1e-6 and loss(theta - size * step) > start:
-            size /= 2
-        theta = theta - size * step
-    return vt.T @ theta[:-1], float(theta[-1]), float(np.linalg.norm(gradient))
+#: Threads with more term weights than this are fitted as tables, the others each in one task.
+LOCAL_ENTRIES = 500_000
 
 
 def _explain_thread(rows: pd.DataFrame) -> dict:
     """One thread's long rows (pos, label, term, weight) to its surrogate and the root's contributions."""
     found = rows.dropna(subset=["term"])
-    terms = {t: i for i, t in enumerate(sorted(found.loc[found["pos"] > 0, "term"].unique()))}
+    inside = found[found["pos"] > 0]
+    terms, column = np.unique(inside["term"].to_numpy(dtype=str), return_inverse=True)
     replies = rows[rows["pos"] > 0].drop_duplicates("pos").sort_values("pos")
-    line = {p: i for i, p in enumerate(replies["pos"])}
-    x, root = np.zeros((len(line), len(terms))), np.zeros(len(terms))
-    for pos, term, weight in zip(found["pos"], found["term"], found["weight"]):
-        if term in terms:
-            if pos > 0:
-                x[line[pos], terms[term]] = weight
-            else:
-                root[terms[term]] = weight
     y = replies["label"].to_numpy(dtype=float)
     share = {c: len(y) / (2.0 * max(1, int((y == c).sum()))) for c in (0.0, 1.0)}
-    coef, intercept, gradient = fit_logistic(x, y, np.array([share[c] for c in y]))
-    contribution = coef * root
-    margin = float(contribution.sum() + intercept)
+    line = np.searchsorted(replies["pos"].to_numpy(), inside["pos"].to_numpy())
+    coef, intercept, gradient = fit_local(
+        line, column, inside["weight"].to_numpy(dtype=float), len(terms), y, np.array([share[c] for c in y]))
+    place = {t: i for i, t in enumerate(terms.tolist())}
+    root = found[found["pos"] == 0]
+    words = [{"word": t, "contribution": float(coef[place[t]] * w)} for t, w in zip(root["term"], root["weight"])
+             if t in place and coef[place[t]] * w != 0]
+    margin = float(sum(w["contribution"] for w in words) + intercept)
     return {
         "surrogate_label": int(margin > 0), "surrogate_proba": float(1.0 / (1.0 + np.exp(-margin))), "margin": margin,
-        "intercept": intercept, "gradient": gradient,
-        "words": [{"word": t, "contribution": float(contribution[i])} for t, i in terms.items() if contribution[i] != 0],
+        "intercept": intercept, "gradient": gradient, "words": sorted(words, key=lambda w: w["word"]),
     }
 
 
+def _explain_large(rows: DataFrame) -> DataFrame:
+    """The same rows of all threads that are fitted as tables, one row per thread. A root bounds its list of words."""
+    replies = rows.where(F.col("pos") > 0)
+    labels = replies.select("thread_id", "pos", "label").distinct()
+    counts = labels.groupBy("thread_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("ones"), F.count_if(F.col("label") == 0).alias("zeros"))
+    weight = F.col("n") / (2.0 * F.greatest(F.lit(1), F.when(F.col("label") == 1, F.col("ones")).otherwise(F.col("zeros"))))
+    fitted = materialize(fit_distributed(
+        replies.where(F.col("term").isNotNull()).select(
+            F.col("thread_id").alias("key"), F.col("pos").alias("row"), "term", F.col("weight").alias("value")),
+        labels.join(counts, "thread_id").select(
+            F.col("thread_id").alias("key"), F.col("pos").alias("row"), F.col("label").alias("y"), weight.alias("weight"))), "surrogate-fit")
+    fitted = fitted.withColumnRenamed("key", "thread_id")
+    root = rows.where((F.col("pos") == 0) & F.col("term").isNotNull()).join(fitted, ["thread_id", "term"]).select(
+        "thread_id", F.struct(F.col("term").alias("word"), (F.col("beta") * F.col("weight")).alias("contribution")).alias("w"))
+    words = root.where(F.col("w.contribution") != 0).groupBy("thread_id").agg(F.array_sort(F.collect_list("w")).alias("words"))
+    base = fitted.where(F.col("term") == INTERCEPT).select("thread_id", F.col("beta").alias("intercept"), "gradient")
+    none = F.array().cast("array<struct<word:string,contribution:double>>")
+    total = F.aggregate("words", F.lit(0.0), lambda acc, w: acc + w["contribution"])
+    margin = F.col("margin")
+    return (
+        base.join(words, "thread_id", "left").withColumn("words", F.coalesce("words", none))
+        .withColumn("margin", total + F.col("intercept"))
+        .select("thread_id", (margin > 0).cast("int").alias("surrogate_label"), (1.0 / (1.0 + F.exp(-margin))).alias("surrogate_proba"),
+                "margin", "intercept", "gradient", "words")
+    )
+
+
 def mixed_threads(posts: DataFrame) -> DataFrame:
     """Thread ids whose replies carry both labels."""
     flags = rel.thread_homophily(posts, "thread_id", "pos", "label")
@@ -79,14 +80,16 @@ def distinct_posts(posts: DataFrame, columns: list[str]) -> DataFrame:
     return posts.join(first.select("thread_id", "pos"), ["thread_id", "pos"], "left_semi")
 
 
-def thread_surrogates(posts: DataFrame, weights: DataFrame) -> DataFrame:
+def thread_surrogates(posts: DataFrame, weights: DataFrame, local_entries: int = LOCAL_ENTRIES) -> DataFrame:
     """One row per mixed thread: surrogate label, probability, margin, intercept and the root's word contributions.
 
-    posts(thread_id, pos, label) has passed the size filter, which bounds each group; single-label
-    threads are removed before the fit.
+    posts(thread_id, pos, label), weights(thread_id, pos, term, weight). Threads may have any size: those of at most
+    ``local_entries`` term weights are fitted each in one task, the larger ones together by sums over their tables.
+    Both reach the same minimum. Single-label threads are removed before the fit.
     """
     kept = posts.select("thread_id", "pos", "label").join(mixed_threads(posts), "thread_id", "left_semi")
-    rows = kept.join(weights, ["thread_id", "pos"], "left")
+    rows = materialize(kept.join(weights, ["thread_id", "pos"], "left"), "surrogate-rows")
+    large = rows.groupBy("thread_id").count().where(F.col("count") > local_entries).select("thread_id")
     key = posts.schema["thread_id"].dataType
     schema = T.StructType([
         T.StructField("thread_id", key), T.StructField("surrogate_label", T.IntegerType()),
@@ -99,7 +102,10 @@ def thread_surrogates(posts: DataFrame, weights: DataFrame) -> DataFrame:
     def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"thread_id": keys[0], **_explain_thread(frame)}])[schema.names]
 
-    return rows.groupBy("thread_id").applyInPandas(run, schema)
+    small = rows.join(large, "thread_id", "left_anti").groupBy("thread_id").applyInPandas(run, schema)
+    if large.isEmpty():
+        return small
+    return small.unionByName(_explain_large(materialize(rows.join(large, "thread_id", "left_semi"), "surrogate-rows")))
 
 
 def explain_threads(posts: DataFrame, surrogates: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Per-thread term weights and exemplars. A thread is bounded by the size filter, never by sampling."""
+"""Per-thread term weights and exemplars, of threads of any size."""
 
 from __future__ import annotations
 
@@ -18,15 +18,15 @@ def term_counts(posts: DataFrame, keys: list[str], text: str, stop_words: list[s
 def thread_tfidf(posts: DataFrame, text: str, stop_words: list[str] | None = None) -> DataFrame:
     """(thread_id, pos, term, weight): per-thread tf-idf fitted on the replies and applied to all posts.
 
-    The size filter bounds a thread. Texts are cut once: the document frequency is a window on
-    (thread, term) over the same counts, and the norm one on (thread, post).
+    Threads may have any size. The document frequencies of (thread, term) are summed before they are shuffled and joined
+    back, so a term that most replies of a large thread have is no group of one task; the norm's window is one post.
     """
     counts = term_counts(posts, ["thread_id", "pos"], text, stop_words)
     replies = posts.groupBy("thread_id").agg(F.count_if(F.col("pos") > 0).alias("n"))
-    df = F.count_if(F.col("pos") > 0).over(Window.partitionBy("thread_id", "term"))
+    frequency = counts.groupBy("thread_id", "term").agg(F.count_if(F.col("pos") > 0).alias("df")).where("df > 0")
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
     weighted = (
-        counts.withColumn("df", df).where(F.col("df") > 0).join(replies, "thread_id")
+        counts.join(frequency, ["thread_id", "term"]).join(replies, "thread_id")
         .select("thread_id", "pos", "term", (F.col("tf") * idf).alias("_w"))
     )
     post = Window.partitionBy("thread_id", "pos")

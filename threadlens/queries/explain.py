@@ -122,10 +122,9 @@ ATTRIBUTIONS_SQL = f"""{VECTORS_SQL}, a AS (
 
 @query("explain_shap_values")
 def explain_shap_values(spark, sf_dir):
-    """Shapley values of a boosted ensemble for every vector and feature."""
+    """Shapley values of a boosted ensemble for every vector and feature, against its expected value."""
     data = vectors(spark, sf_dir)
-    values = ex.tree_attributions(data, _boosted(data), ex.mean_vector(data, SIZE))
-    return ex.long_attributions(values, "phi")
+    return ex.long_attributions(ex.expected_attributions(data, _boosted(data)), "phi")
 
 
 @query("explain_shap_global", f"""WITH {ATTRIBUTIONS_SQL}
@@ -144,7 +143,9 @@ def explain_shap_dependence(spark, sf_dir):
 
 @query("explain_lime_local")
 def explain_lime_local(spark, sf_dir):
-    return ex.local_linear(vectors(spark, sf_dir), ex.linear_scorer(WEIGHTS))
+    """The trained ensemble explained around every vector."""
+    data = vectors(spark, sf_dir)
+    return ex.local_linear(data, ex.model_scorer(_boosted(data)))
 
 
 @query("explain_prediction_contrib")
@@ -180,5 +181,5 @@ def explain_shap_additive(spark, sf_dir):
     """Base and Shapley values of every vector add up to its margin."""
     data = vectors(spark, sf_dir)
     model = _boosted(data)
-    values = ex.tree_attributions(data, model, ex.mean_vector(data, SIZE))
+    values = ex.expected_attributions(data, model)
     return _adds_up(data, model, values.select("id", (F.col("base") + _sum("phi")).alias("_total")))
