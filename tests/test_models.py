@@ -74,19 +74,47 @@ def positive(column):
     return as_vector(F.transform(cl.vector_to_array(F.col(column)), lambda v: F.abs(v)))
 
 
-def test_neighbours_can_be_tuned(planted):
+def test_classifiers_are_compared_reported_and_saved(spark, planted, tmp_path):
     data = vectors(planted)
-    searches, best = cl.compare_classifiers(data, ["id"], {"knn": {"n_neighbors": [1, 5]}, "logistic": {"c": [1.0]}}, folds=2)
+    searches, best, rows = cl.compare_classifiers(data, ["id"], {"knn": {"n_neighbors": [1, 5]}, "logistic": {"c": [0.1, 1.0]}},
+                                                  folds=2, cv=3)
     assert len(searches["knn"].rows) == 2 and all(0.5 < r[2] <= 1 for r in searches["knn"].rows)
-    knn = cl.predictions(cl.fit("knn", data, n_neighbors=1), data, ["id"])
-    assert knn.where("label <> prediction").count() == 0 and best.name in ("knn", "logistic")
+    report = {r.classifier: r for r in spark.createDataFrame(rows, cl.REPORT_SCHEMA).collect()}
+    assert sorted(r["rank"] for r in report.values()) == [1, 2]
+    assert report[best.name].cv_accuracy == max(r.cv_accuracy for r in report.values()) and report[best.name]["rank"] == 1
+    for r in report.values():
+        hits = r.recall_1 * r.support_1 + r.recall_0 * r.support_0
+        assert r.test_accuracy == pytest.approx(hits / (r.support_1 + r.support_0))
+    knn = cl.fit("knn", data, n_neighbors=1)
+    knn.save(str(tmp_path / "knn"))
+    again = cl.predictions(cl.Fitted.load(spark, "knn", str(tmp_path / "knn")), data, ["id"])
+    assert again.where("label <> prediction").count() == 0
+
+
+def test_models_trained_together_equal_single_fits(planted):
+    from threadlens.operators import shared_tuning as st
+
+    tagged = sp.k_folds(vectors(planted), ["id"], 2).cache()
+    models = [st.Model(0.1), st.Model(1.0, "fold", 0), st.Model(5.0, "fold", 1)]
+    weights, counts = st.fit_many(tagged, models)
+    for model, w, n in zip(models, weights, counts, strict=True):
+        train = tagged if model.column is None else tagged.where(F.col(model.column) != model.value)
+        single = cl.fit("logistic", train, c=model.c, maxIter=500).model.stages[0]
+        assert np.allclose(single.coefficients.toArray(), w[:-1], atol=2e-3) and single.intercept == pytest.approx(w[-1], abs=2e-3)
+        rows = [(r.features.toArray(), r.label) for r in train.collect()]
+        p = np.array([1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) for x, _ in rows]) - np.array([y for _, y in rows])
+        slope = np.array([x for x, _ in rows]).T @ p + w[:-1] / model.c
+        assert np.abs(slope).max() < 1e-4 and abs(p.sum()) < 1e-4
+        assert n[:4].sum() == len(rows) and n.sum() == 400
+    alone, _ = st.fit_many(tagged, models[1:2])
+    assert np.allclose(alone[0], weights[1], atol=1e-6)
 
 
 def test_unknown_names_are_errors(planted):
     with pytest.raises(KeyError):
         cl.fit("KNN-typo", vectors(planted))
     with pytest.raises(KeyError):
-        cl.compare_classifiers(vectors(planted), ["id"], {"typo": {}})
+        cl.compare_classifiers(vectors(planted), ["id"], {"typo": {"c": [1]}})
 
 
 def test_grid_and_draws():
@@ -102,7 +130,8 @@ def test_select_best_tie_rules():
 
 
 def test_search_picks_the_table_maximum(planted, spark):
-    found = cl.grid_search("logistic", vectors(planted), ["id"], {"c": [0.001, 1.0], "maxIter": [10]}, n_splits=2)
+    found = cl.grid_search("logistic", vectors(planted), ["id"], {"c": [0.001, 1.0]}, n_splits=2)
+    assert found.fitted.name == "logistic"
     assert found.best_score == max(r[2] for r in found.rows)
     assert found.table(spark).count() == 2
 

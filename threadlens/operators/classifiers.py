@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.vectors import as_vector
 from threadlens.operators import splits as sp
+from threadlens.operators.shared_tuning import Model, fit_many
+from threadlens.operators.shared_tuning import scores as count_scores
 from threadlens.operators.skew import top_k
 from threadlens.session import materialize
 
@@ -44,6 +46,20 @@ GRIDS = {
     "neural_network": {"hidden": [(100, 100, 100), (50, 50), (100,)], "maxIter": [200]},
     "knn": {"n_neighbors": NEIGHBOURS},
 }
+#: Spaces of the random search, in MLlib's parameters. Depths above 30 and without a limit are 30; the smallest node to
+#: split has no equal and is left out; solvers of the logistic model reach the same minimum.
+RANDOM_SPACES = {
+    "knn": {"n_neighbors": NEIGHBOURS},
+    "naive_bayes": {"smoothing": [0.0, 1.0], "fit_prior": [True, False]},
+    "logistic": {"c": TENTHS, "solver": ["liblinear", "newton-cg", "sag", "saga", "lbfgs"]},
+    "svm": {"c": [0.0001, 0.001, 0.01], "kernel": ["linear", "rbf", "poly"], "gamma": [0.0001, 0.001, 0.01, 0.1, 1, 10, 100],
+            "degree": [1, 2, 3, 4, 5], "probability": [True, False]},
+    "random_forest": {"numTrees": [200, 450, 700, 950, 1200], "featureSubsetStrategy": ["auto", "sqrt"],
+                      "maxDepth": [20, 30], "minInstancesPerNode": [1, 2, 4], "bootstrap": [True, False]},
+    "gradient_boosting": {"maxIter": [200, 800], "featureSubsetStrategy": ["all", "sqrt"], "maxDepth": [10, 30],
+                          "minInstancesPerNode": [1, 2, 4], "stepSize": [0.1, 0.5], "subsamplingRate": [0.5, 1.0]},
+    "neural_network": {"hidden": [(100, 100, 100), (50, 50), (100,)], "solver": ["gd", "l-bfgs"], "maxIter": [200]},
+}
 RANDOM_DRAWS = 50
 #: Pivots of the neighbour search, which every task holds.
 MAX_PIVOTS = 2048
@@ -103,6 +119,17 @@ class NeighbourModel:
                          vector_to_array("features").alias("x")), "neighbours")
         self.k = k
 
+    def save(self, path: str) -> None:
+        """The training rows under path, k beside them."""
+        self.train.write.mode("overwrite").parquet(f"{path}/rows")
+        self.train.sparkSession.createDataFrame([(self.k,)], "k int").write.mode("overwrite").parquet(f"{path}/k")
+
+    @classmethod
+    def load(cls, spark, path: str) -> NeighbourModel:
+        self = cls.__new__(cls)
+        self.train, self.k = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/k").first()["k"]
+        return self
+
     def transform(self, df: DataFrame) -> DataFrame:
         rows = materialize(df.withColumn("_query", F.monotonically_increasing_id()), "neighbour-queries")
         near = nearest_neighbours(rows.select(F.col("_query").alias("query_id"), vector_to_array("features").alias("x")),
@@ -118,6 +145,8 @@ def make(name: str, n_rows: int, n_features: int, **p) -> Pipeline:
     """A pipeline for a registered name. ``c`` is the inverse penalty summed over rows; MLlib averages over rows."""
     c = p.get("c", 1.0)
     cols = {"featuresCol": "features", "labelCol": "label"}
+    if name == "svm":
+        name = f"svm_{p.get('kernel', 'rbf')}"
     if name == "logistic":
         stages = [LogisticRegression(regParam=1.0 / (c * n_rows), elasticNetParam=0.0, standardization=False,
                                      maxIter=p.get("maxIter", 100), **cols)]
@@ -132,20 +161,21 @@ def make(name: str, n_rows: int, n_features: int, **p) -> Pipeline:
             stages = [RandomFourierFeatures(gamma=p.get("gamma", 1.0), dim=n_features), svc.copy({svc.featuresCol: "rff"})]
     elif name == "random_forest":
         stages = [RandomForestClassifier(
-            numTrees=p.get("numTrees", 200), maxDepth=p.get("maxDepth", 10), bootstrap=True,
-            minInstancesPerNode=p.get("minInstancesPerNode", 2), featureSubsetStrategy="sqrt", seed=42, **cols)]
+            numTrees=p.get("numTrees", 200), maxDepth=p.get("maxDepth", 10),
+            bootstrap=p.get("bootstrap", True), minInstancesPerNode=p.get("minInstancesPerNode", 2),
+            featureSubsetStrategy=p.get("featureSubsetStrategy", "sqrt"), seed=42, **cols)]
     elif name == "gradient_boosting":
         stages = [GBTClassifier(
             maxIter=p.get("maxIter", 800), maxDepth=p.get("maxDepth", 5), stepSize=p.get("stepSize", 0.1),
             subsamplingRate=p.get("subsamplingRate", 0.5), minInstancesPerNode=p.get("minInstancesPerNode", 2),
-            featureSubsetStrategy="sqrt", seed=42, **cols)]
+            featureSubsetStrategy=p.get("featureSubsetStrategy", "sqrt"), seed=42, **cols)]
     elif name == "naive_bayes":
         prior = {} if p.get("fit_prior", True) else {"weightCol": "balance"}
         stages = [NaiveBayes(modelType="multinomial", smoothing=p.get("smoothing", 1.0), **prior, **cols)]
     elif name == "neural_network":
         layers = [n_features, *p.get("hidden", (100,)), 2]
-        stages = [MultilayerPerceptronClassifier(layers=layers, maxIter=p.get("maxIter", 200), solver="l-bfgs",
-                                                 seed=42, **cols)]
+        stages = [MultilayerPerceptronClassifier(layers=layers, maxIter=p.get("maxIter", 200),
+                                                 solver=p.get("solver", "l-bfgs"), seed=42, **cols)]
     elif name == "decision_tree":
         stages = [DecisionTreeClassifier(maxDepth=p.get("maxDepth", 10), seed=42, **cols)]
     else:
@@ -175,6 +205,17 @@ class Fitted:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df)
 
+    def save(self, path: str) -> None:
+        """Any model under path; ``load`` gives it back."""
+        if isinstance(self.model, NeighbourModel):
+            self.model.save(path)
+        else:
+            self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, spark, name: str, path: str) -> Fitted:
+        return cls(name, NeighbourModel.load(spark, path) if name == "knn" else PipelineModel.load(path))
+
 
 def fit(name: str, train: DataFrame, n_rows: int | None = None, n_features: int | None = None, **params) -> Fitted:
     n_rows = n_rows or train.count()
@@ -210,6 +251,7 @@ class Search:
     rows: list[tuple] = field(default_factory=list)
     best: dict = field(default_factory=dict)
     best_score: float = 0.0
+    fitted: Fitted | None = None  # the winner, refitted on all rows
 
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame(self.rows, "position int, params string, mean double, std double")
@@ -219,8 +261,11 @@ def search(name: str, df: DataFrame, candidates: list[dict], split_columns: list
            parallelism: int = 4) -> Search:
     """Score each candidate on each split; a split is (column, value) and its rows with that value are the test side.
 
-    Fits are distributed MLlib jobs; ``parallelism`` of them are submitted at a time.
+    Logistic models are trained together, one pass over the rows per step for all candidates and splits. Fits of other
+    classifiers are distributed MLlib jobs; ``parallelism`` of them are submitted at a time.
     """
+    if name == "logistic":
+        return _searched(name, candidates, shared_scores(df, candidates, split_columns)["accuracy"])
     df = df.persist()
     width = len(df.first()["features"])
     sides = []
@@ -235,9 +280,22 @@ def search(name: str, df: DataFrame, candidates: list[dict], split_columns: list
     with ThreadPoolExecutor(parallelism) as pool:
         scores = list(pool.map(run, [(c, s) for c in candidates for s in sides]))
     df.unpersist()
+    return _searched(name, candidates, np.array(scores).reshape(len(candidates), len(sides)))
+
+
+def shared_scores(df: DataFrame, candidates: list[dict], split_columns: list[tuple[str, int]]) -> dict[str, np.ndarray]:
+    """Test scores (candidate, split) of logistic models; candidates with the same penalty are one model."""
+    penalties = sorted({float(c.get("c", 1.0)) for c in candidates})
+    models = [Model(c, column, value) for c in penalties for column, value in split_columns]
+    _, counts = fit_many(df, models)
+    at = [penalties.index(float(c.get("c", 1.0))) for c in candidates]
+    return {n: s.reshape(len(penalties), len(split_columns))[at] for n, s in count_scores(counts[:, 4:]).items()}
+
+
+def _searched(name: str, candidates: list[dict], scores: np.ndarray) -> Search:
     result = Search(name)
     for i, candidate in enumerate(candidates):
-        own = scores[i * len(sides):(i + 1) * len(sides)]
+        own = scores[i]
         result.rows.append((i, repr(candidate), float(np.mean(own)), float(np.std(own))))
     top = max(result.rows, key=lambda r: (r[2], -r[0]))
     result.best, result.best_score = candidates[top[0]], top[2]
@@ -246,16 +304,20 @@ def search(name: str, df: DataFrame, candidates: list[dict], split_columns: list
 
 def grid_search(name: str, df: DataFrame, unique: list[str], grid: dict | None = None, n_splits: int = 3,
                 test_percent: int = 33, seed: int = 42) -> Search:
-    """Every candidate on independent random splits."""
+    """Every candidate on independent random splits; the winner is refitted on all rows."""
     tagged = sp.shuffle_splits(df, unique, n_splits, test_percent, seed)
-    return search(name, tagged, expand_grid(grid or GRIDS[name]), [(f"split_{i}", 1) for i in range(n_splits)])
+    found = search(name, tagged, expand_grid(grid or GRIDS[name]), [(f"split_{i}", 1) for i in range(n_splits)])
+    found.fitted = fit(name, df, **found.best)
+    return found
 
 
 def random_search(name: str, df: DataFrame, unique: list[str], grid: dict | None = None, draws: int = RANDOM_DRAWS,
                   folds: int = 3, seed: int = 42) -> Search:
-    """Random distinct candidates on k folds."""
+    """Random distinct candidates on k folds; the winner is refitted on all rows."""
     tagged = sp.k_folds(df, unique, folds, seed)
-    return search(name, tagged, draw_grid(grid or GRIDS[name], draws, seed), [("fold", i) for i in range(folds)])
+    found = search(name, tagged, draw_grid(grid or RANDOM_SPACES[name], draws, seed), [("fold", i) for i in range(folds)])
+    found.fitted = fit(name, df, **found.best)
+    return found
 
 
 def select_best(scores: list[tuple[str, float]], last_wins: bool = True) -> tuple[str, float]:
@@ -267,14 +329,62 @@ def select_best(scores: list[tuple[str, float]], last_wins: bool = True) -> tupl
     return best
 
 
-def compare_classifiers(df: DataFrame, unique: list[str], grids: dict[str, dict], folds: int = 3, seed: int = 42):
-    """Tune each named classifier, keep the best by fold accuracy and refit it on all rows."""
-    known = [n for n in grids if n not in GRIDS]
+def cross_validate(name: str, df: DataFrame, unique: list[str], params: dict, folds: int = 10, seed: int = 7,
+                   parallelism: int = 4) -> dict[str, float]:
+    """Mean accuracy, precision, recall and F1 of class 1 over the folds."""
+    tagged = sp.k_folds(df, unique, folds, seed)
+    sides = [("fold", i) for i in range(folds)]
+    if name == "logistic":
+        return {n: float(s.mean()) for n, s in shared_scores(tagged, [params], sides).items()}
+    tagged = tagged.persist()
+    width = len(tagged.first()["features"])
+
+    def run(i: int) -> list[float]:
+        train = tagged.where(F.col("fold") != i)
+        return confusion(fit(name, train, train.count(), width, **params), tagged.where(F.col("fold") == i))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        counts = np.array(list(pool.map(run, range(folds))))
+    tagged.unpersist()
+    return {n: float(s.mean()) for n, s in count_scores(counts).items()}
+
+
+def confusion(fitted: Fitted, df: DataFrame) -> list[float]:
+    """True and false positives, true and false negatives."""
+    guess, true = F.col("prediction") > 0.5, F.col("label") > 0.5
+    cells = [guess & true, guess & ~true, ~guess & ~true, ~guess & true]
+    return [float(v) for v in fitted.transform(df).agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(cells)]).first()]
+
+
+REPORT_SCHEMA = ("classifier string, params string, search_score double, train_accuracy double, test_accuracy double, "
+                 "precision_1 double, recall_1 double, f1_1 double, precision_0 double, recall_0 double, f1_0 double, "
+                 "support_1 long, support_0 long, cv_accuracy double, cv_precision double, cv_recall double, cv_f1 double, rank int")
+
+
+def compare_classifiers(df: DataFrame, unique: list[str], grids: dict[str, dict | None], folds: int = 3, seed: int = 42,
+                        cv: int = 10, test_percent: int = 20) -> tuple[dict[str, Search], Fitted, list[tuple]]:
+    """Tune each named classifier on the training side, report it, rank all by the mean accuracy of ``cv`` folds over all
+    rows, and refit the best (the last of equals) on all rows. Returns searches, the refitted model and rows of
+    REPORT_SCHEMA. A grid of None is the name's random-search space."""
+    known = [n for n in grids if n not in RANDOM_SPACES and n not in GRIDS and grids[n] is None]
+    known += [n for n in grids if n not in RANDOM_SPACES and n not in GRIDS and n not in ("svm_linear", "decision_tree")]
     if known:
         raise KeyError(f"unknown classifiers: {known}")
-    searches = {n: random_search(n, df, unique, g, folds=folds, seed=seed) for n, g in grids.items()}
-    name, _ = select_best([(n, s.best_score) for n, s in searches.items()])
-    return searches, fit(name, df, **searches[name].best)
+    tagged = sp.train_test(df, unique, test_percent, seed)
+    train, test = tagged.where("is_test = 0"), tagged.where("is_test = 1")
+    searches, rows = {}, []
+    for name, grid in grids.items():
+        found = searches[name] = random_search(name, train, unique, grid, folds=folds, seed=seed)
+        seen, told = confusion(found.fitted, train), confusion(found.fitted, test)
+        one, zero = (count_scores(np.array([c])) for c in (told, [told[2], told[3], told[0], told[1]]))
+        means = cross_validate(name, df, unique, found.best, cv, seed)
+        rows.append((name, repr(found.best), found.best_score, float(count_scores(np.array([seen]))["accuracy"][0]),
+                     float(one["accuracy"][0]), *[float(x[n][0]) for x in (one, zero) for n in ("precision", "recall", "f1")],
+                     int(told[0] + told[3]), int(told[1] + told[2]), *[means[n] for n in ("accuracy", "precision", "recall", "f1")]))
+    order = sorted(range(len(rows)), key=lambda i: (-rows[i][13], -i))
+    ranked = [(*row, order.index(i) + 1) for i, row in enumerate(rows)]
+    best, _ = select_best([(r[0], r[13]) for r in rows])
+    return searches, fit(best, df, **searches[best].best), ranked
 
 
 # ---- feature elimination, learning curves, chains -------------------------------------------
