@@ -62,3 +62,22 @@ def test_text_traits_explain_unseen_documents(spark):
     for t in mx.SEVEN:
         true, got = np.array([r[f"true_{t}"] for r in both]), np.array([r[t] for r in both])
         assert 1 - ((true - got) ** 2).sum() / ((true - true.mean()) ** 2).sum() > 0.9
+
+
+def test_chain_trained_together_equals_label_by_label(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 4))
+    a = np.digitize(x[:, 0], [-0.5, 0.5])
+    b = (a + (x[:, 1] > 0)) % 3
+    rows = [(i, x[i].tolist(), int(a[i]), int(b[i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, a int, b int").withColumn("features", as_vector(F.col("x"))).repartition(3)
+    chain = st.fit_chain(df, ["a", "b"], tol=1e-7)
+    for j, (label, seen) in enumerate((("a", x), ("b", np.hstack([x, a[:, None]])))):
+        one = df.withColumn("features", as_vector(F.concat("x", *([F.array(F.col("a").cast("double"))] if j else []))))
+        single, _ = st.fit_many(one, [st.Model(1.0, label=label, positive=v) for v in (0.0, 1.0, 2.0)])
+        assert np.allclose(single, chain.weights[j], atol=1e-4) and single.shape[1] == seen.shape[1] + 1
+    got = {r.id: r for r in chain.transform(df).collect()}
+    assert np.mean([got[i].pred_a == a[i] for i in range(200)]) > 0.8
+    told = np.array([[*x[i], got[i].pred_a] for i in range(200)])
+    margin = told @ chain.weights[1][:, :-1].T + chain.weights[1][:, -1]
+    assert all(got[i].pred_b == margin[i].argmax() for i in range(200))

@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.functions.vectors import as_vector
 from threadlens.session import materialize
 
 #: Partial sums that one task of the tree adds up.
@@ -29,11 +30,15 @@ ROWS = 2048
 
 @dataclass(frozen=True)
 class Model:
-    """c is the inverse penalty summed over the training rows: those whose ``column`` is not ``value``; all without one."""
+    """c is the inverse penalty summed over the training rows: those whose ``column`` is not ``value``; all without one.
+    The model tells whether ``label`` is ``positive``, from the first ``leading`` features; from all without a number."""
 
     c: float
     column: str | None = None
     value: int = 0
+    label: str = "label"
+    positive: float = 1.0
+    leading: int | None = None
 
 
 def tree_sum(parts: DataFrame, width: int, fan_in: int = FAN_IN) -> np.ndarray:
@@ -65,14 +70,18 @@ class Rows:
     def __init__(self, df: DataFrame, models: list[Model]):
         self.models = models
         self.columns = sorted({m.column for m in models if m.column is not None})
-        self.data = materialize(df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"),
-                                          *self.columns), "tuning-rows")
+        self.labels = sorted({m.label for m in models})
+        self.data = materialize(df.select(
+            vector_to_array("features").alias("x"), *self.columns,
+            *[F.col(c).cast("double").alias(f"_y{i}") for i, c in enumerate(self.labels)]), "tuning-rows")
         first = self.data.first()
         self.width = len(first["x"]) + 1 if first else 1
 
     def passes(self, fn, width: int) -> np.ndarray:
-        """Sum over all rows of fn(x with a column of ones, y, mask of training rows by model)."""
+        """Sum over all rows of fn(x with a column of ones, y by model, mask of training rows by model)."""
         models, columns = self.models, self.columns
+        of = [self.labels.index(m.label) for m in models]
+        positive = np.array([m.positive for m in models])
 
         def run(batches: Iterator[pd.DataFrame]):
             total = np.zeros(width)
@@ -83,7 +92,8 @@ class Rows:
                     folds = {c: part[c].to_numpy() for c in columns}
                     mask = np.stack([np.ones(len(part)) if m.column is None else (folds[m.column] != m.value).astype(float)
                                      for m in models], axis=1)
-                    total = total + fn(x, part["y"].to_numpy(), mask)
+                    y = np.stack([part[f"_y{i}"].to_numpy() for i in range(max(of) + 1)], axis=1)[:, of] == positive
+                    total = total + fn(x, y.astype(float), mask)
             yield pd.DataFrame({"sums": [total.tobytes()]})
 
         return tree_sum(self.data.mapInPandas(run, "sums binary"), width)
@@ -91,14 +101,14 @@ class Rows:
 
 def _losses(x: np.ndarray, y: np.ndarray, mask: np.ndarray, weights: np.ndarray) -> np.ndarray:
     z = x @ weights.T
-    loss = (mask * (np.logaddexp(0.0, z) - y[:, None] * z)).sum(axis=0)
-    gradient = (mask * (1.0 / (1.0 + np.exp(-z)) - y[:, None])).T @ x
+    loss = (mask * (np.logaddexp(0.0, z) - y * z)).sum(axis=0)
+    gradient = (mask * (1.0 / (1.0 + np.exp(-z)) - y)).T @ x
     return np.concatenate([loss, gradient.ravel()])
 
 
 def _counts(x: np.ndarray, y: np.ndarray, mask: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Per model: true and false positives, true and false negatives of the training rows, then of the others."""
-    guess, true = (x @ weights.T) > 0, (y > 0.5)[:, None]
+    guess, true = (x @ weights.T) > 0, y > 0.5
     cells = [guess & true, guess & ~true, ~guess & ~true, ~guess & true]
     return np.concatenate([(c * side).sum(axis=0) for side in (mask, 1.0 - mask) for c in cells])
 
@@ -121,7 +131,7 @@ def fit_many(df: DataFrame, models: list[Model], rounds: int = 200, tol: float =
     """(weights, counts) of each model: coefficients with the intercept last, which minimise mean log loss +
     |coef|^2 / (2 c n) over the model's n training rows; and the eight counts of ``_counts``.
 
-    df has features, label and the fold columns. A model stops when its gradient is below ``tol``; the pass then goes on
+    df has features, the labels and the fold columns. A model stops when its gradient is below ``tol``; the pass then goes on
     for the others. The result follows from the rows alone, so it does not depend on the other models in the pass.
     """
     rows, m = Rows(df, models), len(models)
@@ -130,11 +140,15 @@ def fit_many(df: DataFrame, models: list[Model], rounds: int = 200, tol: float =
     penalty = 1.0 / (np.array([model.c for model in models]) * sizes)
     ridge = np.ones(width)
     ridge[-1] = 0.0
+    used = np.ones((m, width))
+    for i, model in enumerate(models):
+        if model.leading is not None:
+            used[i, model.leading:-1] = 0.0
 
     def evaluate(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sums = rows.passes(lambda x, y, mask: _losses(x, y, mask, weights), m * (1 + width))
         loss = sums[:m] / sizes + 0.5 * penalty * (ridge * weights ** 2).sum(axis=1)
-        return loss, sums[m:].reshape(m, width) / sizes[:, None] + penalty[:, None] * ridge * weights
+        return loss, used * (sums[m:].reshape(m, width) / sizes[:, None] + penalty[:, None] * ridge * weights)
 
     weights = np.zeros((m, width))
     loss, gradient = evaluate(weights)
@@ -167,3 +181,45 @@ def scores(counts: np.ndarray) -> dict[str, np.ndarray]:
     ratio = lambda a, b: np.divide(a, b, out=np.zeros_like(a, dtype=float), where=b > 0)
     return {"accuracy": ratio(tp + tn, tp + fp + tn + fn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn),
             "f1": ratio(2 * tp, 2 * tp + fp + fn)}
+
+
+@dataclass(frozen=True)
+class Chain:
+    """Models of several labels in order; each sees the features and the labels before it."""
+
+    labels: list[str]
+    classes: list[list[float]]
+    weights: list[np.ndarray]  # of each label: (class, features and earlier labels, intercept)
+
+    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """Adds pred_<label> for every label; predictions feed the models behind them."""
+        classes, weights = [np.array(c) for c in self.classes], self.weights
+
+        @F.pandas_udf("array<double>")
+        def predict(x: pd.Series) -> pd.Series:
+            seen = np.stack(x.to_numpy())
+            told = np.zeros((len(x), 0))
+            for own, w in zip(classes, weights, strict=True):
+                margin = np.hstack([seen, told]) @ w[:, :-1].T + w[:, -1]
+                told = np.hstack([told, own[margin.argmax(axis=1)][:, None]])
+            return pd.Series(list(told))
+
+        out = df.withColumn("_told", predict(vector_to_array(features)))
+        return out.withColumns({f"pred_{c}": F.get("_told", F.lit(i)) for i, c in enumerate(self.labels)}).drop("_told")
+
+
+def fit_chain(df: DataFrame, labels: list[str], c: float = 1.0, rounds: int = 100, tol: float = 1e-5) -> Chain:
+    """One model per label and class, all trained in the same passes: training uses the true earlier labels, so no model
+    waits for another one. The largest margin gives the class, the first of equals."""
+    classes = [sorted(float(v) for v in row) for row in df.agg(*[F.collect_set(F.col(x).cast("double")) for x in labels]).first()]
+    width = len(df.first()["features"])
+    both = df.select(as_vector(F.concat(vector_to_array("features"), F.array(*[F.col(x).cast("double") for x in labels]))).alias("features"),
+                     *labels)
+    models = [Model(c, label=x, positive=v, leading=width + j) for j, x in enumerate(labels) for v in classes[j]]
+    weights, _ = fit_many(both, models, rounds, tol)
+    out, at = [], 0
+    for j, own in enumerate(classes):
+        part = weights[at:at + len(own)]
+        out.append(np.hstack([part[:, :width + j], part[:, -1:]]))
+        at += len(own)
+    return Chain(list(labels), classes, out)

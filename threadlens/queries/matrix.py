@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from threadlens import lexicons as lex
 from threadlens.functions import text as tx
-from threadlens.operators import classifiers as cl
 from threadlens.operators import features as ft
 from threadlens.operators import relational as rel
 from threadlens.operators import splits as sp
+from threadlens.operators.shared_tuning import fit_chain
 from threadlens.operators.traits import fit_traits
 from threadlens.queries import features, models
 from threadlens.queries import fixtures as fx
@@ -62,7 +62,7 @@ def clf_chain_text(spark, sf_dir):
     rows = planted(text_features(spark, sf_dir), TEN)
     binned = ft.equal_width_bins(rows, TEN, 3).select("doc_id", F.col("tfidf").alias("features"), *[F.col(t).cast("double") for t in TEN])
     data = materialize(sp.train_test(binned, ["doc_id"], 25), "text-traits")
-    chain = cl.fit_chain(data.where("is_test = 0").select("doc_id", "features", *TEN), TEN, max_iter=10)
+    chain = fit_chain(data.where("is_test = 0"), TEN)
     scored = chain.transform(data.where("is_test = 1"))
     return scored.select("doc_id", *[F.col(t).cast("int").alias(t) for t in TEN],
                          *[F.col(f"pred_{t}").cast("int").alias(f"pred_{t}") for t in TEN])
