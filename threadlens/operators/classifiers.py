@@ -287,7 +287,7 @@ def shared_scores(df: DataFrame, candidates: list[dict], split_columns: list[tup
     """Test scores (candidate, split) of logistic models; candidates with the same penalty are one model."""
     penalties = sorted({float(c.get("c", 1.0)) for c in candidates})
     models = [Model(c, column, value) for c in penalties for column, value in split_columns]
-    _, counts = fit_many(df, models)
+    _, counts = fit_many(df, models, rounds=100, tol=1e-5)
     at = [penalties.index(float(c.get("c", 1.0))) for c in candidates]
     return {n: s.reshape(len(penalties), len(split_columns))[at] for n, s in count_scores(counts[:, 4:]).items()}
 

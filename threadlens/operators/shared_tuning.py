@@ -53,8 +53,9 @@ def tree_sum(parts: DataFrame, width: int, fan_in: int = FAN_IN) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    parts = materialize(parts, "partial-sums")
-    n = parts.count()
+    n = parts.rdd.getNumPartitions()
+    if n > fan_in:
+        parts = materialize(parts, "partial-sums")
     while n > fan_in:
         n = -(-n // fan_in)
         parts = parts.repartition(n).mapInArrow(add, "sums binary")
