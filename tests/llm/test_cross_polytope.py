@@ -92,3 +92,14 @@ def test_batches_are_joined_across_blocks():
     whole = [b.to_pydict() for b in cp.link_groups(iter(table.to_batches()), 0.93, cp.PROBES)]
     parts = [b.to_pydict() for b in cp.link_groups(iter(table.to_batches(max_chunksize=3)), 0.93, cp.PROBES)]
     assert parts == whole and sum(whole[0]["links"]) > 0
+
+
+def test_more_probes_than_four():
+    x = np.random.default_rng(0).normal(size=(50, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    group = np.zeros(50, np.uint64)
+    few, many = (cp.buckets(x, group, 2, p).reshape(50, 2, p) for p in (3, 9))
+    assert (many[:, :, :2] == few[:, :, :2]).all()
+    assert all(len(set(row)) == 9 for table in many for row in table)
+    with pytest.raises(ValueError):
+        cp.buckets(x[:, :1], group, 1, 10)

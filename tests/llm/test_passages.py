@@ -112,6 +112,22 @@ def test_count_edge_cases(spark):
     assert got[:2] == [0, 0] and got[3] > 50000 and tc.count_tokens(df.limit(0), PIECES).count() == 0
 
 
+def test_long_unknown_runs_take_time_in_proportion():
+    import time
+
+    vocabulary, _, _ = tc.read_vocabulary(PIECES)
+    for fallback in (True, False):
+        counter = tc.UnigramCounter(vocabulary, fallback)
+        took = []
+        for n in (20_000, 80_000):
+            start = time.process_time()
+            assert counter.count("\U00020001" * n) == (4 * n if fallback else 1)
+            took.append(time.process_time() - start)
+        assert took[1] < 12 * took[0] + 0.2
+    mixed = tc.UnigramCounter([("a", -1.0), ("<0xF0>", 0.0)], True)
+    assert mixed.count("a\U00020001\U00020001a") == 3
+
+
 def brute_units(rows, unit, least):
     """Rows in the order of id (null first); rows that share an id in the order in which they were numbered."""
     seen, out = set(), []

@@ -8,6 +8,7 @@ bounded size, and each pair counts in its first common bucket only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def corners(x: np.ndarray, table: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """(best and second corner, their amounts) of the rotated rows; corner 2i + s is entry i with sign s."""
+def corners(x: np.ndarray, table: int, part: int, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(the k best corners, their amounts) of the rotated rows; corner 2i + s is entry i with sign s."""
     n, d = x.shape
     size = 1 << max(1, int(d - 1).bit_length())
     turned = np.zeros((n, size))
@@ -47,22 +48,27 @@ def corners(x: np.ndarray, table: int, part: int) -> tuple[np.ndarray, np.ndarra
     for _ in range(3):
         turned = hadamard(turned * rng.choice((-1.0, 1.0), size)) / np.sqrt(size)
     amount = np.abs(turned)
-    best = np.argpartition(-amount, 1, axis=1)[:, :2]
+    if k > size:
+        raise ValueError(f"{size} entries have no {k} corners: fewer probes")
+    best = np.argpartition(-amount, k - 1, axis=1)[:, :k]
     held = np.take_along_axis(amount, best, 1)
-    swap = held[:, 0] < held[:, 1]
-    best[swap], held[swap] = best[swap][:, ::-1], held[swap][:, ::-1]
+    order = np.argsort(-held, axis=1, kind="stable")
+    best, held = np.take_along_axis(best, order, 1), np.take_along_axis(held, order, 1)
     sign = np.take_along_axis(turned, best, 1) < 0
     return 2 * best + sign, held
 
 
 def buckets(x: np.ndarray, group: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
-    """(n, tables * probes) bucket numbers of unit rows; ``group`` (equal labels) is part of each number."""
+    """(n, tables * probes) bucket numbers of unit rows; ``group`` (equal labels) is part of each number. The probes of a
+    table are the pairs of corners that lose least, out of as many corners a hash as give that many pairs."""
+    k = max(2, math.isqrt(max(0, probes - 1)) + 1)
+    both = [(i, j) for i in range(k) for j in range(k)]
     out = np.empty((len(x), tables, probes), np.uint64)
     for t in range(tables):
-        (a, wa), (b, wb) = corners(x, t, 0), corners(x, t, 1)
+        (a, wa), (b, wb) = corners(x, t, 0, k), corners(x, t, 1, k)
         pairs = np.stack([a[:, i].astype(np.uint64) << np.uint64(28) | b[:, j].astype(np.uint64)
-                          for i in (0, 1) for j in (0, 1)], 1)
-        loss = np.stack([(wa[:, 0] - wa[:, i]) + (wb[:, 0] - wb[:, j]) for i in (0, 1) for j in (0, 1)], 1)
+                          for i, j in both], 1)
+        loss = np.stack([(wa[:, 0] - wa[:, i]) + (wb[:, 0] - wb[:, j]) for i, j in both], 1)
         chosen = np.take_along_axis(pairs, np.argsort(loss, axis=1, kind="stable")[:, :probes], 1)
         key = (chosen | np.uint64(t + 1) << np.uint64(56)) * _A + group[:, None]
         key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)

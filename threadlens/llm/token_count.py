@@ -23,8 +23,11 @@ from threadlens.llm.quality import slices, sums_by_text
 MARK = "▁"
 #: An unknown character scores this much less than the lowest piece.
 UNKNOWN_PENALTY = 10.0
-#: Words whose counts are remembered by a task.
-MEMORY = 1 << 20
+#: Characters of words whose counts are remembered by a task; a word counts for at least WORD_CHARS, and longer ones than
+#: LONGEST_REMEMBERED are counted anew.
+MEMORY_CHARS = 32 << 20
+WORD_CHARS = 32
+LONGEST_REMEMBERED = 1024
 
 
 def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], int | None, bool]:
@@ -51,6 +54,7 @@ class UnigramCounter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
+        self.held = 0  # characters of the words remembered
         held = {p for p, _ in vocabulary}
         #: bytes that have a piece; a character with another byte stays one unknown piece
         self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in held} if byte_fallback else set()
@@ -61,6 +65,9 @@ class UnigramCounter:
         # pieces in words: those that are closed, and the characters of an unknown run at the end
         pieces: list[int] = [0] * (n + 1)
         run: list[int] = [-1] * (n + 1)
+        # bytes of the run that is open at a place, and whether all of them have pieces
+        size_of: list[int] = [0] * (n + 1)
+        known: list[bool] = [True] * (n + 1)
         matches = self.automaton.iter(word)
         ahead = next(matches, None)
         for end in range(1, n + 1):
@@ -78,25 +85,21 @@ class UnigramCounter:
                 if score is None or now > score:
                     open_run = run[end - 1]
                     since = open_run if open_run >= 0 else end - 1
-                    # a run of unknown characters is one thing, so it is counted anew with every character
-                    score, count = now, pieces[since] + self._unknown(word[since:end])
+                    # a run of unknown characters is one thing: its pieces follow from what was carried along
+                    raw = word[end - 1].encode("utf-8", "surrogatepass")
+                    size_of[end] = (size_of[end - 1] if open_run >= 0 else 0) + len(raw)
+                    known[end] = (known[end - 1] or open_run < 0) and self.bytes.issuperset(raw)
+                    score, count = now, pieces[since] + (size_of[end] if self.bytes and known[end] else 1)
             best[end], pieces[end], run[end] = score, count, since
         return pieces[n]
 
-    def _unknown(self, run: str) -> int:
-        """Pieces of a run of unknown characters: its bytes if all of them have pieces, else one."""
-        if self.bytes:
-            raw = run.encode("utf-8", "surrogatepass")
-            if self.bytes.issuperset(raw):
-                return len(raw)
-        return 1
-
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
     """All columns of docs, then n_tokens: pieces of the whole text by the vocabulary file.
 
     A text is cut before every space, which stands as a mark before the word behind it; a mark is put before the first
-    word as well. Words are counted apart, once per batch. Null and empty texts have 0 pieces. An empty table gives an
+    word as well. Words are counted apart, once per batch. Texts are taken whole; time grows with the length, also where no
+    character has a piece. Repeated rows are counted each. Null and empty texts have 0 pieces. An empty table gives an
     empty result. A name that docs has already gets a leading underscore.
     """
     state: dict = {}
@@ -118,14 +121,18 @@ def _counts(texts: pa.Array, counter: UnigramCounter, memory: dict[str, int]) ->
     parts = pc.split_pattern(first, MARK)
     coded = parts.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
-    if len(memory) + len(words) > MEMORY:
-        memory.clear()
     known = memory.get
     table = np.zeros(len(words), np.int64)
     for i, word in enumerate(words):
         n = known(word)
         if n is None:
-            n = memory[word] = counter.count(MARK + word)
+            n = counter.count(MARK + word)
+            if len(word) <= LONGEST_REMEMBERED:
+                counter.held += max(WORD_CHARS, len(word))
+                if counter.held > MEMORY_CHARS:
+                    memory.clear()
+                    counter.held = max(WORD_CHARS, len(word))
+                memory[word] = n
         table[i] = n
     offsets = parts.offsets.to_numpy().astype(np.int64)
     value = table[coded.indices.to_numpy()]
