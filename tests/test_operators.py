@@ -212,3 +212,15 @@ def test_emotions_from_a_table_equal_the_columns(spark):
     inline = df.select("id", *[c.alias(n) for n, c in em.emotion_means(F.col("t")).items()]).collect()
     for r in inline:
         assert by_table[r.id] == pytest.approx(tuple(x or 0.0 for x in tuple(r)[1:]))
+
+
+def test_parts_of_a_group_are_the_group(spark):
+    texts = [(u, i, None if i == 5 else f"{u}{i};") for u, n in (("a", 23), ("b", 1)) for i in range(n)]
+    posts = spark.createDataFrame(texts, "user_id string, n long, text string").repartition(5)
+    parts = rel.concat_parts(posts, "user_id", "n", "text", width=4).orderBy("user_id", "part").collect()
+    whole = {r.user_id: r.corpus for r in rel.concat_posts(posts, "user_id", "n", "text").collect()}
+    assert {u: "".join(p.corpus for p in parts if p.user_id == u) for u in whole} == whole
+    assert [p.n_posts for p in parts if p.user_id == "a"] == [4, 4, 4, 4, 4, 3]
+    nested = rel.nest_parts(posts, "user_id", "n", ["text"], 10).where("user_id = 'a'").orderBy("part").collect()
+    assert [[r.n for r in p.replies] for p in nested] == [list(range(1, 10)), list(range(10, 20)), [20, 21, 22]]
+    assert rel.concat_parts(posts.limit(0), "user_id", "n", "text").count() == 0

@@ -161,6 +161,29 @@ def _in_order(rows: DataFrame, key: str, order: str, value: str, width: int) ->
         .alias("_items"))
 
 
+def ordered_parts(rows: DataFrame, key: str, order: str, columns: list[str], width: int = 4096) -> DataFrame:
+    """(key, part, items, n): the rows of a key in order, in parts of at most ``width`` rows.
+
+    ``order`` is a whole number that is unique inside a key; part p holds the orders from p * width on, so parts one
+    behind the other are the whole group, a row's part follows from the row alone, and no cell or task holds a key of any
+    size. Rows without an order are in no part's range: they form the part null, which is as large as there are of them.
+    """
+    return rows.groupBy(key, F.floor(F.col(order) / F.lit(width)).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct(order, *columns))).alias("items"), F.count("*").alias("n"))
+
+
+def concat_parts(posts: DataFrame, user: str, order: str, text: str, width: int = 4096) -> DataFrame:
+    """(user, part, corpus, n_posts): the posts of a user in order, concatenated part by part; a null text adds nothing."""
+    return ordered_parts(posts, user, order, [text], width).select(
+        user, "part", F.array_join(F.transform("items", lambda p: p[text]), "").alias("corpus"), F.col("n").alias("n_posts"))
+
+
+def nest_parts(posts: DataFrame, thread: str, pos: str, columns: list[str], width: int = 4096) -> DataFrame:
+    """(thread, part, replies, n_replies): the replies of a thread as ordered arrays, part by part; the root is no reply."""
+    return ordered_parts(posts.where(F.col(pos) > 0), thread, pos, columns, width).withColumnsRenamed(
+        {"items": "replies", "n": "n_replies"})
+
+
 def concat_posts(posts: DataFrame, user: str, order: str, text: str, width: int = 4096) -> DataFrame:
     """All posts of a user in order, with nothing between them; one row per user, however many posts."""
     return _in_order(posts, user, order, text, width).select(

@@ -231,6 +231,29 @@ def agg_concat_posts(spark, sf_dir):
                          F.length("corpus").cast("long").alias("n_chars"), "n_posts")
 
 
+PART_POSTS, PART_REPLIES = 256, 2
+
+
+@query("agg_concat_parts", f"""WITH {fx.POSTS_SQL}
+SELECT source AS user_id, doc_id // {PART_POSTS} AS part, md5(string_agg(text, '' ORDER BY doc_id)) AS digest,
+  CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) AS n_posts FROM posts GROUP BY ALL""")
+def agg_concat_parts(spark, sf_dir):
+    """Posts concatenated in ordered parts: no cell holds a user of any size."""
+    posts = fx.posts(spark, sf_dir).withColumnRenamed("source", "user_id")
+    return rel.concat_parts(posts, "user_id", "doc_id", "text", PART_POSTS).select(
+        "user_id", "part", F.md5("corpus").alias("digest"), F.length("corpus").cast("long").alias("n_chars"), "n_posts")
+
+
+@query("join_nest_parts", f"""WITH {fx.THREADS_SQL}
+SELECT thread_id, pos // {PART_REPLIES} AS part, count(*) AS n_replies, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS reply_positions,
+  md5(string_agg(text, '|' ORDER BY pos)) AS digest FROM threads WHERE pos > 0 GROUP BY ALL""")
+def join_nest_parts(spark, sf_dir):
+    """Replies nested in ordered parts: no cell holds a thread of any size."""
+    return rel.nest_parts(fx.thread_posts(spark, sf_dir), "thread_id", "pos", ["text"], PART_REPLIES).select(
+        "thread_id", "part", "n_replies", F.array_join(F.transform("replies", lambda r: r["pos"]), ",").alias("reply_positions"),
+        F.md5(F.array_join(F.transform("replies", lambda r: r["text"]), "|")).alias("digest"))
+
+
 @query("agg_post_count", "SELECT user_id, count(*) AS tweets FROM events GROUP BY user_id")
 def agg_post_count(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("tweets"))
