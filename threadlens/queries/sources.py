@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens import lexicons as lex
+from threadlens import schemas
+from threadlens.functions import emoji as em
 from threadlens.operators import relational as rel
+from threadlens.queries import features  # noqa: F401  (registers the SQL of the emotion means)
 from threadlens.queries import fixtures as fx
-from threadlens.queries.registry import query
+from threadlens.queries.registry import SQL, query
 from threadlens.session import scratch_path
 from threadlens.sources import readers, writers
 
@@ -115,6 +118,18 @@ def scan_lexicon(spark, sf_dir):
     return keys.join(counts, "slang", "left").select("slang", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
 
 
+@query("scan_emoji_lexicon", SQL["agg_emotion_mean"])
+def scan_emoji_lexicon(spark, sf_dir):
+    """Emotion means of every post by an emoji lexicon that is written as a tab-separated file and read back."""
+    path = scratch_path(spark, "emoji")
+    fields = [f.name for f in schemas.EMOJI_LEXICON.fields]
+    rows = [dict(zip(["emoji", "name", *em.EMOTIONS], e, strict=True)) for e in lex.gated_emoji(lex.SEED_EMOJI, True)]
+    spark.createDataFrame([tuple(r[f] for f in fields) for r in rows], schemas.EMOJI_LEXICON).write.option("header", "true").option(
+        "sep", "\t").csv(path)
+    means = em.emotion_means_by(fx.posts(spark, sf_dir), "doc_id", "text", readers.read_emoji_lexicon(spark, path))
+    return means.select("doc_id", *[(F.round(n, 6) + 0.0).alias(n) for n in em.EMOTIONS])
+
+
 @query("scan_nested_projection", """SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS created_at,
   'user' || user_id AS screen_name, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS followers_count FROM events""")
 def scan_nested_projection(spark, sf_dir):
