@@ -64,6 +64,37 @@ def test_items_have_their_whole_share_of_edits():
         assert dc.ItemIndex([(1, item)], 0.1).matches("before " + other + " after") == [(1, 7, 7 + m, k)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_short_items_found_verbatim_between_word_edges(seed):
+    rng = random.Random(seed)
+    words = ["a", "ab", "abc", "b", "b,c", "c.", "9", "\u6771", "\u4eac", "\u6771\u4eac"]
+    items = sorted({dc.normal(" ".join(rng.choices(words, k=rng.randrange(1, 4)))) for _ in range(6)})
+    index = dc.VerbatimIndex(list(enumerate(items)))
+    for _ in range(40):
+        text = dc.normal("".join(rng.choices([*words, " ", " ", " "], k=rng.randrange(0, 30))))
+        expected = set()
+        for i, item in enumerate(items):
+            for at in range(len(text) - len(item) + 1):
+                end = at + len(item)
+                inside = (at and dc.one_word(text[at - 1], text[at])) or (end < len(text) and dc.one_word(text[end - 1], text[end]))
+                if text[at:end] == item and not inside:
+                    expected.add((i, at, end, 0))
+                    break
+        assert set(index.matches(text)) == expected
+    assert dc.VerbatimIndex([]).matches("a b") == []
+
+
+def test_short_items_and_repeated_rows(spark):
+    item = "Who wrote  Emma?"
+    docs = spark.createDataFrame([(1, "Quiz: who wrote emma? Jane Austen."), (1, "Quiz: who wrote emma? Jane Austen."), (2, "who wrote emmas"),
+                                  (3, "somewho wrote emma? no"), (4, None), (5, ""), (6, "x " * 60000 + "WHO WROTE EMMA?")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, " "), (9, None), (None, "quiz")], "item_id long, text string")
+    for chars in (1 << 20, 3):
+        rows = [(r.doc_id, [(m.item, m.start, m.end, m.edits) for m in r.matches]) for r in dc.find_items(docs, items, block_chars=chars).collect()]
+        assert sorted(rows) == [(1, [(7, 6, 21, 0)]), (1, [(7, 6, 21, 0)]), (2, []), (3, []), (4, []), (5, []),
+                                (6, [(7, 120000, 120015, 0)])]
+
+
 def test_find_items_places_and_blocks(spark):
     item = "The quick brown fox jumps over the lazy dog, and then some more of it."
     rows = [(7, f"Before\n {item.upper()}  After", None, 0), (8, "nothing here", "x", 1), *ODD]

@@ -2,13 +2,14 @@
 
 An item of m characters that occurs in a text with at most k edits shares m + 1 - q (k + 1) character q-grams with the
 place where it occurs, on diagonals that differ by at most k. Shared q-grams are counted in overlapping diagonal bands;
-only regions that reach the bound are aligned, within their band.
+only regions that reach the bound are aligned, within their band. Items too short for that bound are searched verbatim.
 """
 
 from __future__ import annotations
 
 import re
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +21,10 @@ from threadlens.llm.common import append_columns, fresh, materialize
 Q = 8
 #: Edits allowed per character of an item.
 EDIT_SHARE = 0.1
-#: Items with fewer characters are common phrases, not passages; they are not searched.
+#: Items with fewer characters share too few q-grams with a place that differs; they are searched verbatim.
 MIN_CHARS = 40
+#: Blocks of scripts written without blanks (first and last code point); each of their characters is a word.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xABFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 #: Characters of items that one pass holds, about.
 BLOCK_CHARS = 4 << 20
 FILTER_BITS = 24
@@ -76,6 +79,33 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tu
     return (min(len(text), len(item) + low + best), int(row[best])) if row[best] <= k else None
 
 
+def one_word(a: str, b: str) -> bool:
+    """Whether no word ends between the neighbours a and b."""
+    return a.isalnum() and b.isalnum() and not any(low <= ord(c) <= high for c in (a, b) for low, high in UNSPACED)
+
+
+class VerbatimIndex:
+    """Short items, found where they stand from word edge to word edge."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.automaton = ahocorasick.Automaton() if items else None
+        for i, text in items:
+            self.automaton.add_word(text, (i, len(text)))
+        if items:
+            self.automaton.make_automaton()
+
+    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item id, start, end, 0) of the first place of each item in the normal text."""
+        first: dict[int, tuple[int, int]] = {}
+        for last, (i, m) in self.automaton.iter(text) if self.automaton is not None else ():
+            start, end = last + 1 - m, last + 1
+            if i in first or start and one_word(text[start - 1], text[start]):
+                continue
+            if end == len(text) or not one_word(text[last], text[end]):
+                first[i] = (start, end)
+        return [(i, s, e, 0) for i, (s, e) in first.items()]
+
+
 class ItemIndex:
     """The q-grams of items, with the items and places where they stand."""
 
@@ -181,9 +211,12 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_
 
     Texts and items are compared in lower case with runs of blanks as one space. An item with at least ``min_chars``
     characters matches where it can be aligned with at most ``share`` of its length in edits (the start of an
-    occurrence with edits is told as its end less the item's length). Shorter and null items are not searched; items
-    with equal text are told as the smallest id. Null and empty texts match nothing. Items are searched in blocks of
-    about ``block_chars`` characters, so any number can be searched; between blocks the documents are written.
+    occurrence with edits is told as its end less the item's length). A shorter item matches where it stands verbatim
+    between word edges, so an item of one word matches every text with that word. Null and blank items match nothing;
+    items with equal text are told as the smallest id. Null and empty texts match nothing. Every row is searched by
+    itself, so repeated rows get equal matches; a text of any length is searched whole, in memory of a few times its
+    length. Items are searched in blocks of about ``block_chars`` characters, so any number can be searched; between
+    blocks the documents are written.
     """
     spark = docs.sparkSession
     known = materialize(
@@ -192,23 +225,25 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_
         .withColumn("n", F.length("text")), "benchmark-items")
     total = known.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    name, current = fresh(docs, "matches"), docs
+    name, current, before = fresh(docs, "matches"), docs, None
     for block in range(blocks):
         own: dict[str, int] = {}
         for r in known.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "text").collect():
             text = normal(r.text)
-            if len(text) >= min_chars:
+            if text:
                 own[text] = min(own.get(text, r.id), r.id)
         shared = spark.sparkContext.broadcast(sorted((i, t) for t, i in own.items()))
         state: dict = {}
 
         def search(texts: pa.Array, before: pa.Array | None = None, shared=shared, state=state) -> list[pa.Array]:
             if not state:
-                state["index"] = ItemIndex(shared.value, share)
-            index, out = state["index"], []
+                state["long"] = ItemIndex([x for x in shared.value if len(x[1]) >= min_chars], share)
+                state["short"] = VerbatimIndex([x for x in shared.value if len(x[1]) < min_chars])
+            out = []
             earlier = before.to_pylist() if before is not None else [[]] * len(texts)
             for text, old in zip(texts.to_pylist(), earlier, strict=True):
-                found = index.matches(normal(text)) if text else []
+                plain = normal(text) if text else ""
+                found = sorted(state["long"].matches(plain) + state["short"].matches(plain))
                 if found:
                     at = original_places(text)
                     found = [{"item": i, "start": int(at[s]), "end": int(at[e - 1]) + 1, "edits": d}
@@ -222,6 +257,8 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_
             current = append_columns(current, [text_col], [(name, MATCHES)], search)
         else:
             written = materialize(current, "benchmark-matches")
+            before.destroy()
             more = append_columns(written, [text_col, name], [(fresh(written, "more"), MATCHES)], search)
             current = more.drop(name).withColumnRenamed(more.columns[-1], name)
+        before = shared
     return current
