@@ -14,8 +14,8 @@ from threadlens.llm.line_dedup import dedup_lines
 from threadlens.llm.packing import pack
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-#: A language is rejected if its share is below this, which is near an even choice between four.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A language is rejected if its share is below this many times that of an even choice between the model's languages.
+LEAST_LANGUAGE_SHARE = 1.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_language_model(docs, crc_fold(F.col("doc_id"), 4) != 2)
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     told = identify(docs, model)
-    return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    least = LEAST_LANGUAGE_SHARE / max(2, len(model.languages) if model else 0)
+    return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,28 +24,68 @@ def model(docs):
     return li.fit_language_model(docs, crc_fold(F.col("doc_id"), 4) != 2, per_language=30, landmarks=6)
 
 
-def grams(text, letters):
-    codes = li.code_table(letters)[li.letters_of(text)].tolist()
-    return {tuple(codes[i:i + n]) for n in li.ORDERS for i in range(len(codes) - n + 1)}
+def grams(text):
+    points = li.letters_of(text).tolist()
+    return {tuple(points[i:i + n]) for n in li.ORDERS for i in range(len(points) - n + 1)}
 
 
 def test_presence_equals_sets():
-    letters = [ord(c) for c in "abcdeé"]
-    for text in ["abc abd!!  é", "a", "zzz abc", "ABCabc 1 2"]:
-        assert len(li.Presence(letters)(text)) == len(grams(text, letters))
-    assert len(li.Presence(letters)("1 !")) == 0
+    for text in ["abc abd!!  é", "a", "zzz abc", "ABCabc 1 2", "東京都は日本の首都", "Привет мир", "\U00020000\U00020001 a"]:
+        assert len(li.Presence()(text)) == len(grams(text))
+    assert len(li.Presence()("1 !")) == 0
+
+
+def test_letters_of_large_alphabets_stay_apart():
+    """Texts that share no letter share no n-gram but the blank, in any script and whatever the corpus holds."""
+    presence = li.Presence()
+    for a, b in [("東京都日", "本首語文"), ("가나다라", "마바사아"), ("абвг", "деёж")]:
+        assert not set(presence(a).tolist()) & set(presence(b).tolist())
+
+
+def ridge_by_rows(cross, among, target):
+    """The regression from explicit Nystrom features."""
+    values, vectors = np.linalg.eigh(among)
+    keep = values > 1e-8 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    x = cross @ root
+    mean, middle = x.mean(0), target.mean(0)
+    inner = (x - mean).T @ (x - mean) + li.RIDGE * len(x) * np.eye(x.shape[1])
+    solved = np.linalg.solve(inner, (x - mean).T @ (target - middle))
+    return root @ solved, middle - mean @ solved
+
+
+def test_ridge_from_sums_equals_ridge_from_rows():
+    rng = np.random.default_rng(5)
+    marks, which = rng.random((12, 6)), rng.integers(0, 3, 40)
+    cross, among = rng.random((40, 12)) @ marks, marks.T @ marks
+    sums = np.stack([cross[which == i].sum(0) for i in range(3)])
+    beta, bias = li.kernel_ridge(cross.T @ cross, sums, np.bincount(which, minlength=3).astype(float), among)
+    beta2, bias2 = ridge_by_rows(cross, among, np.where(which[:, None] == np.arange(3), 1.0, -1.0))
+    assert np.allclose(cross @ beta + bias, cross @ beta2 + bias2, atol=1e-6)
+
+
+def test_many_languages(spark):
+    """A hundred languages with letters of their own: all told, and the fit gathers sums, not texts."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(100):
+        alphabet = [chr(0x4E00 + 40 * i + j) for j in range(40)]
+        rows += [(100 * d + i, "".join(rng.choice(alphabet, 60)), f"l{i:02d}") for d in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = li.fit_language_model(docs, F.col("doc_id") < 600, landmarks=3)
+    told = li.identify(docs.where("doc_id >= 600"), fitted)
+    assert told.where("lang <> lang_pred").count() == 0 and told.count() == 300
 
 
 def test_scores_equal_explicit_kernels():
     """The folded product gives what kernels against every landmark give."""
-    letters = [ord(c) for c in "abcdefghij"]
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abcdefghij "), 80)) for _ in range(30)]
-    sets = [grams(t, letters) for t in texts]
+    sets = [grams(t) for t in texts]
     kernel = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
     target = np.where(rng.random((30, 1)) < 0.5, 1.0, -1.0) * [[1, -1]]
-    beta, bias = li.kernel_ridge(kernel[:, :8], kernel[:8, :8], target)
-    presence = li.Presence(letters)
+    beta, bias = ridge_by_rows(kernel[:, :8], kernel[:8, :8], target)
+    presence = li.Presence()
     numbers = [presence(t) for t in texts]
     vocabulary = np.unique(np.concatenate(numbers[:8]))
     rows = np.full(li.Presence.SIZE, len(vocabulary), np.int32)
@@ -53,7 +93,7 @@ def test_scores_equal_explicit_kernels():
     marks = np.zeros((len(vocabulary) + 1, 8))
     for j in range(8):
         marks[rows[numbers[j]], j] = len(numbers[j]) ** -0.5
-    model = li.LanguageModel(letters, ["p", "q"], rows, (marks @ beta).astype(np.float32), bias)
+    model = li.LanguageModel(["p", "q"], rows, (marks @ beta).astype(np.float32), bias)
     names, scores = model.scorer()(pa.array(texts))
     margins = kernel[:, :8] @ beta + bias
     assert names == [["p", "q"][i] for i in margins.argmax(1)]

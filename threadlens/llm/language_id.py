@@ -8,6 +8,7 @@ product of its presence matrix with a matrix (n-grams of the landmarks) x (langu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,8 @@ from pyspark.sql import types as T
 from threadlens.llm.common import append_columns, fresh, map_rows, materialize, two_level_sample
 
 UNKNOWN = "und"
-#: Letters with a code of their own; all further letters share one code. With blank and rest, 2 ** BITS codes.
-BITS = 7
-OWN_LETTERS = (1 << BITS) - 2
-BLANK, REST = 0, 1
+#: n-grams of code points are hashed to 2 ** BITS numbers, whatever their script.
+BITS = 22
 ORDERS = (1, 2, 3)
 #: The fit uses at most this many labelled texts per language, and of those so many as landmarks.
 TEXTS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 400, 32
@@ -31,6 +30,9 @@ RIDGE = 1e-3
 SHARPNESS = 4.0
 #: Texts of one presence matrix.
 BLOCK = 256
+#: Tasks that sum up the kernel of the labelled sample; each sends a matrix of landmarks x landmarks.
+FIT_TASKS = 8
+_STEP, _MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 HAS_LETTER = r"\p{L}"
 
 
@@ -51,45 +53,35 @@ def _letter_table() -> np.ndarray:
     return _LETTERS[0]
 
 
-def code_table(letters: list[int]) -> np.ndarray:
-    """Code of every code point."""
-    table = np.full(0x110000, REST, np.uint8)
-    table[32] = BLANK
-    table[np.array(letters, np.int64)] = np.arange(2, 2 + len(letters))
-    return table
-
-
 class Presence:
-    """Distinct n-grams of a text, as numbers below SIZE. An n-gram of order n has the codes of its letters behind a
-    leading one, so numbers of different orders differ."""
+    """Distinct n-grams of a text as numbers below SIZE: hashes of their code points, with the order as seed."""
 
-    SIZE = 1 << (BITS * max(ORDERS) + 1)
+    SIZE = 1 << BITS
 
-    def __init__(self, letters: list[int]):
-        self.codes = code_table(letters)
+    def __init__(self):
         self.seen = np.zeros(self.SIZE, np.int32)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int64)
-        codes = self.codes[letters_of(text)].astype(np.int32)
-        if not (codes != BLANK).any():
+        points = letters_of(text)
+        if not (points != 32).any():
             return np.zeros(0, np.int64)
-        grams, parts = np.int32(1) << BITS | codes, []
+        grams, parts = points * _STEP, []
         for n in ORDERS:
-            parts.append(grams)
+            mixed = (grams ^ (grams >> np.uint32(15))) * _MIX + np.uint32(n)
+            parts.append(((mixed ^ (mixed >> np.uint32(13))) * _STEP) >> np.uint32(32 - BITS))
             if n < max(ORDERS):
-                grams = grams[:-1] << BITS | codes[n:]
+                grams = (grams[:-1] ^ (grams[:-1] >> np.uint32(16))) * _MIX + points[n:] * _STEP
         grams = np.concatenate(parts)
         # of equal numbers, the one written last is the one read back
         place = np.arange(len(grams), dtype=np.int32)
         self.seen[grams] = place
-        return grams[self.seen[grams] == place]
+        return grams[self.seen[grams] == place].astype(np.int64)
 
 
 @dataclass
 class LanguageModel:
-    letters: list[int]
     languages: list[str]
     #: number of each n-gram in the rows of ``weights``; n-grams that no landmark has go to the last row, which is zero
     rows: np.ndarray
@@ -97,7 +89,7 @@ class LanguageModel:
     bias: np.ndarray
 
     def scorer(self):
-        presence = Presence(self.letters)
+        presence = Presence()
 
         def score(texts: pa.Array) -> tuple[list[str], list[float]]:
             names, scores = [], []
@@ -144,20 +136,8 @@ def fit_language_model(docs: DataFrame, usable: Column, id_col: str = "doc_id",
     if not languages:
         return None
 
-    def letter_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        count = np.zeros(0x110000, np.int64)
-        for text in batch.column(0).to_pylist():
-            points, n = np.unique(letters_of(text), return_counts=True)
-            count[points] += n
-        found = np.flatnonzero(count)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(count[found])], names=["point", "n"])
-
-    letters = [r.point for r in (
-        map_rows(sample.select("text"), letter_counts, "point long, n long").where("point != 32").groupBy("point")
-        .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(OWN_LETTERS).collect())]
-
     def gram_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        presence = Presence(letters)
+        presence = Presence()
         sets = [presence(t).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())],
                                           names=["id", "lang", "grams"])
@@ -176,40 +156,64 @@ def fit_language_model(docs: DataFrame, usable: Column, id_col: str = "doc_id",
     marks = np.zeros((len(vocabulary) + 1, len(sets)), np.float32)
     for j, grams in enumerate(sets):
         marks[number[grams], j] = len(grams) ** -0.5
-    shared = spark.sparkContext.broadcast((letters, number, marks))
-
-    def kernel_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own_letters, rows_of, columns = shared.value
-        presence = Presence(own_letters)
-        out = []
-        for text in batch.column(1).to_pylist():
-            grams = presence(text)
-            out.append((columns[rows_of[grams]].sum(0) / max(1, len(grams)) ** 0.5).astype(np.float64).tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["lang", "k"])
-
-    kernel = sorted((r.lang, bytes(r.k)) for r in map_rows(
-        sample.select("lang", "text"), kernel_rows, "lang string, k binary").collect())
+    shared = spark.sparkContext.broadcast((number, marks))
+
+    width = len(sets)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the kernel rows of a task: one row per landmark of their products, then sums per language."""
+        rows_of, columns = shared.value
+        presence, at = Presence(), {name: i for i, name in enumerate(languages)}
+        products, sums, n = np.zeros((width, width)), np.zeros((len(languages), width)), np.zeros(len(languages))
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for start in range(0, len(texts), BLOCK):
+                part = [presence(t) for t in texts[start:start + BLOCK]]
+                k = np.stack([columns[rows_of[g]].sum(0) / max(1, len(g)) ** 0.5 for g in part]).astype(np.float64)
+                products += k.T @ k
+                which = np.array([at[x] for x in names[start:start + BLOCK]])
+                np.add.at(sums, which, k)
+                np.add.at(n, which, 1.0)
+        for first, table in ((0, products), (width, sums), (width + len(languages), n[None, :])):
+            for start in range(0, len(table), BLOCK):
+                part = table[start:start + BLOCK]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(first + start, first + start + len(part))), pa.array(list(part), pa.list_(pa.float64()))],
+                    names=["line", "v"])
+
+    parts = sample.select("lang", "text").coalesce(FIT_TASKS).mapInArrow(moments, "line long, v array<double>")
+    lines = parts.groupBy("line").applyInArrow(_add_lines, "line long, v binary").collect()
     shared.unpersist()
-    cross = np.array([np.frombuffer(k) for _, k in kernel])
-    target = np.where(np.array([lang for lang, _ in kernel])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
+    total = {r.line: np.frombuffer(bytes(r.v)) for r in lines}
+    products = np.stack([total[i] for i in range(width)])
+    sums = np.stack([total[width + i] for i in range(len(languages))])
+    n = total[width + len(languages)]
     among = marks.T.astype(np.float64) @ marks.astype(np.float64)
-    beta, bias = kernel_ridge(cross, among, target)
+    beta, bias = kernel_ridge(products, sums, n, among)
     weights = (marks.astype(np.float64) @ beta).astype(np.float32)
-    return LanguageModel(letters, languages, number, weights, bias)
+    return LanguageModel(languages, number, weights, bias)
+
+
+def _add_lines(table: pa.Table) -> pa.Table:
+    """Sum of equally long lines; in the order of their values, so that the result does not depend on arrival."""
+    values = np.stack([np.array(v) for v in table.column("v").to_pylist()])
+    return pa.table({"line": table.column("line").slice(0, 1), "v": pa.array([np.sort(values, axis=0).sum(0).tobytes()], pa.binary())})
 
 
-def kernel_ridge(cross: np.ndarray, among: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights on the landmarks and a bias per column of target: ridge regression on Nyström features.
+def kernel_ridge(products: np.ndarray, sums: np.ndarray, n: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights on the landmarks and a bias per language: ridge regression of 1 (the language) and -1 on Nyström features.
 
-    cross: kernel of texts and landmarks, among: kernel of the landmarks."""
+    Of the kernel rows of texts with landmarks: products is the sum of their outer products, sums their sum by language,
+    n the number of texts by language. among: kernel of the landmarks."""
     values, vectors = np.linalg.eigh(among)
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = cross @ root
-    mean, middle = features.mean(0), target.mean(0)
-    features = features - mean
-    inner = features.T @ features + RIDGE * len(features) * np.eye(features.shape[1])
-    solved = np.linalg.solve(inner, features.T @ (target - middle))
+    count, every = n.sum(), sums.sum(0)
+    mean, middle = every @ root / count, 2 * n / count - 1
+    inner = root.T @ products @ root - count * np.outer(mean, mean) + RIDGE * count * np.eye(root.shape[1])
+    # sum of (feature - mean) (target - middle): the constant part of the target falls out
+    right = root.T @ (2 * sums - 2 * np.outer(n / count, every)).T
+    solved = np.linalg.solve(inner, right)
     return root @ solved, middle - mean @ solved
 
 
