@@ -224,3 +224,13 @@ def test_parts_of_a_group_are_the_group(spark):
     nested = rel.nest_parts(posts, "user_id", "n", ["text"], 10).where("user_id = 'a'").orderBy("part").collect()
     assert [[r.n for r in p.replies] for p in nested] == [list(range(1, 10)), list(range(10, 20)), [20, 21, 22]]
     assert rel.concat_parts(posts.limit(0), "user_id", "n", "text").count() == 0
+
+
+def test_sketched_vocabulary_equals_the_plain_one(spark):
+    """Whatever the number of slots; small sketches let more n-grams pass, exact counts decide."""
+    rows = [(" ".join(f"w{(i * j + j // 3) % 23}" for j in range(1, 30)),) for i in range(80)]
+    docs = spark.createDataFrame([*rows, ("",), (None,)], "text string")
+    plain = ft.vocabulary(docs, "text", 1, 3, None, 0.03, 0.9, 200, sketch_slots=0).collect()
+    assert len(plain) > 50
+    for slots in (1, 64, 1 << 14):
+        assert ft.vocabulary(docs, "text", 1, 3, None, 0.03, 0.9, 200, sketch_slots=slots).collect() == plain

@@ -18,6 +18,9 @@ from threadlens.functions.vectors import sparse_entries
 
 #: Hash slots of the filter that keeps rare words out of n-grams.
 SLOTS = 1 << 16
+#: Hash slots of the n-gram sketch. A text adds a few hundred n-grams and a slot passes at 1 % of the texts, so some ten
+#: thousand slots would be full on average, whatever the number of texts; these are several times as many.
+SKETCH_SLOTS = 1 << 18
 
 
 def readability_columns(text: Column, slang: list[str] = lex.SEED_SLANG) -> dict[str, Column]:
@@ -101,17 +104,34 @@ def frequent_slots(tokens: DataFrame, min_count: Column, slots: int = SLOTS) ->
     return hit.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "hit"))), lambda s: s["hit"])).scalar()
 
 
+def sketched_slots(texts: DataFrame, grams: str, min_count: Column, slots: int) -> Column:
+    """Array of booleans over hash slots, true where the n-grams of a slot are together in at least ``min_count`` texts.
+
+    The sketch adds up: a task sends at most ``slots`` counts, whatever the number of different n-grams. An n-gram in
+    ``min_count`` texts always passes; others pass where they share a slot, so the exact counts have to decide.
+    """
+    full = (
+        texts.select(F.explode(F.array_distinct(F.transform(grams, lambda g: slot_of(g, slots)))).alias("slot"))
+        .groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("slot")
+    )
+    every = texts.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
+    hit = every.join(full.withColumn("_hit", F.lit(True)), "slot", "left").select(
+        "slot", F.coalesce("_hit", F.lit(False)).alias("hit"))
+    return hit.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "hit"))), lambda s: s["hit"])).scalar()
+
+
 def slot_of(token: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
 
 
 def vocabulary(df: DataFrame, text: str, low: int = 1, high: int = 3, stop_words: list[str] | None = None,
-               min_df: float = 0.01, max_df: float = 0.90, k: int = 1000) -> DataFrame:
+               min_df: float = 0.01, max_df: float = 0.90, k: int = 1000, sketch_slots: int = SKETCH_SLOTS) -> DataFrame:
     """The k terms with the largest corpus frequency among those inside the document-frequency range.
 
     An n-gram is in no more texts than each of its words, so words below the lower bound are blanked
-    first and no n-gram with one of them is ever built or shuffled. Occurrences and distinct terms of
-    a text are counted by one aggregate on the term, which reduces a hot term to one row per task.
+    first and no n-gram with one of them is ever built or shuffled. A first pass sketches in how many texts
+    n-grams are, a second one counts those whose slot reaches the bound (``sketch_slots`` = 0 leaves the
+    sketch out; the result is the same). Occurrences and distinct terms of a text are counted by one aggregate on the term, which reduces a hot term to one row per task.
     """
     n_docs = df.agg(F.count("*").alias("n")).scalar()
     tokens = df.select(tx.word_tokens(F.col(text), stop_words).alias("_tokens"))
@@ -119,6 +139,10 @@ def vocabulary(df: DataFrame, text: str, low: int = 1, high: int = 3, stop_words
         passing = tokens.withColumn("_slots", frequent_slots(tokens, n_docs * min_df))
         tokens = passing.select(F.transform("_tokens", lambda t: F.when(F.get("_slots", slot_of(t)), t)).alias("_tokens"))
     texts = tokens.select(tx.ngrams(F.col("_tokens"), low, high).alias("_grams"))
+    if high > 1 and min_df > 0 and sketch_slots:
+        slots = sketched_slots(texts, "_grams", n_docs * min_df, sketch_slots)
+        texts = texts.withColumn("_slots", slots).select(
+            F.filter("_grams", lambda g: F.get("_slots", slot_of(g, sketch_slots))).alias("_grams"))
     counted = texts.select(F.inline(F.concat(
         F.transform("_grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(F.array_distinct("_grams"),
