@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from threadlens import schemas
@@ -105,3 +107,35 @@ def test_plan_shapes(spark, tmp_path):
     roots = spark.createDataFrame([(1, 1)], "conversation_id long, root_id long").withColumn("root_date", F.current_date())
     posts = spark.createDataFrame([(1, 2)], "conversation_id long, reply_id long").withColumn("ts", F.current_timestamp())
     assert "Cartesian" not in rel.match_replies(roots, posts)._jdf.queryExecution().executedPlan().toString()
+
+
+def _batches(spark, folder, check):
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).json(str(folder / "in"))
+    return lambda: ingest.append_batches(stream, str(folder / "out"), str(folder / "state"), check=check)
+
+
+def test_supervisor_restarts_killed_batches_without_loss_or_doubles(spark, tmp_path):
+    spark.range(60).repartition(6).write.json(str(tmp_path / "in"))
+    tried, waits = {}, []
+
+    def check(batch, number):
+        tried[number] = tried.get(number, 0) + 1
+        if tried[number] <= number % 3:
+            raise RuntimeError("killed behind the write")
+
+    restarts = ingest.supervise(_batches(spark, tmp_path, check), first_wait=1.0, longest_wait=3.0, wait=waits.append)
+    assert restarts == len(waits) == sum(n % 3 for n in tried) == 6
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(60))
+    assert waits[0] == 1.0 and max(waits) <= 3.0
+
+
+def test_supervisor_backs_off_and_gives_up(spark, tmp_path):
+    spark.range(3).coalesce(1).write.json(str(tmp_path / "in"))
+    waits = []
+
+    def check(batch, number):
+        raise RuntimeError("always")
+
+    with pytest.raises(StreamingQueryException):
+        ingest.supervise(_batches(spark, tmp_path, check), first_wait=1.0, longest_wait=3.0, attempts=5, wait=waits.append)
+    assert waits == [1.0, 2.0, 3.0, 3.0]

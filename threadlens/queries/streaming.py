@@ -15,28 +15,58 @@ from threadlens.queries.features import EMOTIONS_SQL, READABILITY_SQL, REAL, sql
 from threadlens.queries.registry import query
 from threadlens.queries.text import NEGATION_SQL
 from threadlens.session import scratch_path
+from threadlens.sources.readers import spread
 from threadlens.streaming import ingest
 
 KEYWORDS = ["purchase", "err"]
 
 
-@query("stream_filter_ingest", """SELECT event_id AS id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
-FROM events WHERE value >= 10 AND (contains(event_type, 'purchase') OR contains(event_type, 'err'))""")
-def stream_filter_ingest(spark, sf_dir):
-    """Events as JSON statuses: the type is the text, and low values stand for another language."""
-    source, sink = scratch_path(spark, "statuses"), scratch_path(spark, "ingested")
+INGESTED_SQL = """SELECT event_id AS id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+FROM events WHERE value >= 10 AND (contains(event_type, 'purchase') OR contains(event_type, 'err'))"""
+
+
+def _statuses(spark, sf_dir):
+    """Folder of events as JSON statuses: the type is the text, and low values stand for another language."""
+    source = scratch_path(spark, "statuses")
     lang = F.when(F.col("value") < 10, "fr").otherwise("en")
     status = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("text"), lang.alias("lang"),
                       F.struct(F.col("user_id").alias("id"),
                                F.from_json("props", "k bigint")["k"].alias("followers_count")).alias("user"))
-    fx.table(spark, sf_dir, "events").select(F.to_json(status).alias("value")).write.text(source)
-    stream = ingest.status_stream(spark, source, schemas.RAW_STATUS)
-    ingest.append_parquet(ingest.matching(stream, KEYWORDS), sink, sink + "-checkpoint").awaitTermination()
+    spread(fx.table(spark, sf_dir, "events")).select(F.to_json(status).alias("value")).write.text(source)
+    return source
+
+
+def _stored(spark, sink):
     stored = spark.read.schema("id bigint, raw string").parquet(sink)
     parsed = F.from_json("raw", "text string, user struct<followers_count: bigint>")
     return stored.select("id", parsed["text"].alias("event_type"), parsed["user"]["followers_count"].alias("k"))
 
 
+@query("stream_filter_ingest", INGESTED_SQL)
+def stream_filter_ingest(spark, sf_dir):
+    """Statuses in the language that hold a keyword, appended as they arrive."""
+    sink = scratch_path(spark, "ingested")
+    stream = ingest.status_stream(spark, _statuses(spark, sf_dir), schemas.RAW_STATUS)
+    ingest.append_parquet(ingest.matching(stream, KEYWORDS), sink, sink + "-checkpoint").awaitTermination()
+    return _stored(spark, sink)
+
+
+@query("stream_supervised_ingest", INGESTED_SQL)
+def stream_supervised_ingest(spark, sf_dir):
+    """The same ingest with every other batch failing once behind its write, and restarted by the supervisor."""
+    sink, failed = scratch_path(spark, "ingested"), set()
+    stream = ingest.status_stream(spark, _statuses(spark, sf_dir), schemas.RAW_STATUS, files_per_trigger=2)
+
+    def fail_once(batch, number):
+        if number % 2 == 0 and number not in failed:
+            failed.add(number)
+            raise RuntimeError(f"batch {number} is to be restarted")
+
+    ingest.supervise(lambda: ingest.append_batches(ingest.matching(stream, KEYWORDS), sink, sink + "-checkpoint", check=fail_once),
+                     first_wait=0.05, longest_wait=1.0, attempts=5)
+    return _stored(spark, sink)
+
+
 @query("stream_score_features", f"""WITH {fx.POSTS_SQL}, r AS ({READABILITY_SQL}),
 s AS (SELECT doc_id, {EMOTIONS_SQL}, {NEGATION_SQL} AS negation FROM posts)
 SELECT r.* EXCLUDE (source) REPLACE (round(avg_word_count, 6) AS avg_word_count), negation, {sql_rounded(REAL[:4])},

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,3 +53,43 @@ def score_stream(stream: DataFrame, score, path: str, checkpoint: str, available
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def append_batches(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+                   check: Callable[[DataFrame, int], None] = lambda batch, number: None):
+    """Append every micro-batch to a table as its own partition, so a batch that runs again replaces what it left.
+
+    ``check(batch, number)`` runs behind the write; what it raises fails the batch, which is then not committed.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        check(batch, number)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def supervise(start: Callable, first_wait: float = 1.0, longest_wait: float = 300.0, attempts: int | None = None,
+              wait: Callable[[float], None] = time.sleep) -> int:
+    """Run ``start()``, a streaming query on a checkpoint, until it ends by itself; returns the number of restarts.
+
+    A query that fails is started again, from its checkpoint, after a pause that doubles with each failure up to
+    ``longest_wait`` and begins anew once a batch has been committed. Without ``attempts`` this goes on for ever; else
+    the error of that many failures without a committed batch between them is raised. Exactly one copy of each row
+    needs a sink that replaces a batch that runs again, as those of this module do.
+    """
+    pause, failures, restarts = first_wait, 0, 0
+    while True:
+        query = start()
+        try:
+            query.awaitTermination()
+            return restarts
+        except StreamingQueryException:
+            if query.lastProgress is not None:
+                pause, failures = first_wait, 0
+            failures += 1
+            if attempts is not None and failures >= attempts:
+                raise
+        wait(pause)
+        pause, restarts = min(2 * pause, longest_wait), restarts + 1
