@@ -319,3 +319,40 @@ def test_trials_inside_the_batch_equal_trials_as_rows(planted):
             assert tuple(a) == pytest.approx(tuple(b), abs=1e-9)
     plan = ex.local_linear(few, scorer)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
+
+
+# ---- sketched polynomial kernels --------------------------------------------------------------
+
+
+@pytest.mark.parametrize("degree", [2, 3])
+def test_sketched_kernel_is_unbiased_within_its_bound(spark, degree):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12, 6)) / 3
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    rows = df.select("id", as_vector(F.col("x")).alias("features"))
+    exact = (x @ x.T + 1) ** degree
+    size, runs = 512, []
+    for seed in range(12):
+        out = cl.TensorSketch(degree=degree, dim=6, size=size, seed=seed).transform(rows).orderBy("id").collect()
+        z = np.stack([r.sketched.toArray() for r in out])
+        runs.append(z @ z.T)
+    spread = np.sqrt((3 ** degree - 1) / size * np.outer(np.diag(exact), np.diag(exact)))
+    assert (np.abs(np.array(runs) - exact) < 5 * spread).all()
+    assert (np.abs(np.mean(runs, axis=0) - exact) < 5 * spread / np.sqrt(len(runs))).all()
+
+
+def test_wide_polynomial_kernels_are_sketched(spark, tmp_path):
+    """A thousand features at degree 3 would be 180 million monomials."""
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((300, 1024)) < 0.02, 1.0, 0.0)
+    x[:, :2] = rng.choice([-2.0, 2.0], (300, 2))
+    rows = [(i, [float(v) for v in r], float(r[0] * r[1] > 0)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, label double").select(
+        "id", as_vector(F.col("x")).alias("features"), "label").cache()
+    fitted = cl.fit("svm_poly", df, degree=3, c=1.0, maxIter=20)
+    assert isinstance(fitted.model.stages[0], cl.TensorSketch)
+    assert cl.accuracy_of(fitted, df) > 0.9
+    fitted.save(str(tmp_path / "m"))
+    again = cl.Fitted.load(spark, "svm_poly", str(tmp_path / "m"))
+    assert again.transform(df).select("id", "prediction").exceptAll(fitted.transform(df).select("id", "prediction")).isEmpty()
+    assert not isinstance(cl.make("svm_poly", 10, 64, degree=2).getStages()[0], cl.TensorSketch)

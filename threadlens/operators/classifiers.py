@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import time
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -63,6 +65,10 @@ RANDOM_SPACES = {
 RANDOM_DRAWS = 50
 #: Pivots of the neighbour search, which every task holds.
 MAX_PIVOTS = 2048
+#: Monomials up to which polynomial kernels are expanded; wider ones are sketched.
+MAX_EXPANDED = 16384
+#: Rows that are sketched at once.
+SKETCH_ROWS = 512
 
 
 def expand_grid(grid: dict[str, list]) -> list[dict]:
@@ -110,6 +116,54 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
         return df.withColumn(self.getOutputCol(), as_vector(project(vector_to_array(F.col(self.getInputCol())))))
 
 
+class TensorSketch(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Features whose inner products are unbiased estimates of (x . y + 1) ** degree, in ``size`` columns for any width.
+
+    Each of ``degree`` count sketches adds every input feature, with a random sign, to a random column; their circular
+    convolution, a product after the Fourier transform, is the count sketch of the tensor power. The variance of an
+    inner product is at most (3 ** degree - 1) / size times the kernel's values of x and of y with themselves. The
+    hashes follow from the parameters, so a saved pipeline scores as the fitted one does.
+    """
+
+    degree = Param(Params._dummy(), "degree", "power of the kernel", TypeConverters.toInt)
+    dim = Param(Params._dummy(), "dim", "number of input features", TypeConverters.toInt)
+    size = Param(Params._dummy(), "size", "number of columns", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the hashes", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, degree=2, dim=1, size=2048, seed=42, inputCol="features", outputCol="sketched"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+        self._setDefault(degree=2, dim=1, size=2048, seed=42, inputCol="features", outputCol="sketched")
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        degree, dim, size = (self.getOrDefault(p) for p in (self.degree, self.dim, self.size))
+        rng = np.random.default_rng(self.getOrDefault(self.seed))
+        column = rng.integers(0, size, (degree, dim + 1))
+        sign = rng.choice([-1.0, 1.0], (degree, dim + 1))
+
+        @F.pandas_udf("array<double>")
+        def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            # rows of each sketch ordered by column, so that a column is the sum of one run
+            order = np.argsort(column, axis=1, kind="stable")
+            for x in batches:
+                parts = []
+                for start in range(0, len(x), SKETCH_ROWS):
+                    rows = np.stack(x.iloc[start:start + SKETCH_ROWS].to_numpy())
+                    rows = np.hstack([rows, np.ones((len(rows), 1))])
+                    product = 1.0
+                    for d in range(degree):
+                        own = column[d, order[d]]
+                        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                        counts = np.zeros((len(rows), size))
+                        counts[:, own[first]] = np.add.reduceat((rows * sign[d])[:, order[d]], first, axis=1)
+                        product = product * np.fft.rfft(counts, axis=1)
+                    parts.extend(np.fft.irfft(product, size, axis=1))
+                yield pd.Series(parts)
+
+        return df.withColumn(self.getOutputCol(), as_vector(sketch(vector_to_array(F.col(self.getInputCol())))))
+
+
 class NeighbourModel:
     """Votes of the k nearest training rows; scores like an MLlib model."""
 
@@ -156,7 +210,10 @@ def make(name: str, n_rows: int, n_features: int, **p) -> Pipeline:
         stages = [svc]
         if degree > 1:
             svc = svc.copy({svc.featuresCol: "expanded"})
-            stages = [PolynomialExpansion(degree=degree, inputCol="features", outputCol="expanded"), svc]
+            # monomials of degree 1 to `degree`; beyond the bound the kernel is sketched
+            wide = math.comb(n_features + degree, degree) - 1 > p.get("max_expanded", MAX_EXPANDED)
+            stages = [TensorSketch(degree=degree, dim=n_features, size=p.get("sketch_size", 2048), outputCol="expanded")
+                      if wide else PolynomialExpansion(degree=degree, inputCol="features", outputCol="expanded"), svc]
         elif name == "svm_rbf":
             stages = [RandomFourierFeatures(gamma=p.get("gamma", 1.0), dim=n_features), svc.copy({svc.featuresCol: "rff"})]
     elif name == "random_forest":
