@@ -15,6 +15,7 @@ from threadlens.functions import text as tx
 from threadlens.functions.vectors import as_vector
 from threadlens.operators import classifiers as cl
 from threadlens.operators import features as ft
+from threadlens.operators import shared_trees as st
 from threadlens.operators import splits as sp
 from threadlens.queries import fixtures as fx
 from threadlens.queries.registry import query
@@ -205,6 +206,16 @@ def select_rfe(spark, sf_dir):
     return spark.createDataFrame([(i, f) for i, f in enumerate(kept)], "position int, feature int")
 
 
+@query("select_rfe_curve")
+def select_rfe_curve(spark, sf_dir):
+    """Elimination inside each of 10 x 3 stratified folds down to all sizes, one feature a step, boosted trees on each
+    (25 rounds at rate 0.3; the operator's default is 100 at 0.1)."""
+    tagged = materialize(sp.stratified_folds(vectors(spark, sf_dir), "label", ["id"], 10, 3), "vectors")
+    rows = st.elimination_curve(tagged, [(f"fold_{r}", v) for r in range(3) for v in range(10)], depth=6,
+                                rounds=25, rate=0.3)
+    return spark.createDataFrame(rows, st.CURVE_SCHEMA)
+
+
 @query("learning_curve_table")
 def learning_curve_table(spark, sf_dir):
     rows = cl.learning_curve("logistic", materialize(vectors(spark, sf_dir), "vectors"), ["id"], n_splits=2, maxIter=5)
