@@ -112,3 +112,15 @@ def test_curve_over_sizes(table):
 def test_sizes():
     assert st.elimination_sizes(1024) == [*range(4, 105, 10), *range(204, 905, 100), 1024]
     assert st.elimination_sizes(64) == [4, 14, 24, 34, 44, 54, 64]
+
+
+def test_driver_receives_cuts_and_no_histograms(table, monkeypatch):
+    rows, received, plain = st.BinnedRows(table[0], ["fold"]), [], st.tree_sum
+
+    def told(*args):
+        received.append(plain(*args))
+        return received[-1]
+
+    monkeypatch.setattr(st, "tree_sum", told)
+    st.grow(rows, [st.Side(np.arange(9), "fold", v) for v in range(3)], 2)
+    assert [len(r) for r in received][0] == 3 * 9 * 8 < 3 * 9 * st.BINS  # gain, bin and six sums of each feature

@@ -1,9 +1,9 @@
 """Trees of many folds and feature sets, grown together: one pass over the rows per level for all of them.
 
 Features are cut once into bins of about equal counts. A pass adds up, for every open node of every model, how many
-training rows fall into each bin and the sum of their targets; the sums meet in a tree of partial sums, and the driver,
-which sees bins and never rows, picks the splits. Recursive elimination walks once down all sizes, and histograms of
-nodes whose path has not changed are used again. Boosted trees are fitted on every size and fold side by side.
+training rows fall into each bin and the sum of their targets; the sums meet in a tree of partial sums, whose last task
+keeps the best cut of each feature, and the driver, which sees neither rows nor bins, picks the splits. Recursive
+elimination walks once down all sizes, and the cuts of nodes whose path has not changed are used again. Boosted trees are fitted on every size and fold side by side.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from threadlens.operators.shared_tuning import tree_sum
 from threadlens.session import materialize
 
 BINS = 32
-#: Sums of one pass, 8 bytes each; more open nodes take more passes. The driver receives at most FAN_IN of them.
+#: Sums of one pass, 8 bytes each; more open nodes take more passes. A task adds up FAN_IN of them.
 MAX_SUMS, FAN_IN = 1 << 20, 16
-#: Bins kept between rounds of the elimination; beyond them histograms are counted again.
+#: Numbers kept between rounds of the elimination; beyond them histograms are counted again.
 MAX_KEPT = 1 << 25
 #: Boosting rounds between two writings of the margins.
 WRITE_EVERY = 25
@@ -34,6 +34,8 @@ QUANTILE_FEATURES = 64
 ROWS = 2048
 #: Per bin: rows, sum of targets, sum of curvatures.
 SUMS = 3
+#: Numbers that tell the best cut of a feature: gain, bin, sums on either side.
+CUT = 2 + 2 * SUMS
 LEAST_GAIN = 1e-12
 
 
@@ -131,8 +133,8 @@ class BinnedRows:
             coded(vector_to_array("features")).alias("codes"), F.col(label).cast("double").alias("y"),
             F.lit(None).cast("binary").alias("margins"), *[F.col(c).cast("int").alias(c) for c in columns]), "binned-rows")
 
-    def passes(self, fn: Callable, width: int) -> np.ndarray:
-        """Sum over all batches of fn(codes, y, margins, folds)."""
+    def passes(self, fn: Callable, width: int, finish: Callable | None = None) -> np.ndarray:
+        """Sum over all batches of fn(codes, y, margins, folds); finish of it, made in a task."""
         columns = self.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ class BinnedRows:
                 total += fn(*_arrays(batch, columns))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-        return tree_sum(self._plain().mapInArrow(run, "sums binary"), width, FAN_IN)
+        return tree_sum(self._plain().mapInArrow(run, "sums binary"), width, FAN_IN, finish)
 
     def with_margins(self, fn: Callable) -> BinnedRows:
         """The rows with new margins, fn(codes, y, margins, folds): (row, model); written, so no round is run again."""
@@ -171,16 +173,21 @@ def _masks(sides: list[Side], folds: dict, n: int) -> np.ndarray:
     return np.stack([known[side.column, side.value] for side in sides], axis=1)
 
 
-def _best_split(hist: np.ndarray) -> tuple[float, int, int]:
-    """(gain, position of the feature, bin) of the split that lowers the sum of squares most; the first of equals."""
+def _best_cuts(hist: np.ndarray) -> np.ndarray:
+    """(feature, [gain, bin, sums on the left, sums on the right]): of each feature the cut that lowers the sum of squares
+    most; the first of equals."""
     left = hist.cumsum(axis=1)[:, :-1]
     total = hist[0].sum(axis=0)
     n_left, s_left = left[..., 0], left[..., 1]
     n_right, s_right = total[0] - n_left, total[1] - s_left
     gain = s_left ** 2 / np.maximum(n_left, 1) + s_right ** 2 / np.maximum(n_right, 1) - total[1] ** 2 / max(total[0], 1)
     gain = np.where((n_left > 0) & (n_right > 0), np.round(gain, 9), -1.0)
-    at = int(gain.argmax())
-    return float(gain.flat[at]), at // gain.shape[1], at % gain.shape[1]
+    cut = gain.argmax(axis=1)
+    out = np.empty((len(hist), CUT))
+    out[:, 0], out[:, 1] = gain[np.arange(len(hist)), cut], cut
+    for i, c in enumerate(cut):
+        out[i, 2:2 + SUMS], out[i, 2 + SUMS:] = hist[i, :c + 1].sum(axis=0), hist[i, c + 1:].sum(axis=0)
+    return out
 
 
 def grow(rows: BinnedRows, sides: list[Side], depth: int, targets: Callable | None = None,
@@ -188,42 +195,42 @@ def grow(rows: BinnedRows, sides: list[Side], depth: int, targets: Callable | No
     """One tree per side, least squares of the targets in the leaves.
 
     targets(codes, y, margins) gives (targets, curvatures), each (row, model); without it the label is the target.
-    ``kept`` holds for each side the histograms of earlier trees on the same targets and at least the same features;
-    nodes found there cost no pass.
+    ``kept`` holds for each side the cuts of earlier trees on the same targets and at least the same features; nodes found
+    there cost no pass.
     """
     bins, trees = rows.bins, [Tree(depth) for _ in sides]
     open_nodes = [(m, 0) for m in range(len(sides))]
     for level in range(depth):
-        hists: dict[tuple[int, int], np.ndarray] = {}
+        cuts: dict[tuple[int, int], np.ndarray] = {}
         ask: list[tuple[int, int]] = []
         for m, node in open_nodes:
             known = kept[m].get(trees[m].path(node)) if kept is not None else None
             if known is None:
                 ask.append((m, node))
             else:
-                hists[m, node] = known[1][np.searchsorted(known[0], sides[m].features)]
+                cuts[m, node] = known[1][np.searchsorted(known[0], sides[m].features)]
         while ask:
             part, used = [], 0
             while ask and (not part or used + len(sides[ask[0][0]].features) * bins * SUMS <= MAX_SUMS):
                 used += len(sides[ask[0][0]].features) * bins * SUMS
                 part.append(ask.pop(0))
             found = _count(rows, sides, trees, part, targets)
-            hists.update(found)
+            cuts.update(found)
             if kept is not None:
-                for (m, node), hist in found.items():
-                    if sum(h.size for _, h in kept[m].values()) + hist.size <= MAX_KEPT // len(sides):
-                        kept[m][trees[m].path(node)] = (sides[m].features, hist)
+                for (m, node), own in found.items():
+                    if sum(c.size for _, c in kept[m].values()) + own.size <= MAX_KEPT // len(sides):
+                        kept[m][trees[m].path(node)] = (sides[m].features, own)
         following = []
         for m, node in open_nodes:
-            hist, tree = hists[m, node], trees[m]
+            own, tree = cuts[m, node], trees[m]
             if level == 0:
-                tree.sums[0] = hist[0].sum(axis=0)
-            gain, at, cut = _best_split(hist)
+                tree.sums[0] = own[0, 2:2 + SUMS] + own[0, 2 + SUMS:]
+            at = int(own[:, 0].argmax())  # the first of equals
+            gain, cut = float(own[at, 0]), int(own[at, 1])
             if gain <= LEAST_GAIN:
                 continue
             tree.feature[node], tree.cut[node], tree.gain[node] = sides[m].features[at], cut, gain
-            tree.sums[2 * node + 1] = hist[at, :cut + 1].sum(axis=0)
-            tree.sums[2 * node + 2] = hist[at, cut + 1:].sum(axis=0)
+            tree.sums[2 * node + 1], tree.sums[2 * node + 2] = own[at, 2:2 + SUMS], own[at, 2 + SUMS:]
             following += [(m, child) for child in (2 * node + 1, 2 * node + 2) if tree.sums[child, 0] >= 2]
         open_nodes = following
     return trees
@@ -231,7 +238,7 @@ def grow(rows: BinnedRows, sides: list[Side], depth: int, targets: Callable | No
 
 def _count(rows: BinnedRows, sides: list[Side], trees: list[Tree], part: list[tuple[int, int]],
            targets: Callable | None) -> dict[tuple[int, int], np.ndarray]:
-    """Histograms (feature, bin, sum) of the nodes (model, node)."""
+    """Best cuts (feature, CUT) of the nodes (model, node); the histograms stay in the tasks."""
     bins, nodes = rows.bins, {}
     for m, node in part:
         nodes.setdefault(m, []).append(node)
@@ -256,11 +263,22 @@ def _count(rows: BinnedRows, sides: list[Side], trees: list[Tree], part: list[tu
                     np.bincount(cell, np.repeat(h, width), size[m])]
         return np.concatenate(out)
 
-    flat, at, found = rows.passes(add, SUMS * sum(size.values())), 0, {}
+    shapes = [(SUMS, len(own), len(side.features), bins) for side, own in zip(own_sides, nodes.values(), strict=True)]
+
+    def cuts(flat: np.ndarray) -> np.ndarray:
+        at, out = 0, []
+        for shape in shapes:
+            table = flat[at:at + math.prod(shape)].reshape(shape)
+            at += math.prod(shape)
+            out += [_best_cuts(np.moveaxis(table[:, i], 0, -1)).ravel() for i in range(shape[1])]
+        return np.concatenate(out)
+
+    flat, at, found = rows.passes(add, SUMS * sum(size.values()), cuts), 0, {}
     for m, own in nodes.items():
-        table = flat[at:at + SUMS * size[m]].reshape(SUMS, len(own), len(sides[m].features), bins)
-        at += SUMS * size[m]
-        found.update({(m, node): np.moveaxis(table[:, i], 0, -1) for i, node in enumerate(own)})
+        for node in own:
+            step = len(sides[m].features) * CUT
+            found[m, node] = flat[at:at + step].reshape(-1, CUT)
+            at += step
     return found
 
 

@@ -7,7 +7,7 @@ in the task, then in a tree, and the driver, which holds one weight vector per m
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,8 +41,11 @@ class Model:
     leading: int | None = None
 
 
-def tree_sum(parts: DataFrame, width: int, fan_in: int = FAN_IN) -> np.ndarray:
-    """Sum of the arrays of float64 bytes in the column ``sums``; the driver receives at most ``fan_in`` of them."""
+def tree_sum(parts: DataFrame, width: int, fan_in: int = FAN_IN, finish: Callable | None = None) -> np.ndarray:
+    """Sum of the arrays of float64 bytes in the column ``sums``; the driver receives at most ``fan_in`` of them.
+
+    With ``finish`` the last sum is made in a task as well, and the driver receives finish(sum) alone.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -59,6 +62,14 @@ def tree_sum(parts: DataFrame, width: int, fan_in: int = FAN_IN) -> np.ndarray:
     while n > fan_in:
         n = -(-n // fan_in)
         parts = parts.repartition(n).mapInArrow(add, "sums binary")
+    if finish is not None:
+        def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in add(batches):
+                done = finish(np.frombuffer(batch.column(0)[0].as_py(), np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array([done.tobytes()], pa.binary())], names=["sums"])
+
+        found = (parts if n == 1 else parts.repartition(1)).mapInArrow(last, "sums binary").collect()
+        return np.frombuffer(bytes(found[0].sums), np.float64) if found else finish(np.zeros(width))
     total = np.zeros(width)
     for r in parts.collect():
         total = total + np.frombuffer(bytes(r.sums), np.float64)
