@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,3 +357,13 @@ def test_wide_polynomial_kernels_are_sketched(spark, tmp_path):
     again = cl.Fitted.load(spark, "svm_poly", str(tmp_path / "m"))
     assert again.transform(df).select("id", "prediction").exceptAll(fitted.transform(df).select("id", "prediction")).isEmpty()
     assert not isinstance(cl.make("svm_poly", 10, 64, degree=2).getStages()[0], cl.TensorSketch)
+
+
+def test_sketched_rows_leave_in_blocks():
+    rng = np.random.default_rng(3)
+    rows = pd.Series(list(rng.normal(size=(1300, 5))))
+    column, sign = rng.integers(0, 64, (3, 6)), rng.choice([-1.0, 1.0], (3, 6))
+    blocks = list(cl._sketched(iter([rows]), column, sign, 64))
+    assert [len(b) for b in blocks] == [512, 512, 276]
+    alone = next(cl._sketched(iter([rows.iloc[600:601]]), column, sign, 64)).iloc[0]
+    assert np.allclose(blocks[1].iloc[88], alone)

@@ -110,12 +110,34 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
         scale = np.sqrt(2.0 / size)
 
         @F.pandas_udf("array<double>")
-        def project(x: pd.Series) -> pd.Series:
-            return pd.Series(list(scale * np.cos(np.stack(x.to_numpy()) @ weights + shift)))
+        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for x in batches:
+                for start in range(0, len(x), SKETCH_ROWS):
+                    rows = np.stack(x.iloc[start:start + SKETCH_ROWS].to_numpy())
+                    yield pd.Series(list(scale * np.cos(rows @ weights + shift)))
 
         return df.withColumn(self.getOutputCol(), as_vector(project(vector_to_array(F.col(self.getInputCol())))))
 
 
+def _sketched(batches: Iterator[pd.Series], column: np.ndarray, sign: np.ndarray, size: int) -> Iterator[pd.Series]:
+    """Tensor sketches of the rows of each batch. Rows leave as soon as they are done, so a task holds SKETCH_ROWS of them,
+    however large its batches."""
+    # rows of each sketch ordered by column, so that a column is the sum of one run
+    order = np.argsort(column, axis=1, kind="stable")
+    for x in batches:
+        for start in range(0, len(x), SKETCH_ROWS):
+            rows = np.stack(x.iloc[start:start + SKETCH_ROWS].to_numpy())
+            rows = np.hstack([rows, np.ones((len(rows), 1))])
+            product = 1.0
+            for d in range(len(column)):
+                own = column[d, order[d]]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                counts = np.zeros((len(rows), size))
+                counts[:, own[first]] = np.add.reduceat((rows * sign[d])[:, order[d]], first, axis=1)
+                product = product * np.fft.rfft(counts, axis=1)
+            yield pd.Series(list(np.fft.irfft(product, size, axis=1)))
+
+
 class TensorSketch(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Features whose inner products are unbiased estimates of (x . y + 1) ** degree, in ``size`` columns for any width.
 
@@ -144,22 +166,7 @@ class TensorSketch(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable
 
         @F.pandas_udf("array<double>")
         def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            # rows of each sketch ordered by column, so that a column is the sum of one run
-            order = np.argsort(column, axis=1, kind="stable")
-            for x in batches:
-                parts = []
-                for start in range(0, len(x), SKETCH_ROWS):
-                    rows = np.stack(x.iloc[start:start + SKETCH_ROWS].to_numpy())
-                    rows = np.hstack([rows, np.ones((len(rows), 1))])
-                    product = 1.0
-                    for d in range(degree):
-                        own = column[d, order[d]]
-                        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                        counts = np.zeros((len(rows), size))
-                        counts[:, own[first]] = np.add.reduceat((rows * sign[d])[:, order[d]], first, axis=1)
-                        product = product * np.fft.rfft(counts, axis=1)
-                    parts.extend(np.fft.irfft(product, size, axis=1))
-                yield pd.Series(parts)
+            yield from _sketched(batches, column, sign, size)
 
         return df.withColumn(self.getOutputCol(), as_vector(sketch(vector_to_array(F.col(self.getInputCol())))))
 
