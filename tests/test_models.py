@@ -367,3 +367,8 @@ def test_sketched_rows_leave_in_blocks():
     assert [len(b) for b in blocks] == [512, 512, 276]
     alone = next(cl._sketched(iter([rows.iloc[600:601]]), column, sign, 64)).iloc[0]
     assert np.allclose(blocks[1].iloc[88], alone)
+
+
+def test_neighbour_search_holds_blocks_of_rows():
+    batches = iter([pd.Series(list(np.ones((600, 3)))), pd.Series(list(np.ones((10, 3))))])
+    assert [x.shape for x in cl._in_blocks(batches)] == [(256, 3), (256, 3), (88, 3), (10, 3)]

@@ -65,6 +65,8 @@ RANDOM_SPACES = {
 RANDOM_DRAWS = 50
 #: Pivots of the neighbour search, which every task holds.
 MAX_PIVOTS = 2048
+#: Rows whose distances to all pivots are held at once.
+NEIGHBOUR_ROWS = 256
 #: Monomials up to which polynomial kernels are expanded; wider ones are sketched.
 MAX_EXPANDED = 16384
 #: Rows that are sketched at once.
@@ -557,6 +559,13 @@ def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points], axis=1)
 
 
+def _in_blocks(batches: Iterator[pd.Series]) -> Iterator[np.ndarray]:
+    """The vectors of all batches, NEIGHBOUR_ROWS at a time: what a task holds follows from the pivots, not the batches."""
+    for x in batches:
+        for start in range(0, len(x), NEIGHBOUR_ROWS):
+            yield np.stack(x.iloc[start:start + NEIGHBOUR_ROWS].to_numpy())
+
+
 def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, pivots: int | None = None, block: int = 4096,
                        query_block: int = 16384) -> DataFrame:
     """(query_id, train_id, label, distance, rank): the exact k nearest rows, ties by id.
@@ -576,9 +585,10 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, pivots:
     q_blocks = max(1, -(-queries.count() // query_block))
 
     @F.pandas_udf("cell int, reach double")
-    def assign(x: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(x.to_numpy()), centres)
-        return pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "reach": d.min(axis=1)})
+    def assign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for x in _in_blocks(batches):
+            d = _distances(x, centres)
+            yield pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "reach": d.min(axis=1)})
 
     cells = materialize(train.withColumn("_a", assign("x")).select("train_id", "label", "x", "_a.*"), "cells")
     stats = cells.groupBy("cell").agg(F.max("reach").alias("radius"), F.count("*").alias("n")).orderBy("cell").collect()
@@ -589,18 +599,24 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, pivots:
     parts = {r["cell"]: -(-r["n"] // block) for r in stats}
     near_cell, near_reach = np.array([r["cell"] for r in first]), np.array([r["reach"] for r in first])
 
-    @F.pandas_udf("array<struct<cell: int, part: int>>")
-    def visits(x: pd.Series) -> pd.Series:
-        d = _distances(np.stack(x.to_numpy()), centres)
-        upper = d[:, near_cell] + near_reach
-        bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(d), np.inf)
-        open_cells = d[:, ids] - radius <= (bound + 1e-6 * (1.0 + bound))[:, None]
-        return pd.Series([
-            [{"cell": int(c), "part": p} for c in ids[row] for p in range(parts[int(c)])] for row in open_cells])
+    # one number for each part of each cell
+    owner = np.repeat(np.arange(len(ids)), [parts[int(c)] for c in ids])
+    codes = np.array([int(c) << 32 | p for c in ids for p in range(parts[int(c)])], np.int64)
+
+    @F.pandas_udf("array<long>")
+    def visits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in _in_blocks(batches):
+            d = _distances(x, centres)
+            upper = d[:, near_cell] + near_reach
+            bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(d), np.inf)
+            open_cells = d[:, ids] - radius <= (bound + 1e-6 * (1.0 + bound))[:, None]
+            yield pd.Series([codes[row[owner]] for row in open_cells])
 
     q = queries.select(
         "query_id", F.col("x").alias("qx"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"),
-        F.inline(visits("x")))
+        F.explode(visits("x")).alias("_code")).select(
+        "query_id", "qx", "qb", F.shiftright("_code", 32).cast("int").alias("cell"),
+        F.col("_code").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("part"))
     # at most `pivots` rows, so the broadcast is bounded
     sizes = F.broadcast(train.sparkSession.createDataFrame(list(parts.items()), "cell int, parts long"))
     # aliases give the right side attributes of its own when both inputs share a lineage
