@@ -14,6 +14,8 @@ from threadlens import lexicons as lex
 from threadlens.functions import text as tx
 from threadlens.functions.emoji import emotion_means
 from threadlens.functions.vectors import sparse_entries
+from threadlens.operators import term_counts as tc
+from threadlens.session import materialize
 
 
 #: Hash slots of the filter that keeps rare words out of n-grams.
@@ -82,9 +84,13 @@ def sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame, entries=le
 # ---- TF-IDF ---------------------------------------------------------------------------------
 
 
-def with_grams(df: DataFrame, text: str, low: int, high: int, stop_words: list[str] | None, out: str = "_grams"):
-    """Adds the n-grams of a text column; tokens get a projection of their own so they are cut once."""
+def with_grams(df: DataFrame, text: str, low: int, high: int, stop_words: list[str] | None, out: str = "_grams",
+               words: list[str] | None = None):
+    """Adds the n-grams of a text column; tokens get a projection of their own so they are cut once. With ``words``, only
+    n-grams of these words."""
     tokens = df.withColumn("_tokens", tx.word_tokens(F.col(text), stop_words))
+    if words is not None:
+        tokens = tokens.withColumn("_tokens", F.transform("_tokens", lambda t: F.when(t.isin(words), t)))
     return tokens.withColumn(out, tx.ngrams(F.col("_tokens"), low, high)).drop("_tokens")
 
 
@@ -104,22 +110,6 @@ def frequent_slots(tokens: DataFrame, min_count: Column, slots: int = SLOTS) ->
     return hit.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "hit"))), lambda s: s["hit"])).scalar()
 
 
-def sketched_slots(texts: DataFrame, grams: str, min_count: Column, slots: int) -> Column:
-    """Array of booleans over hash slots, true where the n-grams of a slot are together in at least ``min_count`` texts.
-
-    The sketch adds up: a task sends at most ``slots`` counts, whatever the number of different n-grams. An n-gram in
-    ``min_count`` texts always passes; others pass where they share a slot, so the exact counts have to decide.
-    """
-    full = (
-        texts.select(F.explode(F.array_distinct(F.transform(grams, lambda g: slot_of(g, slots)))).alias("slot"))
-        .groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("slot")
-    )
-    every = texts.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    hit = every.join(full.withColumn("_hit", F.lit(True)), "slot", "left").select(
-        "slot", F.coalesce("_hit", F.lit(False)).alias("hit"))
-    return hit.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "hit"))), lambda s: s["hit"])).scalar()
-
-
 def slot_of(token: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
 
@@ -128,26 +118,29 @@ def vocabulary(df: DataFrame, text: str, low: int = 1, high: int = 3, stop_words
                min_df: float = 0.01, max_df: float = 0.90, k: int = 1000, sketch_slots: int = SKETCH_SLOTS) -> DataFrame:
     """The k terms with the largest corpus frequency among those inside the document-frequency range.
 
-    An n-gram is in no more texts than each of its words, so words below the lower bound are blanked
-    first and no n-gram with one of them is ever built or shuffled. A first pass sketches in how many texts
-    n-grams are, a second one counts those whose slot reaches the bound (``sketch_slots`` = 0 leaves the
-    sketch out; the result is the same). Occurrences and distinct terms of a text are counted by one aggregate on the term, which reduces a hot term to one row per task.
+    An n-gram is in no more texts than each of its words, so only n-grams of words that reach the lower bound are made. A
+    first pass sketches in how many texts n-grams are, a second one counts those whose slot reaches the bound
+    (``sketch_slots`` = 0 leaves the sketch out; the result is the same). Texts are cut into tokens once. The words that
+    reach the bound, at most 1 / min_df times the different words of an average text, come to the driver.
     """
-    n_docs = df.agg(F.count("*").alias("n")).scalar()
     tokens = df.select(tx.word_tokens(F.col(text), stop_words).alias("_tokens"))
     if high > 1 and min_df > 0:
-        passing = tokens.withColumn("_slots", frequent_slots(tokens, n_docs * min_df))
-        tokens = passing.select(F.transform("_tokens", lambda t: F.when(F.get("_slots", slot_of(t)), t)).alias("_tokens"))
-    texts = tokens.select(tx.ngrams(F.col("_tokens"), low, high).alias("_grams"))
-    if high > 1 and min_df > 0 and sketch_slots:
-        slots = sketched_slots(texts, "_grams", n_docs * min_df, sketch_slots)
-        texts = texts.withColumn("_slots", slots).select(
-            F.filter("_grams", lambda g: F.get("_slots", slot_of(g, sketch_slots))).alias("_grams"))
-    counted = texts.select(F.inline(F.concat(
-        F.transform("_grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("_grams"),
-                    lambda g: F.struct(g.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
-    ))).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        tokens = materialize(tokens, "tokens")
+        n_docs = F.lit(tokens.count()).cast("long")
+        words = materialize(tc.word_counts(tokens), "word-counts")
+        frequent = [r["term"] for r in words.where(F.col("df") >= n_docs * min_df).select("term").orderBy("term").collect()]
+        least = tokens.sparkSession.range(1).select(n_docs * min_df).first()[0]
+        counted = words if low <= 1 else words.limit(0)
+        if frequent:
+            counted = counted.unionByName(
+                tc.gram_counts(tokens, frequent, list(range(max(low, 2), high + 1)), least, sketch_slots))
+    else:
+        n_docs = df.agg(F.count("*").alias("n")).scalar()
+        counted = tokens.select(tx.ngrams(F.col("_tokens"), low, high).alias("_grams")).select(F.inline(F.concat(
+            F.transform("_grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+            F.transform(F.array_distinct("_grams"),
+                        lambda g: F.struct(g.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+        ))).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     return (
         counted.withColumn("n_docs", n_docs)
         .where((F.col("df") >= F.col("n_docs") * min_df) & (F.col("df") <= F.col("n_docs") * max_df))
@@ -166,9 +159,10 @@ class TfIdf:
     stop_words: list[str]
 
     def counts(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        """Raw term counts as a sparse vector, counted inside the row."""
+        """Raw term counts as a sparse vector, counted inside the row; words of no term are blanked before n-grams are built."""
         counter = CountVectorizerModel.from_vocabulary(self.terms, "_grams", out)
-        return counter.transform(with_grams(df, text, self.low, self.high, self.stop_words)).drop("_grams")
+        words = sorted({w for t in self.terms for w in t.split(" ")})
+        return counter.transform(with_grams(df, text, self.low, self.high, self.stop_words, words=words)).drop("_grams")
 
     def transform(self, df: DataFrame, text: str, out: str = "tfidf") -> DataFrame:
         """L2-normalised tf-idf as a sparse vector; unknown terms are dropped. No join, no shuffle."""
