@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.vectors import as_vector
 from threadlens.operators import splits as sp
+from threadlens.operators.deep_forest import DeepForest
 from threadlens.operators.shared_tuning import Model, fit_many
 from threadlens.operators.shared_tuning import scores as count_scores
 from threadlens.operators.skew import top_k
@@ -69,6 +70,8 @@ MAX_PIVOTS = 2048
 NEIGHBOUR_ROWS = 256
 #: Monomials up to which polynomial kernels are expanded; wider ones are sketched.
 MAX_EXPANDED = 16384
+#: Nodes, at most as many as rows in each tree, up to which MLlib's random forest is used.
+MAX_FOREST_NODES = 1 << 20
 #: Rows that are sketched at once.
 SKETCH_ROWS = 512
 
@@ -226,10 +229,12 @@ def make(name: str, n_rows: int, n_features: int, **p) -> Pipeline:
         elif name == "svm_rbf":
             stages = [RandomFourierFeatures(gamma=p.get("gamma", 1.0), dim=n_features), svc.copy({svc.featuresCol: "rff"})]
     elif name == "random_forest":
-        stages = [RandomForestClassifier(
-            numTrees=p.get("numTrees", 200), maxDepth=p.get("maxDepth", 10),
-            bootstrap=p.get("bootstrap", True), minInstancesPerNode=p.get("minInstancesPerNode", 2),
-            featureSubsetStrategy=p.get("featureSubsetStrategy", "sqrt"), seed=42, **cols)]
+        own = {"numTrees": p.get("numTrees", 200), "maxDepth": p.get("maxDepth", 10),
+               "bootstrap": p.get("bootstrap", True), "minInstancesPerNode": p.get("minInstancesPerNode", 2),
+               "featureSubsetStrategy": p.get("featureSubsetStrategy", "sqrt"), "seed": 42}
+        # MLlib moves a histogram for every node; beyond the bound small nodes are finished where their rows are
+        many = own["numTrees"] * min(2 ** own["maxDepth"], n_rows) > p.get("max_nodes", MAX_FOREST_NODES)
+        stages = [DeepForest(**own) if many else RandomForestClassifier(**own, **cols)]
     elif name == "gradient_boosting":
         stages = [GBTClassifier(
             maxIter=p.get("maxIter", 800), maxDepth=p.get("maxDepth", 5), stepSize=p.get("stepSize", 0.1),

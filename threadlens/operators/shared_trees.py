@@ -108,19 +108,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, ROWS)
 
 
+def bin_edges(x: DataFrame, width: int, bins: int = BINS) -> list[np.ndarray]:
+    """Upper edges of all bins but the last, per component of the array column ``x``."""
+    shares = [i / bins for i in range(1, bins)]
+    edges: list[np.ndarray] = []
+    for start in range(0, width, QUANTILE_FEATURES):
+        some = range(start, min(width, start + QUANTILE_FEATURES))
+        row = x.agg(*[F.percentile_approx(F.col("x")[i], shares, 10000).alias(f"q{i}") for i in some]).first()
+        edges += [np.unique(np.array(row[f"q{i}"] or [])) for i in some]
+    return edges
+
+
 class BinnedRows:
     """Bin numbers of all features as bytes, label, fold columns and margins, written once."""
 
     def __init__(self, df: DataFrame, columns: list[str], bins: int = BINS, label: str = "label"):
         first = df.first()
         self.width, self.bins, self.columns = len(first["features"]) if first else 0, bins, columns
-        x = df.select(vector_to_array("features").alias("x"))
-        shares = [i / bins for i in range(1, bins)]
-        edges: list[np.ndarray] = []
-        for start in range(0, self.width, QUANTILE_FEATURES):
-            some = range(start, min(self.width, start + QUANTILE_FEATURES))
-            row = x.agg(*[F.percentile_approx(F.col("x")[i], shares, 10000).alias(f"q{i}") for i in some]).first()
-            edges += [np.unique(np.array(row[f"q{i}"] or [])) for i in some]
+        edges = bin_edges(df.select(vector_to_array("features").alias("x")), self.width, bins)
         self.edges = edges
 
         @F.pandas_udf("binary")
