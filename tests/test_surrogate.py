@@ -71,3 +71,34 @@ def test_threads_of_any_size_have_the_same_surrogates(spark):
         assert [w.word for w in a.words] == [w.word for w in b.words]
         assert [w.contribution for w in a.words] == pytest.approx([w.contribution for w in b.words], abs=1e-6)
     assert sg.thread_surrogates(posts.where(F.col("pos") == 0), weights).count() == 0
+
+
+def test_models_fitted_together_equal_those_fitted_alone():
+    rng = np.random.default_rng(8)
+    parts, rows, terms, want = [], 0, 0, []
+    for model, (n, m) in enumerate(((40, 25), (3, 2), (120, 7), (2, 0))):
+        x, y, w = problem(rng, n, m + 1)
+        x[:, m:] = 0.0
+        y[:2] = [0, 1]
+        at = np.nonzero(x[:, :m])
+        parts.append((np.full(n, model), np.full(m, model), at[0] + rows, at[1] + terms, x[at], y, w))
+        want.append(dense_minimum(x[:, :m], y, w))
+        rows, terms = rows + n, terms + m
+    coef, intercept, gradient = sl.fit_together(*[np.concatenate(c) for c in zip(*parts, strict=True)], models=4)
+    assert np.allclose(coef, np.concatenate([c for c, _ in want]), atol=1e-6)
+    assert np.allclose(intercept, [b for _, b in want], atol=1e-6) and (gradient < 1e-8).all()
+
+
+def test_small_threads_share_calls(spark):
+    """Forty threads come in few blocks, and a block of its own changes no thread."""
+    posts = spark.createDataFrame([(t, p, (t + p) % 2) for t in range(40) for p in range(5)], "thread_id long, pos long, label int")
+    weights = spark.createDataFrame([(t, p, f"w{(t * p) % 7}", 0.5 + p) for t in range(40) for p in range(5)],
+                                    "thread_id long, pos long, term string, weight double")
+    rows = posts.join(weights, ["thread_id", "pos"]).toPandas()
+    whole = sg._explain_block(rows).set_index("thread_id")
+    for thread, part in rows.groupby("thread_id"):
+        alone = sg._explain_block(part).iloc[0]
+        assert alone.margin == pytest.approx(whole.loc[thread].margin, abs=1e-7)
+        assert [w["word"] for w in alone.words] == [w["word"] for w in whole.loc[thread].words]
+    got = {r.thread_id: r.margin for r in sg.thread_surrogates(posts, weights).collect()}
+    assert got == pytest.approx(whole.margin.to_dict(), abs=1e-7) and len(got) == 40

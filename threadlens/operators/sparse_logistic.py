@@ -2,7 +2,7 @@
 
 Every key has a model of its own: minimise sum(weight * log loss) + |coef|^2 / 2 over the key's rows, with a free
 intercept. Both solvers take Newton steps found by preconditioned conjugate gradients and never build a dense matrix.
-``fit_local`` holds one model's entries in arrays; ``fit_distributed`` keeps entries, rows and coefficients as tables, so
+``fit_local`` holds one model's entries in arrays, ``fit_together`` those of many small ones; ``fit_distributed`` keeps entries, rows and coefficients as tables, so
 a model may be as large as the table itself: products with the matrix are joins on (key, term) and (key, row) followed
 by sums, which are combined before they are shuffled.
 """
@@ -26,44 +26,65 @@ SLOPE_SHARE = 1e-4
 def fit_local(row: np.ndarray, term: np.ndarray, value: np.ndarray, n_terms: int, y: np.ndarray, weight: np.ndarray,
               rounds: int = 50, products: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, float, float]:
     """(coefficients, intercept, gradient norm) from the entries value at (row, term)."""
-    n = len(y)
-    row, term = np.concatenate([row, np.arange(n)]), np.concatenate([term, np.full(n, n_terms)])
+    coef, intercept, gradient = fit_together(
+        np.zeros(len(y), np.int64), np.zeros(n_terms, np.int64), row, term, value, y, weight, 1, rounds, products, tol)
+    return coef, float(intercept[0]), float(gradient[0])
+
+
+def fit_together(model_of_row: np.ndarray, model_of_term: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray,
+                 y: np.ndarray, weight: np.ndarray, models: int, rounds: int = 50, products: int = 200,
+                 tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, intercepts, gradient norms) of many models that share no row and no term.
+
+    Each model has its own rates and its own end; one operation on the arrays serves them all, so a small model costs its
+    entries and no calls.
+    """
+    n, n_terms = len(y), len(model_of_term)
+    row, term = np.concatenate([row, np.arange(n)]), np.concatenate([term, n_terms + model_of_row])
     value = np.concatenate([value, np.ones(n)])
-    penalty = np.ones(n_terms + 1)
-    penalty[-1] = 0.0
+    own = np.concatenate([model_of_term, np.arange(models)])
+    width = n_terms + models
+    penalty = np.concatenate([np.ones(n_terms), np.zeros(models)])
     forward = lambda v: np.bincount(row, value * v[term], n)
-    backward = lambda u: np.bincount(term, value * u[row], n_terms + 1)
-    loss = lambda z, b: float(np.sum(weight * (np.logaddexp(0.0, z) - y * z)) + 0.5 * np.sum(penalty * b * b))
-    beta = np.zeros(n_terms + 1)
-    gradient = beta
+    backward = lambda u: np.bincount(term, value * u[row], width)
+    per_model = lambda v: np.bincount(own, v, models)
+    loss = lambda z, b: (np.bincount(model_of_row, weight * (np.logaddexp(0.0, z) - y * z), models)
+                         + 0.5 * per_model(penalty * b * b))
+    beta, size = np.zeros(width), np.zeros(models)
     for _ in range(rounds):
         z = forward(beta)
         p = 1.0 / (1.0 + np.exp(-z))
         gradient = backward(weight * (p - y)) + penalty * beta
-        size = np.linalg.norm(gradient)
-        if size < tol:
+        size = np.sqrt(per_model(gradient * gradient))
+        open_ = size >= tol
+        if not open_.any():
             break
         curve = weight * p * (1 - p)
-        diagonal = np.bincount(term, value * value * curve[row], n_terms + 1) + penalty
-        step, rest = np.zeros_like(beta), -gradient
-        near = rest / diagonal
-        way, product = near, float(rest @ near)
+        diagonal = np.bincount(term, value * value * curve[row], width) + penalty
+        goal = np.minimum(0.1, size) * size * 0.1
+        going, step, rest = open_.copy(), np.zeros(width), np.where(open_[own], -gradient, 0.0)
+        way = near = rest / diagonal
+        product = per_model(rest * near)
         for _ in range(products):
             bent = backward(curve * forward(way)) + penalty * way
-            rate = product / float(way @ bent)
+            rate = np.divide(product, per_model(way * bent), out=np.zeros(models), where=going)[own]
             step, rest = step + rate * way, rest - rate * bent
-            if np.linalg.norm(rest) <= min(0.1, size) * size * 0.1:
+            going = going & (np.sqrt(per_model(rest * rest)) > goal)
+            if not going.any():
                 break
             near = rest / diagonal
-            product, before = float(rest @ near), product
-            way = near + product / before * way
-        along, start, slope, rate = forward(step), loss(z, beta), float(gradient @ step), 1.0
+            product, before = per_model(rest * near), product
+            turn = np.divide(product, before, out=np.zeros(models), where=going)
+            way = np.where(going[own], near + turn[own] * way, 0.0)
+        along, start, slope = forward(step), loss(z, beta), per_model(gradient * step)
+        rate, waiting = np.ones(models), open_.copy()
         for _ in range(HALVINGS):
-            if loss(z + rate * along, beta + rate * step) <= start + SLOPE_SHARE * rate * slope:
+            waiting = waiting & ~(loss(z + rate[model_of_row] * along, beta + rate[own] * step) <= start + SLOPE_SHARE * rate * slope)
+            if not waiting.any():
                 break
-            rate /= 2
-        beta = beta + rate * step
-    return beta[:-1], float(beta[-1]), float(np.linalg.norm(gradient))
+            rate = np.where(waiting, rate / 2, rate)
+        beta = beta + rate[own] * step
+    return beta[:n_terms], beta[n_terms:], size
 
 
 def _forward(entries: DataFrame, vectors: DataFrame, column: str, out: str) -> DataFrame:

@@ -10,34 +10,48 @@ from pyspark.sql import types as T
 
 from threadlens.operators import relational as rel
 from threadlens.operators import threads as th
-from threadlens.operators.sparse_logistic import INTERCEPT, fit_distributed, fit_local
+from threadlens.operators.sparse_logistic import INTERCEPT, fit_distributed, fit_together
 from threadlens.session import materialize
 
 
-#: Threads with more term weights than this are fitted as tables, the others each in one task.
-LOCAL_ENTRIES = 500_000
+#: Threads with more term weights than this are fitted as tables, the others in blocks of about BLOCK_ENTRIES weights.
+LOCAL_ENTRIES, BLOCK_ENTRIES = 500_000, 100_000
 
 
-def _explain_thread(rows: pd.DataFrame) -> dict:
-    """One thread's long rows (pos, label, term, weight) to its surrogate and the root's contributions."""
+def _explain_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Long rows (thread_id, pos, label, term, weight) of whole threads to their surrogates and the roots' contributions."""
+    thread, threads = pd.factorize(rows["thread_id"])
+    rows = rows.assign(thread=thread)
+    n = len(threads)
+    replies = rows[rows["pos"] > 0].drop_duplicates(["thread", "pos"]).sort_values(["thread", "pos"])
+    own, y = replies["thread"].to_numpy(), replies["label"].to_numpy(dtype=float)
+    if not np.isin(y, (0.0, 1.0)).all():
+        raise ValueError("labels must be 0 or 1")
+    size, ones = np.bincount(own, minlength=n), np.bincount(own, y, n)
+    weight = size[own] / (2.0 * np.maximum(1, np.where(y == 1, ones[own], size[own] - ones[own])))
     found = rows.dropna(subset=["term"])
-    inside = found[found["pos"] > 0]
-    terms, column = np.unique(inside["term"].to_numpy(dtype=str), return_inverse=True)
-    replies = rows[rows["pos"] > 0].drop_duplicates("pos").sort_values("pos")
-    y = replies["label"].to_numpy(dtype=float)
-    share = {c: len(y) / (2.0 * max(1, int((y == c).sum()))) for c in (0.0, 1.0)}
-    line = np.searchsorted(replies["pos"].to_numpy(), inside["pos"].to_numpy())
-    coef, intercept, gradient = fit_local(
-        line, column, inside["weight"].to_numpy(dtype=float), len(terms), y, np.array([share[c] for c in y]))
-    place = {t: i for i, t in enumerate(terms.tolist())}
-    root = found[found["pos"] == 0]
-    words = [{"word": t, "contribution": float(coef[place[t]] * w)} for t, w in zip(root["term"], root["weight"])
-             if t in place and coef[place[t]] * w != 0]
-    margin = float(sum(w["contribution"] for w in words) + intercept)
-    return {
-        "surrogate_label": int(margin > 0), "surrogate_proba": float(1.0 / (1.0 + np.exp(-margin))), "margin": margin,
-        "intercept": intercept, "gradient": gradient, "words": sorted(words, key=lambda w: w["word"]),
-    }
+    word, words = pd.factorize(found["term"])
+    # (thread, term) as one number, and so (thread, pos)
+    found = found.assign(pair=found["thread"].to_numpy() * max(1, len(words)) + word)
+    inside, root = found[found["pos"] > 0], found[found["pos"] == 0]
+    pairs, column = np.unique(inside["pair"].to_numpy(), return_inverse=True)
+    places = np.unique(replies["pos"].to_numpy())
+    number = lambda part: part["thread"].to_numpy() * max(1, len(places)) + np.searchsorted(places, part["pos"].to_numpy())
+    line = np.searchsorted(number(replies), number(inside))
+    coef, intercept, gradient = fit_together(
+        own, pairs // max(1, len(words)), line, column, inside["weight"].to_numpy(dtype=float), y, weight, n)
+    at = np.minimum(np.searchsorted(pairs, root["pair"].to_numpy()), max(0, len(pairs) - 1))
+    known = pairs[at] == root["pair"].to_numpy() if len(pairs) else np.zeros(len(root), bool)
+    root = root[known]
+    contribution = coef[at[known]] * root["weight"].to_numpy(dtype=float)
+    margin = np.bincount(root["thread"].to_numpy(), contribution, n) + intercept
+    listed: list[list[dict]] = [[] for _ in range(n)]
+    shown = root.assign(contribution=contribution)[contribution != 0].sort_values("term", kind="stable")
+    for t, w, c in zip(shown["thread"], shown["term"], shown["contribution"], strict=True):
+        listed[t].append({"word": w, "contribution": c})
+    return pd.DataFrame({
+        "thread_id": threads, "surrogate_label": (margin > 0).astype(np.int32), "surrogate_proba": 1.0 / (1.0 + np.exp(-margin)),
+        "margin": margin, "intercept": intercept, "gradient": gradient, "words": listed})
 
 
 def _explain_large(rows: DataFrame) -> DataFrame:
@@ -80,11 +94,13 @@ def distinct_posts(posts: DataFrame, columns: list[str]) -> DataFrame:
     return posts.join(first.select("thread_id", "pos"), ["thread_id", "pos"], "left_semi")
 
 
-def thread_surrogates(posts: DataFrame, weights: DataFrame, local_entries: int = LOCAL_ENTRIES) -> DataFrame:
+def thread_surrogates(posts: DataFrame, weights: DataFrame, local_entries: int = LOCAL_ENTRIES,
+                      block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """One row per mixed thread: surrogate label, probability, margin, intercept and the root's word contributions.
 
     posts(thread_id, pos, label), weights(thread_id, pos, term, weight). Threads may have any size: those of at most
-    ``local_entries`` term weights are fitted each in one task, the larger ones together by sums over their tables.
+    ``local_entries`` term weights are fitted in blocks of whole threads, of about ``block_entries`` weights, each in one
+    call on arrays; the larger ones together by sums over their tables.
     Both reach the same minimum. Single-label threads are removed before the fit.
     """
     kept = posts.select("thread_id", "pos", "label").join(mixed_threads(posts), "thread_id", "left_semi")
@@ -99,10 +115,12 @@ def thread_surrogates(posts: DataFrame, weights: DataFrame, local_entries: int =
             T.StructField("word", T.StringType()), T.StructField("contribution", T.DoubleType())]))),
     ])
 
-    def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"thread_id": keys[0], **_explain_thread(frame)}])[schema.names]
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return _explain_block(frame.drop(columns="_block"))[schema.names]
 
-    small = rows.join(large, "thread_id", "left_anti").groupBy("thread_id").applyInPandas(run, schema)
+    blocks = max(8 * posts.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // block_entries))
+    small = rows.join(large, "thread_id", "left_anti").withColumn("_block", F.pmod(F.xxhash64("thread_id"), F.lit(blocks)))
+    small = small.groupBy("_block").applyInPandas(run, schema)
     if large.isEmpty():
         return small
     return small.unionByName(_explain_large(materialize(rows.join(large, "thread_id", "left_semi"), "surrogate-rows")))
