@@ -103,6 +103,17 @@ def test_word_scores_negation_reaches_three_words(spark):
     assert got[2][1:] == (0.0, 0.0, 0)
 
 
+def test_word_scores_look_up_in_the_task_as_by_a_join(spark):
+    df = spark.createDataFrame([(0, "no good bad, odd"), (1, "not a plain good good"), (1, "bad not"), (2, None), (None, "good odd")],
+                               "id long, t string")
+    lexicon = spark.createDataFrame([("good", 2.0, 0.5), ("bad", -1.5, None), ("bad", 1.0, 0.25), ("odd", None, 0.1), (None, 9.0, 9.0)],
+                                    "word string, valence double, polarity double")
+    own, joined = (rows(ft.word_scores(df, "id", "t", lexicon, max_words=n).where("id is not null"), "id") for n in (10, 0))
+    assert own[0][1:] == pytest.approx(joined[0][1:]) and own[1][1:] == pytest.approx(joined[1][1:]) and own[2] == joined[2]
+    plan = ft.word_scores(df, "id", "t", lexicon)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
 def test_full_outer_rejects_duplicates(spark):
     a = spark.createDataFrame([("u", 1), ("v", 2)], "user_id string, a int")
     b = spark.createDataFrame([("v", 3), ("w", 4)], "user_id string, b int")

@@ -93,9 +93,12 @@ def emoji_count(text: Column) -> Column:
 
 def whole_token_pattern(words: list[str]) -> str:
     """Matches a white-space token that equals one of the words; a word with white space inside never does."""
-    single = [re.escape(w) for w in words if w and not re.search(r"\s", w)]
+    single_words = [w for w in words if w and not re.search(r"\s", w)]
+    single = [re.escape(w) for w in single_words]
     start, end = f"(?<![!-~])(?<![^{SPACE}])", f"(?![!-~])(?![^{SPACE}])"
-    return f"{start}(?:{'|'.join(single)}){end}" if single else "(?!)"
+    # a look at the first character turns most positions away before the wide classes are tried
+    first = "".join(sorted({re.escape(w[0]) for w in single_words}))
+    return f"(?=[{first}]){start}(?:{'|'.join(single)}){end}" if single else "(?!)"
 
 
 def slang_count(text: Column, slang: list[str] = lex.SEED_SLANG) -> Column:

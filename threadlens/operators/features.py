@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlens import lexicons as lex
 from threadlens.functions import text as tx
 from threadlens.functions.emoji import emotion_means
 from threadlens.functions.vectors import sparse_entries
 from threadlens.operators import term_counts as tc
-from threadlens.session import materialize
+from threadlens.session import materialize, ship_package
 
 
+#: Words of a score table that every task holds, and texts that are scored at once.
+LEXICON_WORDS, SCORED_ROWS = 100_000, 256
 #: Hash slots of the filter that keeps rare words out of n-grams.
 SLOTS = 1 << 16
 #: Hash slots of the n-gram sketch. A text adds a few hundred n-grams and a slot passes at 1 % of the texts, so some ten
@@ -42,13 +49,29 @@ def readability(df: DataFrame, key: list[str], text: str, slang: list[str] = lex
 
 
 def word_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame, damping: float = -0.74,
-                alpha: float = 15.0, reach: int = 3) -> DataFrame:
+                alpha: float = 15.0, reach: int = 3, max_words: int = LEXICON_WORDS) -> DataFrame:
     """Valence compound and mean polarity per key from a table (word, valence, polarity).
 
     A valence is multiplied by ``damping`` when one of the ``reach`` tokens before it negates. Each
     text's tokens are summed in the task that read it; the shuffle carries about one row per text.
+    A lexicon of at most ``max_words`` words goes to all tasks, a longer one is joined with the tokens.
     """
     tokens = df.select(key, tx.word_tokens(F.col(text)).alias("_tokens"))
+    words = lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(
+        *[f(F.col(c).cast("double")).cast("double") for c in ("valence", "polarity") for f in (F.sum, F.count)])
+    known = words.limit(max_words + 1).collect()
+    found = (_joined_sums(tokens, key, lexicon, damping, reach) if len(known) > max_words
+             else _token_sums(tokens, key, known, damping, reach))
+    sums = found.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("_s", "_p", "_np", "scored_words")])
+    s = F.col("_s")
+    return sums.select(
+        key, F.greatest(F.least(s / F.sqrt(s * s + alpha), F.lit(1.0)), F.lit(-1.0)).alias("vader_compound_score"),
+        F.when(F.col("_np") > 0, F.col("_p") / F.col("_np")).otherwise(F.lit(0.0)).alias("textblob_polarity_score"),
+        "scored_words",
+    )
+
+
+def _joined_sums(tokens: DataFrame, key: str, lexicon: DataFrame, damping: float, reach: int) -> DataFrame:
     flags = tokens.withColumn("_neg", F.transform("_tokens", lambda t: t.isin(lex.NEGATIONS)))
 
     def entry(t: Column, i: Column) -> Column:
@@ -59,16 +82,48 @@ def word_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame, damping:
         flags.select(key, F.inline_outer(F.transform("_tokens", entry)))
         .join(lexicon, "word", "left")
     )
-    sums = found.groupBy(key).agg(
+    return found.groupBy(key).agg(
         F.coalesce(F.sum(F.col("valence") * F.when(F.col("negated"), damping).otherwise(1.0)), F.lit(0.0)).alias("_s"),
-        F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("textblob_polarity_score"),
+        F.coalesce(F.sum("polarity"), F.lit(0.0)).alias("_p"), F.count("polarity").alias("_np"),
         F.count("valence").alias("scored_words"),
     )
-    s = F.col("_s")
-    return sums.select(
-        key, F.greatest(F.least(s / F.sqrt(s * s + alpha), F.lit(1.0)), F.lit(-1.0)).alias("vader_compound_score"),
-        "textblob_polarity_score", "scored_words",
-    )
+
+
+def _token_sums(tokens: DataFrame, key: str, known: list, damping: float, reach: int) -> DataFrame:
+    """The sums of each row's tokens; tokens are numbered by Arrow's dictionary encoding and looked up once per block."""
+    names = [r[0] for r in known]
+    numbers = np.array([[x or 0.0 for x in r[1:]] for r in known], float).reshape(-1, 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(start, SCORED_ROWS)
+                n = part.num_rows
+                lists = part.column(1)
+                text = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                flat = lists.flatten().dictionary_encode()
+                code = flat.indices.to_numpy(zero_copy_only=False)
+                look = lambda values: pc.fill_null(pc.index_in(flat.dictionary, pa.array(values, flat.dictionary.type)), -1).to_numpy(  # noqa: E731, B023
+                    zero_copy_only=False)
+                negates = (look(lex.NEGATIONS) >= 0)[code]
+                place = look(names)[code]
+                at = np.flatnonzero(place >= 0)
+                negated = np.zeros(len(at), bool)
+                for d in range(1, reach + 1):
+                    before = np.maximum(at - d, 0)
+                    negated |= (at >= d) & negates[before] & (text[before] == text[at])
+                own, found = text[at], numbers[place[at]]
+                valence = found[:, 0] * np.where(negated, damping, 1.0)
+                columns = [np.bincount(own, w, n) for w in (valence, found[:, 2], found[:, 3], found[:, 1])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *[pa.array(c.astype(t)) for c, t in zip(columns, (float, float, np.int64, np.int64), strict=True)]],
+                    names=[key, "_s", "_p", "_np", "scored_words"])
+
+    schema = T.StructType([tokens.schema[key], *[
+        T.StructField(c, t) for c, t in (("_s", T.DoubleType()), ("_p", T.DoubleType()), ("_np", T.LongType()),
+                                         ("scored_words", T.LongType()))]])
+    ship_package(tokens.sparkSession)
+    return tokens.mapInArrow(run, schema)
 
 
 def emotion_columns(text: Column, entries=lex.SEED_EMOJI) -> dict[str, Column]:
