@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from threadlens.functions.vectors import as_vector
@@ -42,3 +43,11 @@ def test_forest_is_as_good_as_mllibs(data):
     train, test = data.where("id >= 200"), data.where("id < 200")
     own, mllib = (cl.accuracy_of(cl.fit("random_forest", train, numTrees=30, maxDepth=12, max_nodes=n), test) for n in (0, 1 << 40))
     assert own > 0.8 and own > mllib - 0.04
+
+
+def test_missing_labels_and_values_are_refused(data):
+    forest = DeepForest(numTrees=2, maxDepth=3)
+    with pytest.raises(ValueError, match="labels"):
+        forest.fit(data.withColumn("label", F.when(F.col("id") > 3, F.col("label"))))
+    with pytest.raises(Exception, match="finite"):
+        forest.fit(data.withColumn("features", as_vector(F.transform(vector_to_array("features"), lambda v: F.when(F.col("id") > 3, v).otherwise(float("nan"))))))

@@ -209,9 +209,12 @@ class DeepForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultParamsW
         width = len(dataset.first()["features"])
         size = {"auto": math.ceil(math.sqrt(width)), "sqrt": math.ceil(math.sqrt(width)), "all": width}[subset]
         rows = materialize(dataset.select(F.monotonically_increasing_id().alias("id"), vector_to_array("features").alias("x"),
-                                          F.col("label").cast("int").alias("y")), "forest-input")
+                                          F.col("label").cast("int").alias("y"), F.col("label").alias("label")), "forest-input")
         edges = bin_edges(rows.select("x"), width, BINS)
-        n, top = rows.agg(F.count("*"), F.max("y")).first()
+        fits = F.coalesce((F.col("y") >= 0) & (F.col("y") == F.col("label")), F.lit(False))
+        n, top, wrong = rows.agg(F.count("*"), F.max("y"), F.count_if(~fits)).first()
+        if wrong or top > 255:
+            raise ValueError("labels must be whole numbers from 0 to 255")
         classes = max(2, top + 1)
 
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
