@@ -124,3 +124,41 @@ def test_driver_receives_cuts_and_no_histograms(table, monkeypatch):
     monkeypatch.setattr(st, "tree_sum", told)
     st.grow(rows, [st.Side(np.arange(9), "fold", v) for v in range(3)], 2)
     assert [len(r) for r in received][0] == 3 * 9 * 8 < 3 * 9 * st.BINS  # gain, bin and six sums of each feature
+
+
+def test_equal_nodes_are_counted_once(table, monkeypatch):
+    df, x, y, fold = table
+    rows, asked, plain = st.BinnedRows(df, ["fold"]), [], st.BinnedRows.passes
+
+    def told(self, fn, width, finish=None):
+        asked.append(width)
+        return plain(self, fn, width, finish)
+
+    monkeypatch.setattr(st.BinnedRows, "passes", told)
+    folds = [st.Side(np.arange(9), "fold", v) for v in range(3)]
+    trees = st.grow(rows, folds, 3)
+    # at the root rows and targets of each fold value and of the others, not of the training rows of each fold
+    assert asked[0] == 2 * 4 * 9 * st.BINS < 3 * 3 * 9 * st.BINS
+    for side, tree in zip(folds, trees, strict=True):
+        alone = st.grow(rows, [side], 3)[0]
+        assert np.array_equal(tree.feature, alone.feature) and np.array_equal(tree.cut, alone.cut)
+        assert np.allclose(tree.sums, alone.sums)
+        codes, train = codes_of(rows, x), fold != side.value
+        assert tree.sums[0].tolist() == [train.sum(), y[train].sum(), train.sum()] and len(codes) == 240
+    # models of one fold over the larger of two nested sets of features, until their trees differ
+    nested = [st.Side(f, "fold", 1) for f in (np.array([1, 4, 6]), np.arange(9))]
+    asked.clear()
+    both = st.boosted_counts(rows, nested, rounds=6, depth=2, rate=0.3)
+    assert asked[1] == 3 * 9 * st.BINS
+    assert both.tolist() == [st.boosted_counts(rows, [side], rounds=6, depth=2, rate=0.3)[0].tolist() for side in nested]
+
+
+def test_ends_of_a_deep_tree():
+    rng = np.random.default_rng(3)
+    codes, tree = rng.integers(0, st.BINS, (200, 5)).astype(np.uint8), st.Tree(7)
+    tree.feature[:127], tree.cut[:127] = rng.integers(-1, 5, 127), rng.integers(0, st.BINS, 127)
+    for row, got in zip(codes, st._ends(np.ascontiguousarray(codes.T), tree.feature, tree.cut), strict=True):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = 2 * node + 1 + int(row[tree.feature[node]] > tree.cut[node])
+        assert node == got

@@ -4,6 +4,10 @@ Features are cut once into bins of about equal counts. A pass adds up, for every
 training rows fall into each bin and the sum of their targets; the sums meet in a tree of partial sums, whose last task
 keeps the best cut of each feature, and the driver, which sees neither rows nor bins, picks the splits. Recursive
 elimination walks once down all sizes, and the cuts of nodes whose path has not changed are used again. Boosted trees are fitted on every size and fold side by side.
+
+Nodes on the same path with the same targets are counted once: for folds of one column by fold value, so that a fold's
+training rows are all rows less its own, and for models of one fold over the union of their features, as long as the
+models have grown the same trees.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 
 from threadlens.operators.shared_tuning import tree_sum
 from threadlens.session import materialize
+from threadlens.sources.readers import spread
 
 BINS = 32
 #: Sums of one pass, 8 bytes each; more open nodes take more passes. A task adds up FAN_IN of them.
@@ -31,7 +36,7 @@ WRITE_EVERY = 25
 #: Features whose quantiles are asked for at once.
 QUANTILE_FEATURES = 64
 #: Rows that meet all trees at once.
-ROWS = 2048
+ROWS = 4096
 #: Per bin: rows, sum of targets, sum of curvatures.
 SUMS = 3
 #: Numbers that tell the best cut of a feature: gain, bin, sums on either side.
@@ -82,23 +87,35 @@ class Tree:
         return rate * self.sums[:, 1] / np.maximum(self.sums[:, 2], 1e-12)
 
 
+def _table(column: pa.Array, kind: type) -> np.ndarray:
+    """Binary values of equal length as the rows of a table, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    return flat.view(kind).reshape(len(column), -1)
+
+
+def _cells(table: np.ndarray) -> pa.Array:
+    """The rows of a table as binary values."""
+    flat = np.ascontiguousarray(table).view(np.uint8).reshape(len(table), -1)
+    ends = np.arange(len(table) + 1, dtype=np.int64) * flat.shape[1]
+    return pa.Array.from_buffers(pa.large_binary(), len(table), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).cast(pa.binary())
+
+
 def _arrays(batch: pa.RecordBatch, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, dict]:
     """Codes, labels, margins (None before they are written) and folds of a batch."""
-    codes = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    margins = None
-    if batch.column(2).null_count == 0:
-        margins = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1)
+    margins = _table(batch.column(2), np.float64) if batch.column(2).null_count == 0 else None
     folds = {c: batch.column(3 + i).to_numpy(zero_copy_only=False) for i, c in enumerate(columns)}
-    return codes, batch.column(1).to_numpy(), margins, folds
+    return _table(batch.column(0), np.uint8), batch.column(1).to_numpy(), margins, folds
 
 
-def _ends(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """(row, tree): node at which each row ends in each of the stacked trees (tree, node)."""
-    rows, trees = np.arange(len(codes))[:, None], np.arange(len(feature))[None, :]
-    node = np.zeros((len(codes), len(feature)), np.int64)
-    for _ in range((feature.shape[1] + 1).bit_length() - 2):
-        f = feature[trees, node]
-        node = np.where(f >= 0, 2 * node + 1 + (codes[rows, np.maximum(f, 0)] > cut[trees, node]), node)
+def _ends(features: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Node of one tree at which each row ends; ``features`` has the codes of a feature as a row."""
+    node = np.zeros(features.shape[1], np.min_scalar_type(len(feature)))
+    for i in np.flatnonzero(feature >= 0):
+        child = (features[feature[i]] > cut[i]).astype(node.dtype)
+        child += node.dtype.type(i + 1)
+        np.multiply(child, node == i, out=child)
+        node += child
     return node
 
 
@@ -134,18 +151,18 @@ class BinnedRows:
             codes = np.stack([np.searchsorted(e, table[:, i], side="left") for i, e in enumerate(edges)], axis=1)
             return values.__class__([c.tobytes() for c in codes.astype(np.uint8)])
 
-        self.data = materialize(df.select(
+        self.data = materialize(spread(df).select(
             coded(vector_to_array("features")).alias("codes"), F.col(label).cast("double").alias("y"),
             F.lit(None).cast("binary").alias("margins"), *[F.col(c).cast("int").alias(c) for c in columns]), "binned-rows")
 
     def passes(self, fn: Callable, width: int, finish: Callable | None = None) -> np.ndarray:
-        """Sum over all batches of fn(codes, y, margins, folds); finish of it, made in a task."""
+        """Sum of what fn(sums, codes, y, margins, folds) adds to the sums of each block; finish of it, made in a task."""
         columns = self.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(width)
             for batch in _blocks(batches):
-                total += fn(*_arrays(batch, columns))
+                fn(total, *_arrays(batch, columns))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
         return tree_sum(self._plain().mapInArrow(run, "sums binary"), width, FAN_IN, finish)
@@ -156,9 +173,8 @@ class BinnedRows:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _blocks(batches):
-                margins = [m.tobytes() for m in fn(*_arrays(batch, columns))]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:2], pa.array(margins, pa.binary()), *batch.columns[3:]], names=batch.schema.names)
+                margins = _cells(fn(*_arrays(batch, columns)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], margins, *batch.columns[3:]], names=batch.schema.names)
 
         out = BinnedRows.__new__(BinnedRows)
         out.__dict__ = dict(self.__dict__)
@@ -188,38 +204,62 @@ def _best_cuts(hist: np.ndarray) -> np.ndarray:
     gain = s_left ** 2 / np.maximum(n_left, 1) + s_right ** 2 / np.maximum(n_right, 1) - total[1] ** 2 / max(total[0], 1)
     gain = np.where((n_left > 0) & (n_right > 0), np.round(gain, 9), -1.0)
     cut = gain.argmax(axis=1)
+    low = (np.arange(hist.shape[1]) <= cut[:, None])[..., None]
     out = np.empty((len(hist), CUT))
     out[:, 0], out[:, 1] = gain[np.arange(len(hist)), cut], cut
-    for i, c in enumerate(cut):
-        out[i, 2:2 + SUMS], out[i, 2 + SUMS:] = hist[i, :c + 1].sum(axis=0), hist[i, c + 1:].sum(axis=0)
+    out[:, 2:2 + SUMS], out[:, 2 + SUMS:] = np.where(low, hist, 0.0).sum(axis=1), np.where(low, 0.0, hist).sum(axis=1)
     return out
 
 
+@dataclass
+class Spot:
+    """What is counted at one path for one column of folds: the cells of the union of the models' features, once for the
+    rows of each fold value asked for and once for the others; with one value, for the rows without it alone."""
+
+    source: int  # of the targets
+    path: tuple
+    column: str | None
+    members: list[tuple[int, int]] = field(default_factory=list)  # (model, node)
+    values: list[int] = field(default_factory=list)
+    features: np.ndarray | None = None
+
+    def shape(self, bins: int, sums: int) -> tuple[int, int, int, int]:
+        return sums, len(self.values) + 1 if len(self.values) > 1 else 1, len(self.features), bins
+
+
 def grow(rows: BinnedRows, sides: list[Side], depth: int, targets: Callable | None = None,
-         kept: list[dict] | None = None) -> list[Tree]:
+         kept: list[dict] | None = None, source: list[int] | None = None) -> list[Tree]:
     """One tree per side, least squares of the targets in the leaves.
 
-    targets(codes, y, margins) gives (targets, curvatures), each (row, model); without it the label is the target.
-    ``kept`` holds for each side the cuts of earlier trees on the same targets and at least the same features; nodes found
-    there cost no pass.
+    targets(codes, y, margins) gives (targets, curvatures), each (source, row), and ``source`` the row of each model;
+    without it the label is the target of all. ``kept`` holds for each side the cuts of earlier trees on the same targets
+    and at least the same features; nodes found there cost no pass.
     """
     bins, trees = rows.bins, [Tree(depth) for _ in sides]
+    if source is None:
+        source = [0] * len(sides) if targets is None else list(range(len(sides)))
     open_nodes = [(m, 0) for m in range(len(sides))]
     for level in range(depth):
         cuts: dict[tuple[int, int], np.ndarray] = {}
-        ask: list[tuple[int, int]] = []
+        spots: dict[tuple, Spot] = {}
         for m, node in open_nodes:
-            known = kept[m].get(trees[m].path(node)) if kept is not None else None
-            if known is None:
-                ask.append((m, node))
-            else:
-                cuts[m, node] = known[1][np.searchsorted(known[0], sides[m].features)]
+            path, side = trees[m].path(node), sides[m]
+            known = kept[m].get(path) if kept is not None else None
+            if known is not None:
+                cuts[m, node] = known[1][np.searchsorted(known[0], side.features)]
+                continue
+            spot = spots.setdefault((source[m], path, side.column), Spot(source[m], path, side.column))
+            spot.members.append((m, node))
+            spot.features = side.features if spot.features is None else np.union1d(spot.features, side.features)
+            if side.value not in spot.values:
+                spot.values.append(side.value)
+        ask = list(spots.values())
         while ask:
             part, used = [], 0
-            while ask and (not part or used + len(sides[ask[0][0]].features) * bins * SUMS <= MAX_SUMS):
-                used += len(sides[ask[0][0]].features) * bins * SUMS
+            while ask and (not part or used + math.prod(ask[0].shape(bins, SUMS)) <= MAX_SUMS):
+                used += math.prod(ask[0].shape(bins, SUMS))
                 part.append(ask.pop(0))
-            found = _count(rows, sides, trees, part, targets)
+            found = _count(rows, sides, part, targets)
             cuts.update(found)
             if kept is not None:
                 for (m, node), own in found.items():
@@ -241,49 +281,71 @@ def grow(rows: BinnedRows, sides: list[Side], depth: int, targets: Callable | No
     return trees
 
 
-def _count(rows: BinnedRows, sides: list[Side], trees: list[Tree], part: list[tuple[int, int]],
-           targets: Callable | None) -> dict[tuple[int, int], np.ndarray]:
-    """Best cuts (feature, CUT) of the nodes (model, node); the histograms stay in the tasks."""
-    bins, nodes = rows.bins, {}
-    for m, node in part:
-        nodes.setdefault(m, []).append(node)
-    size = {m: len(own) * len(sides[m].features) * bins for m, own in nodes.items()}
-    own_sides = [sides[m] for m in nodes]
-    feature, cut = np.stack([trees[m].feature for m in nodes]), np.stack([trees[m].cut for m in nodes])
+def _count(rows: BinnedRows, sides: list[Side], spots: list[Spot], targets: Callable | None) -> dict[tuple[int, int], np.ndarray]:
+    """Best cuts (feature, CUT) of the nodes (model, node) of the spots; the histograms stay in the tasks."""
+    bins, sums = rows.bins, SUMS if targets is not None else SUMS - 1  # without targets curvatures are row counts
+    shapes = [spot.shape(bins, sums) for spot in spots]
+    starts = np.cumsum([0, *[math.prod(shape) for shape in shapes]])
+    roots: dict[int, dict] = {}  # of each source, the paths as a tree: each split sends the rows on once
+    for i, spot in enumerate(spots):
+        at = roots.setdefault(spot.source, {"spots": [], "splits": {}})
+        for feature, cut, side in spot.path:
+            at = at["splits"].setdefault((feature, cut), {}).setdefault(side, {"spots": [], "splits": {}})
+        at["spots"].append(i)
 
-    def add(codes, y, margins, folds):
+    def add(total, codes, y, margins, folds):
         told = targets(codes, y, margins) if targets is not None else None
-        ends, train, out = _ends(codes, feature, cut), _masks(own_sides, folds, len(y)), []
-        for j, (m, own) in enumerate(nodes.items()):
-            side = own_sides[j]
-            slot = np.full(feature.shape[1], -1, np.int64)
-            slot[own] = np.arange(len(own))
-            at = slot[ends[:, j]]
-            seen = np.flatnonzero(train[:, j] & (at >= 0))
-            width = len(side.features)
-            cell = ((at[seen, None] * width + np.arange(width)) * bins + codes[np.ix_(seen, side.features)]).ravel()
-            s = y[seen] if told is None else told[0][seen, m]
-            h = np.ones(len(seen)) if told is None else told[1][seen, m]
-            out += [np.bincount(cell, minlength=size[m]), np.bincount(cell, np.repeat(s, width), size[m]),
-                    np.bincount(cell, np.repeat(h, width), size[m])]
-        return np.concatenate(out)
-
-    shapes = [(SUMS, len(own), len(side.features), bins) for side, own in zip(own_sides, nodes.values(), strict=True)]
+        tables: dict[bytes, np.ndarray] = {}
+
+        def count(i, some, weights):
+            spot, (_, groups, width, _) = spots[i], shapes[i]
+            fold = folds[spot.column][some] if spot.column is not None else None
+            if groups == 1 and fold is not None:
+                some = some[fold != spot.values[0]]
+            key = spot.features.tobytes()
+            if key not in tables:
+                tables[key] = codes[:, spot.features].astype(np.intp) + np.arange(width) * bins
+            cell = tables[key][some] if len(some) < len(y) else tables[key]
+            if groups > 1:
+                slot = np.zeros(len(some), np.intp)
+                for k, value in enumerate(spot.values):
+                    slot[fold == value] = k + 1
+                cell = cell + (slot * (width * bins))[:, None]
+            cell, size, at = cell.ravel(), groups * width * bins, starts[i]
+            total[at:at + size] += np.bincount(cell, minlength=size)
+            for w in weights:
+                at += size
+                total[at:at + size] += np.bincount(cell, np.repeat(w[some], width), size)
+
+        def walk(at, some, weights):
+            for i in at["spots"]:
+                count(i, some, weights)
+            for (feature, cut), ways in at["splits"].items():
+                high = codes[some, feature] > cut
+                for side, following in ways.items():
+                    walk(following, some[high if side == 2 else ~high], weights)
+
+        for source, root in roots.items():
+            walk(root, np.arange(len(y)), (y,) if told is None else (told[0][source], told[1][source]))
 
     def cuts(flat: np.ndarray) -> np.ndarray:
-        at, out = 0, []
-        for shape in shapes:
-            table = flat[at:at + math.prod(shape)].reshape(shape)
-            at += math.prod(shape)
-            out += [_best_cuts(np.moveaxis(table[:, i], 0, -1)).ravel() for i in range(shape[1])]
+        out = []
+        for spot, shape, at in zip(spots, shapes, starts, strict=False):
+            table = np.moveaxis(flat[at:at + math.prod(shape)].reshape(shape), 0, -1)
+            if table.shape[-1] < SUMS:
+                table = table[..., [0, 1, 0]]
+            whole = table.sum(axis=0)
+            out += [_best_cuts(whole - table[k + 1] if len(table) > 1 else whole).ravel() for k in range(len(spot.values))]
         return np.concatenate(out)
 
-    flat, at, found = rows.passes(add, SUMS * sum(size.values()), cuts), 0, {}
-    for m, own in nodes.items():
-        for node in own:
-            step = len(sides[m].features) * CUT
-            found[m, node] = flat[at:at + step].reshape(-1, CUT)
+    flat, at, found = rows.passes(add, int(starts[-1]), cuts), 0, {}
+    for spot in spots:
+        own, step = {}, len(spot.features) * CUT
+        for value in spot.values:
+            own[value] = flat[at:at + step].reshape(-1, CUT)
             at += step
+        for m, node in spot.members:
+            found[m, node] = own[sides[m].value][np.searchsorted(spot.features, sides[m].features)]
     return found
 
 
@@ -328,37 +390,62 @@ def eliminate(rows: BinnedRows, sides: list[Side], sizes: list[int], depth: int
 
 
 def boosted_counts(rows: BinnedRows, sides: list[Side], rounds: int = 100, depth: int = 3, rate: float = 0.1) -> np.ndarray:
-    """(right, all) of each side's rows outside its training rows: boosted trees on the logistic loss, leaves by Newton steps."""
+    """(right, all) of each side's rows outside its training rows: boosted trees on the logistic loss, leaves by Newton steps.
+
+    Sides with the same training rows have the same margins until their trees differ; margins are kept once for them.
+    """
     n = len(sides)
-    counts = rows.passes(lambda codes, y, margins, folds: np.concatenate(
-        [m.sum(axis=0) for m in (_masks(sides, folds, len(y)), y[:, None] * _masks(sides, folds, len(y)))]), 2 * n)
+
+    def share_of(total, codes, y, margins, folds):
+        train = _masks(sides, folds, len(y))
+        total += np.concatenate([train.sum(axis=0), (y[:, None] * train).sum(axis=0)])
+
+    counts = rows.passes(share_of, 2 * n)
     share = np.clip(counts[n:] / np.maximum(counts[:n], 1), 1e-9, 1 - 1e-9)
     start = np.log(share / (1 - share))
-    # of each round since the margins were written: features, cuts and values (model, node)
-    fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def margin_of(codes, y, margins, folds=None, fresh=fresh):
-        z = np.tile(start, (len(y), 1)) if margins is None else margins.copy()
-        for feature, cut, values in fresh:
-            z += values[np.arange(n), _ends(codes, feature, cut)]
+    # of each set of sides that have grown the same trees: the sides, the written margin, the trees since then
+    alike: dict[tuple, list[int]] = {}
+    for m, side in enumerate(sides):
+        alike.setdefault((side.column, side.value), []).append(m)
+    sets = [(own, k, ()) for k, own in enumerate(alike.values())]
+    first = np.array([start[own[0]] for own, _, _ in sets])
+
+    def margins_of(codes, y, margins, folds=None):
+        """(set, row)"""
+        features = np.ascontiguousarray(codes.T)
+        z = np.empty((len(sets), len(y)))
+        for k, (_, written, trees) in enumerate(sets):
+            z[k] = first[written] if margins is None else margins[:, written]
+            for feature, cut, values in trees:
+                z[k] += values[_ends(features, feature, cut)]
         return z
 
     def targets(codes, y, margins):
-        p = 1.0 / (1.0 + np.exp(-margin_of(codes, y, margins)))
-        return y[:, None] - p, p * (1 - p)
+        p = 1.0 / (1.0 + np.exp(-margins_of(codes, y, margins)))
+        return y - p, p * (1 - p)
 
     for done in range(1, rounds + 1):
-        trees = grow(rows, sides, depth, targets)
-        fresh.append((np.stack([t.feature for t in trees]), np.stack([t.cut for t in trees]),
-                      np.stack([t.values(rate) for t in trees])))
+        source = np.empty(n, int)
+        for k, (own, _, _) in enumerate(sets):
+            source[own] = k
+        trees, following = grow(rows, sides, depth, targets, source=source.tolist()), []
+        for own, written, before in sets:
+            parted: dict[tuple, tuple[list[int], tuple]] = {}
+            for m in own:
+                tree = trees[m].feature, trees[m].cut, trees[m].values(rate)
+                parted.setdefault(tuple(x.tobytes() for x in tree), ([], tree))[0].append(m)
+            following += [(some, written, (*before, tree)) for some, tree in parted.values()]
+        sets = following
         if done % WRITE_EVERY == 0 and done < rounds:
-            rows = rows.with_margins(margin_of)
-            fresh.clear()
-
-    def score(codes, y, margins, folds):
-        right = (margin_of(codes, y, margins) > 0) == (y[:, None] > 0.5)
-        test = ~_masks(sides, folds, len(y))
-        return np.concatenate([(right & test).sum(axis=0), test.sum(axis=0)])
+            rows = rows.with_margins(lambda *block: margins_of(*block).T)
+            sets = [(own, k, ()) for k, (own, _, _) in enumerate(sets)]
+
+    def score(total, codes, y, margins, folds):
+        right = (margins_of(codes, y, margins) > 0) == (y > 0.5)
+        test, of = ~_masks(sides, folds, len(y)), np.empty(n, int)
+        for k, (own, _, _) in enumerate(sets):
+            of[own] = k
+        total += np.concatenate([(right[of].T & test).sum(axis=0), test.sum(axis=0)])
 
     return rows.passes(score, 2 * n).reshape(2, n).T
 
