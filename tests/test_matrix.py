@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from threadlens.functions.vectors import as_vector
@@ -81,3 +82,24 @@ def test_chain_trained_together_equals_label_by_label(spark):
     told = np.array([[*x[i], got[i].pred_a] for i in range(200)])
     margin = told @ chain.weights[1][:, :-1].T + chain.weights[1][:, -1]
     assert all(got[i].pred_b == margin[i].argmax() for i in range(200))
+
+
+def test_training_rows_keep_stored_entries_only(spark):
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((300, 40)) < 0.1, rng.normal(size=(300, 40)), 0.0)
+    y, z = (x[:, 0] + x[:, 1] > 0).astype(int), rng.integers(0, 3, 300)
+    vector = lambda i: Vectors.dense(x[i]) if i % 7 == 0 else Vectors.sparse(
+        40, {int(j): float(x[i, j]) for j in np.flatnonzero(x[i])})
+    df = spark.createDataFrame([(vector(i), int(y[i]), int(z[i]), float(i)) for i in range(300)],
+                               ["features", "label", "fold", "more"]).repartition(4)
+    models = [st.Model(1.0), st.Model(0.1, "fold", 1, leading=40)]
+    rows = st.Rows(df, models, ["more"])
+    assert rows.width == 42
+    stored = sum(len(r.numbers) // 8 for r in rows.data.select("numbers").collect())
+    assert stored == sum(40 if i % 7 == 0 else np.count_nonzero(x[i]) for i in range(300)) < 300 * 40 // 2
+    sums = rows.passes(lambda v, label, mask: np.concatenate([v.sum(axis=0), label.sum(axis=0), mask.sum(axis=0)]), 46)
+    assert np.allclose(sums, [*x.sum(axis=0), sum(range(300)), 300, y.sum(), y.sum(), 300, (z != 1).sum()])
+    dense = spark.createDataFrame([(Vectors.dense(x[i]), int(y[i]), int(z[i])) for i in range(300)], ["features", "label", "fold"])
+    assert np.allclose(st.fit_many(df, models)[0], st.fit_many(dense, models)[0], atol=1e-5)
+    with pytest.raises(Exception, match="no features"):
+        st.fit_many(df.withColumn("features", F.when(F.col("more") > 5, F.col("features"))), models)

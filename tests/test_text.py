@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,20 @@ def test_recode_rejects_unknown_values(spark):
 def test_post_date_and_single_line(apply):
     assert [str(d) for d in apply(tx.post_date, "Wed Feb 28 23:59:59 +0000 2024")] == ["2024-02-28"]
     assert apply(tx.single_line, "a\r\nb\nc") == ["a b\nc"]
+
+
+def test_only_runs_with_an_apostrophe_are_searched(apply, monkeypatch):
+    texts = ["xi'd've 'cause'''don'tcan't won't", "no mark at all", "'", "''i'll''", "", "y'all'd've\ny'alls  i'dé'd", "é'twasn't'",
+             "she's.it's-that's", None]
+    table = lex.CONTRACTIONS
+    plain = re.compile(tx.contraction_pattern(table))
+    assert apply(tx.expand_contractions, *texts) == [t and plain.sub(lambda m: table[m[0]], t) for t in texts]
+    odd = {"don't": "do\nnot", "nor": "not or"}
+    assert apply(lambda c: tx.expand_contractions(c, odd), "don't nor") == ["do\nnot not or"]
+    monkeypatch.setattr(tx, "replace_matches", lambda text, pattern, mapping: F.upper(text))
+    assert apply(tx.expand_contractions, "abc don't x'y z") == ["abc DON'T X'Y z"]
+
+
+def test_blanks_between_tokens(apply):
+    texts = ("  a  b ", "a b", " ", "", "a\tb", " a  b\n", "a \n", "\u2003a\u3000 b", None)
+    assert apply(tx.one_blank, *texts) == [t and " ".join(t.split()) for t in texts]

@@ -44,6 +44,8 @@ def guarded(pattern: str, skip: str) -> str:
 # The same matches as SPACES and NON_ALPHA, faster on mostly ASCII text.
 FAST_SPACES = guarded(SPACES, "[!-~]")
 FAST_NON_ALPHA = guarded(NON_ALPHA, "[a-z]")
+# Runs of white space other than one blank.
+UNEVEN_SPACES = guarded(f"(?:[{SPACE}]{{2,}}|[{SPACE}&&[^ ]])", "[!-~]")
 
 
 def delete(text: Column, pattern: str) -> Column:
@@ -86,9 +88,14 @@ def word_rate(text: Column, divisor: float = 300.0) -> Column:
     return F.size(whitespace_tokens(text)) / F.lit(divisor)
 
 
+def one_byte_each(text: Column) -> Column:
+    """Whether no character takes more than one byte; such a text has no emoji."""
+    return F.length(text) == F.octet_length(text)
+
+
 def emoji_count(text: Column) -> Column:
     """Characters in the emoji ranges; a run of three counts three."""
-    return occurrences(text, EMOJI)
+    return F.when(one_byte_each(text), F.lit(0).cast("long")).otherwise(occurrences(text, EMOJI))
 
 
 def whole_token_pattern(words: list[str]) -> str:
@@ -142,7 +149,7 @@ def strip_space(text: Column) -> Column:
 
 def one_blank(text: Column) -> Column:
     """The white-space tokens with one blank between them."""
-    return F.regexp_replace(strip_space(text), FAST_SPACES, " ")
+    return F.trim(F.regexp_replace(text, UNEVEN_SPACES, " "))
 
 
 def clean_punctuation(text: Column) -> Column:
@@ -171,7 +178,7 @@ def contraction_pattern(contractions: dict[str, str], guarded: bool = False) ->
         return keys
     lead = max((len(k.split("'")[0]) for k in contractions if "'" in k), default=0)
     plain = [re.escape(k) for k in contractions if "'" not in k]
-    return f"(?={'|'.join([f"[A-Za-z]{{0,{lead}}}'", *plain])})(?:{keys})"
+    return f"(?={'|'.join([f"[A-Za-z]{{0,{lead}}}+'", *plain])})(?:{keys})"
 
 
 def string_map(entries: dict[str, str]) -> Column:
@@ -180,24 +187,48 @@ def string_map(entries: dict[str, str]) -> Column:
     )
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where the value is evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def replace_matches(text: Column, pattern: str, mapping: Column) -> Column:
     """One left-to-right pass: each match is replaced by its mapped value and not scanned again."""
-    gaps = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(
-        gaps, matches,
-        lambda gap, m: F.concat(gap, F.coalesce(F.try_element_at(mapping, m), m, F.lit(""))),
-    )
-    return F.array_join(pieces, "")
+
+    def replaced(t: Column) -> Column:
+        pieces = F.zip_with(
+            F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
+            lambda gap, m: F.concat(gap, F.coalesce(F.try_element_at(mapping, m), m, F.lit(""))),
+        )
+        return F.array_join(pieces, "")
+
+    return once(text, replaced)
+
+
+# A whole run of letters and apostrophes with an apostrophe in it; inside a run one look back turns a position away.
+APOSTROPHE_RUN = "(?<![A-Za-z'])[A-Za-z]*+'[A-Za-z']*+"
 
 
 def expand_contractions(text: Column, contractions: dict[str, str] = lex.CONTRACTIONS) -> Column:
-    return replace_matches(text, contraction_pattern(contractions, guarded=True), string_map(contractions))
+    """Keys are replaced wherever they stand. If all are made of letters and an apostrophe, none reaches out of a run of
+    such characters, so only runs with an apostrophe are searched, one to a line."""
+    pattern, table = contraction_pattern(contractions, guarded=True), string_map(contractions)
+    if any("\n" in v for v in contractions.values()) or not all(
+            "'" in k and re.fullmatch("[A-Za-z']+", k) for k in contractions):
+        return replace_matches(text, pattern, table)
+
+    def expanded(t: Column) -> Column:
+        runs = F.regexp_extract_all(t, F.lit(APOSTROPHE_RUN), F.lit(0))
+        done = F.split(replace_matches(F.array_join(runs, "\n"), pattern, table), "\n", -1)
+        pieces = F.zip_with(F.split(t, APOSTROPHE_RUN, -1), done, lambda gap, run: F.concat(gap, F.coalesce(run, F.lit(""))))
+        return F.when(F.contains(t, F.lit("'")), F.array_join(pieces, "")).otherwise(t)
+
+    return once(text, expanded)
 
 
 def _drop_substrings(text: Column, whole_word: bool) -> Column:
     for part in lex.CLEAN_SUBSTRINGS:
-        text = delete(text, rf"\b{part}\b" if whole_word else part)
+        text = delete(text, rf"\b{part}\b") if whole_word else F.replace(text, F.lit(part), F.lit(""))
     return text
 
 

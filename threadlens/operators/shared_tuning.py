@@ -13,11 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.functions.vectors import as_vector
 from threadlens.session import materialize
 
 #: Partial sums that one task of the tree adds up.
@@ -76,18 +76,73 @@ def tree_sum(parts: DataFrame, width: int, fan_in: int = FAN_IN, finish: Callabl
     return total
 
 
+def packed(batch: pa.RecordBatch) -> tuple[int, np.ndarray | None, np.ndarray, np.ndarray]:
+    """(size, positions or None, numbers, numbers of each row) of a batch's first column, MLlib vectors; without positions
+    the vectors are dense."""
+    column = batch.column(0)
+    if column.null_count:
+        raise ValueError("a row has no features")
+    kind, size, indices, values = (column.field(i) for i in range(4))
+    own = pc.list_value_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+    sparse = kind.to_numpy() == 0
+    sizes = np.where(sparse, pc.fill_null(size, -1).to_numpy(zero_copy_only=False), own)
+    if (sizes != sizes[0]).any():
+        raise ValueError("vectors differ in size")
+    numbers = values.flatten().to_numpy(zero_copy_only=False)
+    if not sparse.any():
+        return int(sizes[0]), None, numbers, own
+    at = np.empty(len(numbers), np.int32)
+    inside = np.repeat(sparse, own)
+    at[inside] = indices.filter(pa.array(sparse)).flatten().to_numpy(zero_copy_only=False)
+    at[~inside] = np.tile(np.arange(sizes[0], dtype=np.int32), int((~sparse).sum()))
+    return int(sizes[0]), at, numbers, own
+
+
+def unpacked(size: int, at: np.ndarray | None, numbers: np.ndarray, own: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """The vectors as rows of a table with the columns ``behind`` and a column of ones after them."""
+    x = np.zeros((len(own), size + behind.shape[1] + 1))
+    if at is None:
+        x[:, :size] = numbers.reshape(len(own), size)
+    else:
+        x[np.repeat(np.arange(len(own)), own), at] = numbers
+    x[:, size:-1] = behind
+    x[:, -1] = 1.0
+    return x
+
+
+BLOCK = "size int, behind int, positions binary, numbers binary, own binary, others binary"
+
+
 class Rows:
-    """The training table as arrays, written once, with the folds of all models as columns."""
+    """The training table in blocks of rows, written once, with the folds of all models; vectors keep their stored entries.
+
+    The columns ``behind`` follow the features as further ones.
+    """
 
-    def __init__(self, df: DataFrame, models: list[Model]):
-        self.models = models
+    def __init__(self, df: DataFrame, models: list[Model], behind: list[str] | None = None):
+        self.models, behind = models, behind or []
         self.columns = sorted({m.column for m in models if m.column is not None})
         self.labels = sorted({m.label for m in models})
+        parts = [len(behind), len(self.columns), len(self.labels)]
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, ROWS):
+                    block = batch.slice(start, ROWS)
+                    size, at, numbers, own = packed(block)
+                    others = [np.asarray(c.to_numpy(zero_copy_only=False), float) for c in block.columns[1:]]
+                    if any(c.null_count for c in block.columns[1:1 + parts[0]]):
+                        raise ValueError("a row has no value behind its features")
+                    told = [None if at is None else at.tobytes(), numbers.tobytes(), own.tobytes(), np.array(others).tobytes()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([size], pa.int32()), pa.array([parts[0]], pa.int32()), *[pa.array([x], pa.binary()) for x in told]],
+                        names=["size", "behind", "positions", "numbers", "own", "others"])
+
         self.data = materialize(df.select(
-            vector_to_array("features").alias("x"), *self.columns,
-            *[F.col(c).cast("double").alias(f"_y{i}") for i, c in enumerate(self.labels)]), "tuning-rows")
-        first = self.data.first()
-        self.width = len(first["x"]) + 1 if first else 1
+            F.unwrap_udt("features").alias("x"), *[F.col(c).cast("double").alias(f"_{k}{i}") for k, names in (
+                ("b", behind), ("f", self.columns), ("y", self.labels)) for i, c in enumerate(names)]).mapInArrow(pack, BLOCK), "tuning-rows")
+        first = self.data.select("size").first()
+        self.width = first["size"] + len(behind) + 1 if first else 1
 
     def passes(self, fn, width: int) -> np.ndarray:
         """Sum over all rows of fn(x with a column of ones, y by model, mask of training rows by model)."""
@@ -95,20 +150,24 @@ class Rows:
         of = [self.labels.index(m.label) for m in models]
         positive = np.array([m.positive for m in models])
 
-        def run(batches: Iterator[pd.DataFrame]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(width)
-            for frame in batches:
-                for start in range(0, len(frame), ROWS):
-                    part = frame.iloc[start:start + ROWS]
-                    x = np.hstack([np.stack(part["x"].to_numpy()), np.ones((len(part), 1))])
-                    folds = {c: part[c].to_numpy() for c in columns}
-                    mask = np.stack([np.ones(len(part)) if m.column is None else (folds[m.column] != m.value).astype(float)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    size, behind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                    at, numbers, own, others = (
+                        np.frombuffer(c[i].as_buffer(), t) if c[i].is_valid else None
+                        for c, t in zip(batch.columns[2:], (np.int32, np.float64, np.int64, np.float64), strict=True))
+                    n, others = len(own), others.reshape(-1, len(own))
+                    x = unpacked(size, at, numbers, own, others[:behind].T)
+                    folds = dict(zip(columns, others[behind:], strict=False))
+                    mask = np.stack([np.ones(n) if m.column is None else (folds[m.column] != m.value).astype(float)
                                      for m in models], axis=1)
-                    y = np.stack([part[f"_y{i}"].to_numpy() for i in range(max(of) + 1)], axis=1)[:, of] == positive
+                    y = others[behind + len(columns):].T[:, of] == positive
                     total = total + fn(x, y.astype(float), mask)
-            yield pd.DataFrame({"sums": [total.tobytes()]})
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-        return tree_sum(self.data.mapInPandas(run, "sums binary"), width)
+        return tree_sum(self.data.mapInArrow(run, "sums binary"), width)
 
 
 def _losses(x: np.ndarray, y: np.ndarray, mask: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -139,14 +198,15 @@ def _direction(gradient: np.ndarray, history: list[tuple[np.ndarray, np.ndarray]
     return -q
 
 
-def fit_many(df: DataFrame, models: list[Model], rounds: int = 200, tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+def fit_many(df: DataFrame, models: list[Model], rounds: int = 200, tol: float = 1e-7,
+             behind: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(weights, counts) of each model: coefficients with the intercept last, which minimise mean log loss +
     |coef|^2 / (2 c n) over the model's n training rows; and the eight counts of ``_counts``.
 
-    df has features, the labels and the fold columns. A model stops when its gradient is below ``tol``; the pass then goes on
+    df has features, the labels and the fold columns; the columns ``behind`` follow the features. A model stops when its gradient is below ``tol``; the pass then goes on
     for the others. The result follows from the rows alone, so it does not depend on the other models in the pass.
     """
-    rows, m = Rows(df, models), len(models)
+    rows, m = Rows(df, models, behind), len(models)
     width = rows.width
     sizes = np.maximum(rows.passes(lambda x, y, mask: mask.sum(axis=0), m), 1.0)
     penalty = 1.0 / (np.array([model.c for model in models]) * sizes)
@@ -225,10 +285,8 @@ def fit_chain(df: DataFrame, labels: list[str], c: float = 1.0, rounds: int = 10
     waits for another one. The largest margin gives the class, the first of equals."""
     classes = [sorted(float(v) for v in row) for row in df.agg(*[F.collect_set(F.col(x).cast("double")) for x in labels]).first()]
     width = len(df.first()["features"])
-    both = df.select(as_vector(F.concat(vector_to_array("features"), F.array(*[F.col(x).cast("double") for x in labels]))).alias("features"),
-                     *labels)
     models = [Model(c, label=x, positive=v, leading=width + j) for j, x in enumerate(labels) for v in classes[j]]
-    weights, _ = fit_many(both, models, rounds, tol)
+    weights, _ = fit_many(df.select("features", *labels), models, rounds, tol, labels)
     out, at = [], 0
     for j, own in enumerate(classes):
         part = weights[at:at + len(own)]
