@@ -138,3 +138,10 @@ def test_only_runs_with_an_apostrophe_are_searched(apply, monkeypatch):
 def test_blanks_between_tokens(apply):
     texts = ("  a  b ", "a b", " ", "", "a\tb", " a  b\n", "a \n", "\u2003a\u3000 b", None)
     assert apply(tx.one_blank, *texts) == [t and " ".join(t.split()) for t in texts]
+
+
+def test_emoji_are_looked_for_in_texts_that_can_have_them(apply, monkeypatch):
+    texts = ("plain text", "caf\u00e9 \U0001F600\U0001F600 x", "", "\u2702", None)
+    assert apply(tx.emoji_count, *texts) == [0, 2, 0, 1, None]
+    monkeypatch.setattr(tx, "occurrences", lambda text, pattern: F.lit(7).cast("long"))
+    assert apply(tx.emoji_count, *texts[:4]) == [0, 7, 0, 7]
